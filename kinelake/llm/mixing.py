@@ -8,7 +8,8 @@ other at random until one probability is 0 or 1, and the other meets the next. A
 move keeps both expectations and the source's expected words, so the mix misses its
 target by one document at most. The pairing is a reduction tree: documents are dealt
 to leaves of about ``leaf`` rows, each leaf folds to one unsettled document, and
-these are dealt to leaves again until a source has one left, which is drawn.
+these are dealt to leaves again until a source has one left, which is rounded to the
+nearer (a draw would be exactly fair to that one document, but miss by up to all of it).
 
 All of it is DataFrame expressions; random numbers are hashes of the ids that meet
 and a seed, so reruns agree.
@@ -62,11 +63,6 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
     return levels.withColumn("target", F.least(F.col("cap"), F.coalesce(F.col("weight") * first, F.col("cap")))).select("source", "source_size", "target")
 
 
-def uniform(seed: int, *columns: Column) -> Column:
-    """In [0, 1), from a hash."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 11).cast("double") / F.lit(float(1 << 53))
-
-
 def _fold(rows: str, seed: int) -> Column:
     """SQL fold of an array of (words, id, p): settles all but one. State: carry (null at first) and settled."""
     give = "least((1 - a.carry.p) * a.carry.words, x.p * x.words)"
@@ -108,7 +104,7 @@ def round_dependently(items: DataFrame, leaf: int = LEAF, seed: int = 7) -> Data
         folded = materialise(leaves.select("source", _fold("rows", seed).alias("out")), "mix-fold")
         done.append(folded.select("source", F.explode("out.settled").alias("s")).select("source", "s.id", "s.up"))
         left = folded.where("out.carry is not null").select("source", "out.carry.id", "out.carry.words", "out.carry.p")
-    done.append(left.select("source", "id", (uniform(seed, F.col("id"), F.lit("last")) < F.col("p")).alias("up")))
+    done.append(left.select("source", "id", (F.col("p") >= 0.5).alias("up")))
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinelake.llm import bpe, exact_dedup, mixing
+from kinelake.llm import bpe, exact_dedup, language, license_scan, mixing, pii, quality, token_histogram
 from kinelake.llm.scratch import materialise
 
 
@@ -19,6 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches and revealing terms in every text; tests compare the matches with the patterns themselves."""
+    rows = pii.all_spans(table(spark, sf_dir, "documents"))
+    counts = [F.col(f"n_{k}").cast("long").alias(f"n_{k}") for k in pii.KINDS[:4]]
+    return rows.select("doc_id", *counts, F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans", "n_term")
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text encoded and decoded; no SQL has the tokenizer, so tests compare with the library on whole texts."""
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_multi_50k.tiktoken"))
@@ -43,16 +50,45 @@ FROM h WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+def op4_token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The histogram of encoded lengths of all documents with its suffix sums; tests compare with brute force."""
+    lengths = token_histogram.encoded_lengths(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_multi_50k.tiktoken"))
+    return token_histogram.suffix_sums(token_histogram.histogram(lengths))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those not held out; tests measure held-out accuracy."""
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs.where(~language.held_out(F.col("doc_id"))))
+    return language.predict(docs, model).select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document, learned from the labels of those not held out; tests measure held-out accuracy."""
+    stats = materialise(quality.document_statistics(table(spark, sf_dir, "documents")), "statistics")
+    return quality.score(stats, quality.fit(stats, table(spark, sf_dir, "labels")))
+
+
 def op10_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document. The draws have no SQL; tests check targets, bounds and unbiasedness."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_token_histogram": op4_token_histogram,
+    "op7_language_id": op7_language_id,
+    "op8_license_scan": op8_license_scan,
+    "op9_quality": op9_quality,
     "op10_pivotal_mix": op10_pivotal_mix,
 }
 SQL = {
     "op3_exact_dedup": OP3_SQL,
+    "op8_license_scan": license_scan.scan_sql(),
 }
