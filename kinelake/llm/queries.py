@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinelake.llm import ann, bpe, exact_dedup, language, license_scan, mixing, pii, quality, token_histogram
+from kinelake.llm import ann, bpe, exact_dedup, language, license_scan, mixing, ngram_join, pii, quality, token_histogram
 from kinelake.llm.scratch import materialise
 
 
@@ -56,6 +56,11 @@ def op4_token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_histogram.suffix_sums(token_histogram.histogram(lengths))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four-word shingles, Jaccard 0.85; too slow for SQL on whole tables, so tests compare with all pairs of a fixture."""
+    return ngram_join.join(table(spark, sf_dir, "documents"), 4, ngram_join.Threshold(85))
+
+
 def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries are the rows whose id is divisible by 100; tests measure recall against brute force."""
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
@@ -88,6 +93,7 @@ QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_token_histogram": op4_token_histogram,
+    "op5_ngram_join": op5_ngram_join,
     "op6_nearest_neighbours": op6_nearest_neighbours,
     "op7_language_id": op7_language_id,
     "op8_license_scan": op8_license_scan,
