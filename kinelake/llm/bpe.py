@@ -104,6 +104,25 @@ def decode(tokens: DataFrame, rank_path: str, ids_col: str = "ids", pattern: str
     return tokens.select("doc_id", F.col(ids_col)).mapInArrow(run, f"doc_id {kind}, raw binary")
 
 
+def encode_columns(docs: DataFrame, rank_path: str, keep: list[str], text_col: str = "text", pattern: str = PATTERN) -> DataFrame:
+    """The columns ``keep`` of each row, with n_tokens, ids, and whether the ids decode to the text's bytes."""
+    shared = docs.sparkSession.sparkContext.broadcast(read_ranks(rank_path))
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+
+    def run(batches):
+        codec = _codec(shared, pattern)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                texts = [t.as_py() or "" for t in part.column(len(keep))]
+                ids = [codec.encode(t) for t in texts]
+                same = [codec.decode(x) == t.encode() for x, t in zip(ids, texts, strict=True)]
+                columns = [part.column(i) for i in range(len(keep))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())], [*keep, "n_tokens", "ids", "lossless"])
+
+    return docs.select(*[F.col(f"`{c}`") for c in [*keep, text_col]]).mapInArrow(run, f"{kinds}, n_tokens long, ids array<int>, lossless boolean")
+
+
 def round_trip(docs: DataFrame, rank_path: str, id_col: str = "doc_id", text_col: str = "text", pattern: str = PATTERN) -> DataFrame:
     """Encode and decode in one pass: doc_id, n_tokens, ids_sha256, decoded_sha256, lossless.
 
