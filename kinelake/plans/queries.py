@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from kinelake.functions import scalar
 from kinelake.functions.nanops import rounded
-from kinelake.operators import alignment, evaluation, labels, navigation, sequences, splits
+from kinelake.operators import alignment, evaluation, filters, ingest, labels, navigation, sequences, splits
 from kinelake.plans.samples import GUARD, SAMPLES, SEGMENTS, STRIDE, WINDOW, WINDOWS, event_samples, event_segments, event_windows, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -556,3 +556,85 @@ def trip_card(spark, sf_dir):
     d = event_samples(spark, sf_dir).withColumn("dt", (F.lead("t_us").over(sequences.ordered()) - F.col("t_us")) / 1e6)
     denied = F.col("event_type") == "error"
     return d.groupBy("seq_id").agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.sum(F.when(denied, F.coalesce("dt", F.lit(0.0))).otherwise(0.0)), 3).alias("denied_s"), F.round(F.sum(F.when(denied, F.col("v")).otherwise(0.0)), 3).alias("denied_m"), F.round(F.sum("v"), 3).alias("total_m"))
+
+
+@query(
+    f"""WITH {SAMPLES}, p AS (SELECT event_id, seq_id, (props::JSON->>'k')::BIGINT AS k, v, yaw FROM s)
+SELECT event_id, CASE WHEN seq_id % 10 = 0 THEN 'consent' WHEN k % 10 = 0 THEN 'contract_version' WHEN k <= 20 THEN 'duration' WHEN v / ((k - 20) / 10.0) > 100 THEN 'mean_speed' WHEN v > 100 THEN 'accel' WHEN abs(yaw) * 11 * 0.99 > 10 THEN 'gyro' END AS reason FROM p"""
+)
+def validate_pairs(spark, sf_dir):
+    """Uploads of one-row windows made from events."""
+    s = event_samples(spark, sf_dir).withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+    zero = F.lit(0.0)
+    pair = F.struct(
+        F.array(F.array(F.col("v"), zero, zero, F.col("yaw") * 11, zero, zero)).alias("imu_window"),
+        F.col("v").alias("displacement_m"),
+        ((F.col("k") - 20) / 10.0).alias("window_duration_s"),
+        F.when(F.col("k") % 10 == 0, "2.0").otherwise("1.0").alias("contract_version"),
+    )
+    uploads = s.select("event_id", (F.col("seq_id") % 10 != 0).alias("consent"), F.array(pair).alias("pairs"))
+    return ingest.judged_pairs(uploads).select("event_id", "reason")
+
+
+@query("WITH RECURSIVE c AS (SELECT event_type AS k, count(*) AS n FROM events GROUP BY 1) SELECT v.k AS event_type, coalesce(n, 0) AS n FROM (VALUES ('click'), ('view'), ('refund')) v(k) LEFT JOIN c USING (k)")
+def zero_filled_histogram(spark, sf_dir):
+    return splits.histogram(table(spark, sf_dir, "events"), "event_type", ["click", "view", "refund"])
+
+
+@query("SELECT l_linenumber, round(avg(l_discount), 6) AS mean, round(stddev_pop(l_discount), 6) AS std, count(l_discount) AS n FROM lineitem GROUP BY 1")
+def mean_over_seeds(spark, sf_dir):
+    out = evaluation.over_seeds(table(spark, sf_dir, "lineitem"), "l_linenumber", "l_discount")
+    return out.select("l_linenumber", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "n")
+
+
+@query(
+    """WITH b AS (SELECT l_linenumber, median(l_extendedprice) AS m FROM lineitem WHERE l_returnflag = 'N' GROUP BY 1), c AS (SELECT l_linenumber, median(l_extendedprice) AS m FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber < 6 GROUP BY 1)
+SELECT l_linenumber, round(100 * (b.m - c.m) / b.m, 5) AS improvement_pct, 100 * (b.m - c.m) / b.m < -1.0 AS failed FROM b LEFT JOIN c USING (l_linenumber)"""
+)
+def regression_gate(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    medians = [li.where(c).groupBy("l_linenumber").agg(F.percentile("l_extendedprice", 0.5).alias("median")) for c in ("l_returnflag = 'N'", "l_returnflag = 'R' and l_linenumber < 6")]
+    return evaluation.compare_runs(*medians, "l_linenumber", limit_pct=1.0).select("l_linenumber", F.round("improvement_pct", 5).alias("improvement_pct"), "failed")
+
+
+@query("SELECT c_custkey, c_nationkey || '.' || (c_custkey % 7) || '.' || (c_custkey % 3) AS version, c_nationkey = 5 AND (c_custkey % 7 > 2 OR (c_custkey % 7 = 2 AND c_custkey % 3 >= 1)) AS compatible FROM customer")
+def semver_compatible(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.concat_ws(".", "c_nationkey", F.col("c_custkey") % 7, F.col("c_custkey") % 3).alias("version"))
+    return c.withColumn("compatible", scalar.semver_at_least("version", "5.2.1"))
+
+
+@query(
+    f"""WITH {BINS}, pp AS (SELECT * FROM bins WHERE n >= 5) SELECT bin, round(predicted, 5) AS predicted, round((SELECT max(m) FROM (SELECT a.bin AS a, (SELECT min(q) FROM (SELECT b.bin, sum(c.realised * c.n) / sum(c.n) AS q FROM pp b JOIN pp c ON c.bin BETWEEN a.bin AND b.bin WHERE b.bin >= pp.bin AND b.bin >= a.bin GROUP BY b.bin)) AS m FROM pp a WHERE a.bin <= pp.bin)), 5) AS calibrated FROM pp"""
+)
+def isotonic_calibration(spark, sf_dir):
+    """Calibrated deviation at each bin's own prediction; the SQL has the regression in its max-min form."""
+    rows = predictions(spark, sf_dir)
+    knots = evaluation.isotonic_knots(rows, 10)
+    out = evaluation.calibration_bins(rows).withColumn("calibrated", evaluation.interpolated(F.col("predicted"), knots))
+    return out.select("bin", F.round("predicted", 5).alias("predicted"), F.round("calibrated", 5).alias("calibrated"))
+
+
+@query()
+def planar_eskf(spark, sf_dir):
+    """The planar filter over each user's events; a kernel, tested on analytic tracks."""
+    samples = sequences.stationary(event_samples(spark, sf_dir).withColumn("ax", F.col("v") / 1000), ["ax", "yaw"], ["yaw"])
+    rows = samples.select(F.col("seq_id").alias("key"), F.col("row_idx").alias("i"), "ax", F.lit(0.0).alias("ay"), F.col("yaw").alias("gz"), "is_stationary", F.lit(10.0).alias("v0"), F.lit(0.0).alias("h0"))
+    return filters.planar_filter(rows)
+
+
+@query()
+def engine15(spark, sf_dir):
+    """The batch twin of the streaming engine over each user's events."""
+    s = event_samples(spark, sf_dir)
+    rows = s.select(F.col("seq_id").alias("key"), (F.col("row_idx") * 100_000_000).alias("ns"), (F.col("v") / 1000).alias("ax"), F.lit(0.0).alias("ay"), F.lit(9.80665).alias("az"), F.lit(0.0).alias("gx"), F.lit(0.0).alias("gy"), (F.col("yaw") / 100).alias("gz"))
+    return filters.inertial_engine(rows)
+
+
+@query()
+def fault_detector(spark, sf_dir):
+    """The residual statistic of tracks under injected faults; random draws and a recursion, tested on known tracks."""
+    s = paths(spark, sf_dir).where("key < 10").select("key", "i", (F.col("te") / 100).alias("te"), (F.col("tn") / 100).alias("tn"))
+    attacks = spark.createDataFrame([(f, p, k) for k, (f, p) in enumerate([("step", 40.0), ("drag", 1.0), ("jam", 2.0), ("multipath", 0.5)])], "family string, param double, seed long")
+    tracks = filters.inject_attacks(s, attacks)
+    fixes = tracks.where("valid").select(F.col("instance").alias("key"), "family", "param", "attacked", (F.col("i") / 10).alias("t"), "east_m", "north_m")
+    return filters.fault_statistic(fixes)
