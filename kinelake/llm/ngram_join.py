@@ -2,11 +2,11 @@
 
 Texts become sets of hashed word shingles. In one order of all shingles, rare before
 frequent, two similar sets share many of their first ones: a set of n shingles lacks at
-most e = n - ceil(t * n) of them in any similar set. A prefix of e + SHARED shingles
-has SHARED in common then. Rare shingles are indexed one by one. Frequent ones are cut
+most e = n - ceil(t * n) of them in any similar set. A prefix of e + s shingles has s
+in common with it then, and s is chosen to grow with e, so that chance hits fall short. Rare shingles are indexed one by one. Frequent ones are cut
 into classes by hash and indexed as pairs within a class; each class that the prefix
 touches lengthens it by one, as one shared shingle in a class makes no pair. Pairs of
-sets with SHARED signatures in common are candidates, and candidates are verified on the
+sets with s signatures in common are candidates, and candidates are verified on the
 whole sets.
 
 The order comes from two counters of fixed size over all documents, of shingles and of
@@ -15,7 +15,9 @@ words, the earlier it stands. Any order gives the same links; a good one gives f
 candidates.
 
 Equal sets are one set from the start. Signatures shared by up to ``SMALL`` sets give
-pairs; those shared by more only tie their sets together. Sets tied in any way form a
+pairs, which count what they share; those shared by more only tie their sets together. A
+similar pair has half of its s signatures of one kind or of the other, so pairs with
+fewer are no candidates, nor are sets tied that have fewer. Sets tied in any way form a
 candidate component, which is cut into cells of bounded size (by hash, within classes of
 like size, since similar sets have like sizes). A task compares the sets of one cell, or
 of two, by a sparse product and returns a spanning forest of their links, so neither all
@@ -44,8 +46,8 @@ from kinelake.llm.components import components
 from kinelake.llm.exact_dedup import first_id
 from kinelake.llm.scratch import join_hot_split, key_bitmap, materialise
 
-#: Signatures that candidates share at least.
-SHARED = 3
+#: Signatures that candidates share: SHARED, and one more for each SHARED_STEP shingles that may be missing.
+SHARED, SHARED_STEP = 3, 8
 #: Counters for the order of shingles; the bound of what is broadcast.
 COUNTER_BITS = 20
 #: Sets per signature up to which pairs are listed.
@@ -137,6 +139,11 @@ def set_id(shingles: np.ndarray) -> int:
     return int(np.array(xxhash.xxh64_intdigest(shingles.tobytes(), seed=len(shingles)), dtype=np.uint64).view(np.int64))
 
 
+def classes(scheme: int) -> int:
+    """Classes of frequent shingles for sets of 2 ** scheme shingles and more."""
+    return max(1, (1 << scheme) // 16)
+
+
 class Threshold:
     """Similarity of num / den or more, in whole numbers."""
 
@@ -151,6 +158,11 @@ class Threshold:
         """Whether a set of n can be similar to a different one."""
         return self.num * (n + 1) <= self.den * n
 
+    def shared(self, n: int) -> int:
+        """Signatures that a set of n has in common with any similar set whose prefix doesn't end before its own."""
+        missing = n - self.least_overlap(n)
+        return max(1, min(SHARED + missing // SHARED_STEP, n - missing - classes(n.bit_length() - 1)))
+
     def links(self, overlap: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return (self.den + self.num) * overlap >= self.num * (a + b)
 
@@ -227,7 +239,7 @@ def signatures(words: np.ndarray, k: int, t: Threshold, frequent: np.ndarray, ra
     m = len(windows)
     score = sum(commonness[i : i + m] for i in range(min(k, len(words))))[first]
     often = frequent[(shingles >> shift).astype(np.int64)]
-    need = n - t.least_overlap(n) + SHARED
+    need = n - t.least_overlap(n) + t.shared(n)
     rare = shingles[~often]
     rare = rare[np.argsort(score[~often], kind="stable")[:need]]
     need -= len(rare)
@@ -244,8 +256,7 @@ def signatures(words: np.ndarray, k: int, t: Threshold, frequent: np.ndarray, ra
 
 def _pairs(common: np.ndarray, need: int, scheme: int) -> np.ndarray:
     """Signatures of the pairs within classes, over the shortest prefix that has ``need`` shingles besides each class's first."""
-    classes = max(1, (1 << scheme) // 16)
-    kind = ((common * _GOLD) >> np.uint64(40)) % np.uint64(classes)
+    kind = ((common * _GOLD) >> np.uint64(40)) % np.uint64(classes(scheme))
     by_class = np.argsort(kind, kind="stable")
     grouped = kind[by_class]
     begins = np.concatenate(([True], grouped[1:] != grouped[:-1]))
@@ -267,14 +278,14 @@ def _pairs(common: np.ndarray, need: int, scheme: int) -> np.ndarray:
 
 
 def signature_rows(docs: DataFrame, k: int, t: Threshold, tables: tuple[np.ndarray, np.ndarray], text_col: str) -> DataFrame:
-    """(sig, set_id, n) for the signatures of each set, once for each task that has it."""
+    """(sig, set_id, n, least) for the signatures of each set, once for each task that has it; a similar set shares ``least`` or more."""
     shared = docs.sparkSession.sparkContext.broadcast(tables)
 
     def run(batches):
         frequent, rarity = shared.value
         seen: set[int] = set()
         for batch in batches:
-            sigs, ids, sizes = [], [], []
+            sigs, ids, sizes, least = [], [], [], []
             for text in batch.column(0):
                 shingles, own = signatures(word_hashes(text.as_py() or ""), k, t, frequent, rarity)
                 name = set_id(shingles)
@@ -285,10 +296,11 @@ def signature_rows(docs: DataFrame, k: int, t: Threshold, tables: tuple[np.ndarr
                     sigs.append(own.view(np.int64))
                     ids.append(np.full(len(own), name, dtype=np.int64))
                     sizes.append(np.full(len(own), len(shingles), dtype=np.int32))
+                    least.append(np.full(len(own), t.shared(t.least_overlap(len(shingles))), dtype=np.int32))
             if sigs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (sigs, ids, sizes)], ["sig", "set_id", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (sigs, ids, sizes, least)], ["sig", "set_id", "n", "least"])
 
-    return docs.select(F.col(f"`{text_col}`")).mapInArrow(run, "sig long, set_id long, n int")
+    return docs.select(F.col(f"`{text_col}`")).mapInArrow(run, "sig long, set_id long, n int, least int")
 
 
 def candidate_edges(rows: DataFrame, t: Threshold) -> DataFrame:
@@ -298,25 +310,28 @@ def candidate_edges(rows: DataFrame, t: Threshold) -> DataFrame:
     once = shared.dropDuplicates(["sig", "set_id"])
     grouped = once.withColumn("cnt", F.count(F.lit(1)).over(of)).withColumn("members", F.sum(F.xxhash64("set_id").cast("decimal(20,0)")).over(of))
     # Signatures with the same sets count together.
-    same = materialise(grouped.groupBy("members", "cnt", "set_id", "n").agg(F.count(F.lit(1)).alias("w")), "signature-groups")
-    small = same.where(F.col("cnt") <= SMALL)
-    other = small.select("members", "cnt", F.col("set_id").alias("v"), F.col("n").alias("m"))
-    sizes = (F.least("n", "m") * t.den >= F.greatest("n", "m") * t.num) & (F.col("set_id") < F.col("v"))
-    pairs = small.join(other, ["members", "cnt"]).where(sizes).groupBy(F.col("set_id").alias("u"), "v").agg(F.sum("w").alias("w")).where(F.col("w") >= SHARED).select("u", "v")
+    same = materialise(grouped.groupBy("members", "cnt", "set_id", "n", "least").agg(F.count(F.lit(1)).alias("w")), "signature-groups")
     large = same.where(F.col("cnt") > SMALL)
-    centres = large.groupBy("members", "cnt").agg(F.min("set_id").alias("v"))
-    ties = large.join(centres, ["members", "cnt"]).select(F.col("set_id").alias("u"), "v").where("u <> v").distinct()
+    tied = materialise(large.groupBy("set_id").agg(F.sum("w").alias("tied")), "tied-sets")
+    small = same.where(F.col("cnt") <= SMALL).join(tied, "set_id", "left").withColumn("tied", F.coalesce("tied", F.lit(0)))
+    other = small.select("members", "cnt", F.col("set_id").alias("v"), F.col("n").alias("m"), F.col("least").alias("v_least"), F.col("tied").alias("v_tied"))
+    sizes = (F.least("n", "m") * t.den >= F.greatest("n", "m") * t.num) & (F.col("set_id") < F.col("v"))
+    needed = F.greatest("least", "v_least")
+    pairs = small.join(other, ["members", "cnt"]).where(sizes).groupBy(F.col("set_id").alias("u"), "v", needed.alias("needed"), F.least("tied", "v_tied").alias("tied")).agg(F.sum("w").alias("w"))
+    pairs = pairs.where((2 * F.col("w") >= F.col("needed")) & (F.col("w") + F.col("tied") >= F.col("needed"))).select("u", "v")
+    held = large.join(tied, "set_id").where(2 * F.col("tied") >= F.col("least")).select("members", "cnt", "set_id")
+    centres = held.groupBy("members", "cnt").agg(F.min("set_id").alias("v"))
+    ties = held.join(centres, ["members", "cnt"]).select(F.col("set_id").alias("u"), "v").where("u <> v").distinct()
     return pairs.unionByName(ties)
 
 
-def stored_sets(docs: DataFrame, sets: DataFrame, nodes: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """(set_id, n, shingles as bytes) of the sets in ``nodes`` (node, label), from one document each.
+def stored_sets(docs: DataFrame, wanted: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
+    """(set_id, n, shingles as bytes) of the sets in ``wanted`` (doc_id, set_id), hashed again from one document each.
 
-    A bitmap of fixed size finds most of those documents, so few other texts are hashed again.
+    A bitmap of fixed size finds most of those documents, so few other texts are hashed.
     """
-    one = sets.where("n > 0").groupBy("set_id").agg(first_id(F.col("doc_id")).alias("doc_id")).join(nodes.select(F.col("node").alias("set_id")), "set_id", "left_semi")
     bit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << BITMAP_BITS))
-    shared = docs.sparkSession.sparkContext.broadcast(key_bitmap(one, bit, BITMAP_BITS).tobytes())
+    shared = docs.sparkSession.sparkContext.broadcast(key_bitmap(wanted, bit, BITMAP_BITS).tobytes())
 
     def run(batches):
         bitmap = np.frombuffer(shared.value, dtype=np.uint8)
@@ -339,34 +354,30 @@ def stored_sets(docs: DataFrame, sets: DataFrame, nodes: DataFrame, k: int, id_c
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bodies, pa.binary())], ["set_id", "n", "body"])
 
     looked = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).select(bit.alias("bit"), "text")
-    bodies = looked.mapInArrow(run, "set_id long, n long, body binary")
-    return bodies.join(nodes.select(F.col("node").alias("set_id"), "label"), "set_id").dropDuplicates(["set_id"])
+    return looked.mapInArrow(run, "set_id long, n long, body binary").dropDuplicates(["set_id"])
 
 
-def cells(sets: DataFrame, t: Threshold) -> DataFrame:
-    """(bin, cell, side, set_id, n, body): every set once for each cell it belongs to.
+def cells(light: DataFrame, t: Threshold) -> DataFrame:
+    """From (set_id, label, n): (bin, cell, side, set_id), every set once for each cell it belongs to.
 
     A component that fits one cell is one; many such share a bin, a task's input. A larger
     one has a class for each size ratio of 1 / t, cut by hash; similar sets are in the same
     class or in neighbouring ones, and each two parts that may hold a link make a cell.
     """
-    spark = sets.sparkSession
-    light = sets.select("set_id", "label", "n")
     whole = light.groupBy("label").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("shingles"))
     fits = (F.col("sets") <= CELL_SETS) & (F.col("shingles") <= CELL_SHINGLES)
-    volume = whole.where(fits).agg(F.sum("shingles")).first()[0] or 0
-    bins = max(1, math.ceil(volume / (4 * CELL_SHINGLES)), spark.sparkContext.defaultParallelism)
+    whole = materialise(whole.withColumn("fits", fits), "candidate-components")
+    volume = whole.where("fits").agg(F.sum("shingles")).first()[0] or 0
+    bins = max(1, math.ceil(volume / (4 * CELL_SHINGLES)), light.sparkSession.sparkContext.defaultParallelism)
     step = math.log(t.den / t.num) * 1.0001
-    klass = F.floor(F.log(F.col("n")) / F.lit(step)).cast("int")
-    classes = light.join(whole.where(~fits).select("label"), "label").groupBy("label", klass.alias("class")).agg(F.greatest(F.ceil(F.count(F.lit(1)) / CELL_SETS), F.ceil(F.sum("n") / CELL_SHINGLES)).cast("int").alias("parts"))
-    classes = materialise(classes, "cell-classes")
-    per_label = whole.withColumn("fits", fits).select("label", "fits")
+    placed = light.join(whole.select("label", "fits"), "label").withColumn("class", F.floor(F.log(F.col("n")) / F.lit(step)).cast("int"))
+    parts_of = F.greatest(F.ceil(F.count(F.lit(1)) / CELL_SETS), F.ceil(F.sum("n") / CELL_SHINGLES)).cast("int")
+    classes = materialise(placed.where("not fits").groupBy("label", "class").agg(parts_of.alias("parts")), "cell-classes")
 
     def parts(shift: int, name: str) -> DataFrame:
         return classes.select("label", (F.col("class") + shift).alias("class"), F.col("parts").alias(name))
 
-    placed = sets.withColumn("class", klass).join(per_label, "label")
-    alone = placed.where("fits").select(F.pmod(F.xxhash64("label"), F.lit(bins)).alias("bin"), F.col("label").alias("cell"), F.lit(0).alias("side"), "set_id", "n", "body")
+    alone = placed.where("fits").select(F.pmod(F.xxhash64("label"), F.lit(bins)).alias("bin"), F.col("label").alias("cell"), F.lit(0).alias("side"), "set_id")
     cut = placed.where("not fits").join(parts(0, "here"), ["label", "class"]).join(parts(1, "below"), ["label", "class"], "left").join(parts(-1, "above"), ["label", "class"], "left")
     cut = cut.withColumn("part", F.pmod(F.xxhash64("set_id"), F.col("here")).cast("int"))
     members = F.expr("""concat(
@@ -375,7 +386,7 @@ def cells(sets: DataFrame, t: Threshold) -> DataFrame:
       if(below is null, array(), transform(sequence(0, below - 1), x -> named_struct('low', class - 1, 'a', x, 'high', class, 'b', part, 'side', 1))))""")
     many = cut.withColumn("c", F.explode(members))
     cell = F.xxhash64("label", "c.low", "c.a", "c.high", "c.b")
-    return alone.unionByName(many.select(cell.alias("bin"), cell.alias("cell"), F.col("c.side").cast("int").alias("side"), "set_id", "n", "body"))
+    return alone.unionByName(many.select(cell.alias("bin"), cell.alias("cell"), F.col("c.side").cast("int").alias("side"), "set_id"))
 
 
 def overlaps(bodies: list[np.ndarray], sides: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -448,9 +459,11 @@ def labelled(docs: DataFrame, k: int, t: Threshold, id_col: str, text_col: str)
     sets = found.where("what is null").select("doc_id", "text_hash", "n", "set_id")
     tables = order_tables(found.where("what is not null"))
     nodes = components(candidate_edges(signature_rows(docs, k, t, tables, text_col), t))
-    nodes = materialise(nodes, "candidates")
-    bodies = materialise(stored_sets(docs, sets, nodes, k, id_col, text_col), "shingle-bodies")
-    labels = components(verified_edges(cells(bodies, t), t)).withColumnRenamed("node", "set_id")
+    one = sets.where("n > 0").groupBy("set_id").agg(first_id(F.col("doc_id")).alias("doc_id"), F.max("n").alias("n"))
+    wanted = materialise(one.join(nodes.withColumnRenamed("node", "set_id"), "set_id"), "candidate-sets")
+    placed = materialise(cells(wanted.select("set_id", "label", "n"), t), "cells")
+    bodies = stored_sets(docs, wanted, k, id_col, text_col).join(placed, "set_id")
+    labels = components(verified_edges(bodies, t)).withColumnRenamed("node", "set_id")
     return materialise(sets.join(labels, "set_id", "left").withColumn("label", F.coalesce("label", "set_id")), "shingle-labels")
 
 
