@@ -61,7 +61,7 @@ class Hashing:
     def visits(self, projected: np.ndarray) -> np.ndarray:
         """Order of ``steps`` for each row of projections, the most promising first."""
         part = projected - np.floor(projected)
-        cost = np.stack([np.zeros_like(part), part**2, (1 - part) ** 2], axis=-1)  # by step 0, -1, 1
+        cost = np.stack([np.zeros_like(part), (1 - part) ** 2, part**2], axis=-1)  # by step 0, 1, -1
         steps = self.steps()
         total = sum(cost[:, i, steps[:, i]] for i in range(self.hashes))
         return np.argsort(total, axis=1, kind="stable")
