@@ -121,8 +121,9 @@ def fit_sample(languages: list[str], counts: np.ndarray, heads: list[str], k: in
             if len(head) > cut and has_letter(head[:cut]):
                 count = ngram_counts(head[:cut])
                 seen.setdefault(length_bin(count), []).append(float((model.centroids @ model.vector(count)).max()))
-    for size, cosines in seen.items():
-        model.floors[size] = slack * np.quantile(cosines, 0.01) if len(cosines) >= 20 else 0.0
+    for size in range(len(model.floors)):  # cosines rise with length, so a length the sample lacks takes the floor below
+        known = seen.get(size, [])
+        model.floors[size] = slack * np.quantile(known, 0.01) if len(known) >= 20 else model.floors[size - 1] if size else 0.0
     return model
 
 

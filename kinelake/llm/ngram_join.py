@@ -141,7 +141,7 @@ def set_id(shingles: np.ndarray) -> int:
 
 def classes(scheme: int) -> int:
     """Classes of frequent shingles for sets of 2 ** scheme shingles and more."""
-    return max(1, (1 << scheme) // 16)
+    return max(1, (1 << scheme) // 4)
 
 
 class Threshold:
@@ -311,15 +311,15 @@ def candidate_edges(rows: DataFrame, t: Threshold) -> DataFrame:
     grouped = once.withColumn("cnt", F.count(F.lit(1)).over(of)).withColumn("members", F.sum(F.xxhash64("set_id").cast("decimal(20,0)")).over(of))
     # Signatures with the same sets count together.
     same = materialise(grouped.groupBy("members", "cnt", "set_id", "n", "least").agg(F.count(F.lit(1)).alias("w")), "signature-groups")
-    large = same.where(F.col("cnt") > SMALL)
-    tied = materialise(large.groupBy("set_id").agg(F.sum("w").alias("tied")), "tied-sets")
-    small = same.where(F.col("cnt") <= SMALL).join(tied, "set_id", "left").withColumn("tied", F.coalesce("tied", F.lit(0)))
+    of_set = W.partitionBy("set_id")
+    same = same.withColumn("tied", F.sum(F.when(F.col("cnt") > SMALL, F.col("w")).otherwise(0)).over(of_set))
+    small = same.where(F.col("cnt") <= SMALL)
     other = small.select("members", "cnt", F.col("set_id").alias("v"), F.col("n").alias("m"), F.col("least").alias("v_least"), F.col("tied").alias("v_tied"))
     sizes = (F.least("n", "m") * t.den >= F.greatest("n", "m") * t.num) & (F.col("set_id") < F.col("v"))
     needed = F.greatest("least", "v_least")
     pairs = small.join(other, ["members", "cnt"]).where(sizes).groupBy(F.col("set_id").alias("u"), "v", needed.alias("needed"), F.least("tied", "v_tied").alias("tied")).agg(F.sum("w").alias("w"))
     pairs = pairs.where((2 * F.col("w") >= F.col("needed")) & (F.col("w") + F.col("tied") >= F.col("needed"))).select("u", "v")
-    held = large.join(tied, "set_id").where(2 * F.col("tied") >= F.col("least")).select("members", "cnt", "set_id")
+    held = same.where((F.col("cnt") > SMALL) & (2 * F.col("tied") >= F.col("least"))).select("members", "cnt", "set_id")
     centres = held.groupBy("members", "cnt").agg(F.min("set_id").alias("v"))
     ties = held.join(centres, ["members", "cnt"]).select(F.col("set_id").alias("u"), "v").where("u <> v").distinct()
     return pairs.unionByName(ties)
