@@ -5,7 +5,9 @@ are lower-cased, everything but a-z and 0-9 becomes one blank, and their sets of
 bigrams are compared: dice = 2 |A and B| / (|A| + |B|). A unit can only reach
 ``least`` against a template of size b if its own size is between least / (2 - least) * b
 and (2 - least) / least * b; units that fit no template go at once, before their bigrams
-are made, and the join on shared bigrams keeps the bound for each pair. All of it is
+are made, and the join on shared bigrams keeps the bound for each pair. As a match shares
+that least size of bigrams, each template has a few long words of which a match holds one;
+documents without any of them aren't cut into units. All of it is
 DataFrame expressions. The templates are a table of the program, a few hundred bigrams,
 and so are broadcast.
 
@@ -57,6 +59,26 @@ def bigram_set(unit: Column) -> Column:
     return F.when(F.size(words) >= 2, F.array_distinct(pairs))
 
 
+def bigrams_of(body: str) -> set[tuple[str, str]]:
+    words = "".join(c if c.isascii() and c.isalnum() else " " for c in body.lower()).split()
+    return set(zip(words, words[1:], strict=False))
+
+
+def cue_words(templates, least: float) -> list[str]:
+    """Words of which every unit that matches some template holds one: without them, too few of its bigrams are left. Long words first."""
+    cues: set[str] = set()
+    for _, body in templates:
+        left = bigrams_of(body)
+        needed = least / (2 - least) * len(left)
+        words = sorted({w for pair in left for w in pair}, reverse=True)
+        for word in sorted(words, key=lambda w: (w not in cues, -len(w))):
+            if len(left) < needed:
+                break
+            cues.add(word)
+            left = {pair for pair in left if word not in pair}
+    return sorted(cues)
+
+
 def template_bigrams(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
     """(template, license, b, bigram)."""
     rows = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(templates)], "template int, license string, body string")
@@ -77,13 +99,18 @@ def matches(docs: DataFrame, templates=TEMPLATES, least: float = LEAST, id_col:
     spark = docs.sparkSession
     shape = template_bigrams(spark, templates)
     low, high = least / (2 - least), (2 - least) / least
-    sizes = [len(set(zip(w, w[1:], strict=False))) for _, body in templates for w in ["".join(c if c.isascii() and c.isalnum() else " " for c in body.lower()).split()]]
+    sizes = [len(bigrams_of(body)) for _, body in templates]
     fits = F.lit(False)
     for size in sorted(set(sizes)):
         fits = fits | F.col("n").between(low * size, high * size)
     # A unit's bigrams are fewer than its blanks, so most long units go by their length alone; the set's size decides for the rest.
     shortest = min(sizes)
-    candidates = units(docs, id_col, text_col).where(F.length(F.col("body")) >= 2 * low * shortest)
+    lowered = F.lower(F.col(f"`{text_col}`"))
+    hopeful = F.lit(False)
+    for cue in cue_words(templates, least):
+        # Short words are parts of many others, so they must stand alone.
+        hopeful = hopeful | (lowered.contains(cue) if len(cue) > 4 else lowered.rlike(f"(?:^|[^a-z0-9]){cue}(?:[^a-z0-9]|$)"))
+    candidates = units(docs.where(hopeful), id_col, text_col).where(F.length(F.col("body")) >= 2 * low * shortest)
     sets = candidates.where(F.size(F.split("body", " ")) >= low * shortest).withColumn("set", bigram_set(F.col("body"))).withColumn("n", F.size("set")).where(fits)
     shared = sets.select("doc_id", "unit", "n", F.explode("set").alias("bigram")).join(F.broadcast(shape), "bigram").where(F.col("n").between(low * F.col("b"), high * F.col("b")))
     counted = shared.groupBy("doc_id", "unit", "n", "template", "license", "b").agg(F.count(F.lit(1)).alias("common"))
