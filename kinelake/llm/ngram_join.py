@@ -51,7 +51,7 @@ SHARED, SHARED_STEP = 3, 8
 #: Counters for the order of shingles; the bound of what is broadcast.
 COUNTER_BITS = 20
 #: Sets per signature up to which pairs are listed.
-SMALL = 32
+SMALL = 16
 #: Most sets, and about most shingles, of a cell.
 CELL_SETS, CELL_SHINGLES = 256, 1 << 18
 BITMAP_BITS = 23
