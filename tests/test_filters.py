@@ -184,3 +184,25 @@ def test_roc_over_spark(spark):
     assert filters.reacquisition_rejections(stats, 1e9).first()[0] == 0.0
     checked = evaluation.check_curves(at, at.withColumn("detection", F.col("detection") - 0.5))
     assert not checked.where("ok").count()
+
+
+def test_fault_detector_covers_every_user(spark):
+    from kinelake.plans import queries
+
+    sf = "/root/testdata/sf0.001"
+    rows = {(r["key"], r["i"]): r for r in queries.paths(spark, sf).collect()}
+    fixes_of = {}
+    for r in queries.fault_detector(spark, sf).collect():
+        fixes_of.setdefault(r["key"], []).append(r)
+    users = {key for key, _ in rows}
+    assert max(users) >= 10 and len(fixes_of) == 4 * len(users)
+    for instance, got in fixes_of.items():
+        user, family, param, seed = instance.split(":")
+        n = sum(key == int(user) for key, _ in rows)
+        track = pd.DataFrame([{"i": i, "te": rows[int(user), i]["te"] / 100, "tn": rows[int(user), i]["tn"] / 100} for i in range(n)])
+        want = filters.inject(track, family, float(param), int(seed))
+        want = want[want["valid"]]
+        stat = filters.residual_statistic(want["i"].to_numpy() / 10, want["east_m"].to_numpy(), want["north_m"].to_numpy())
+        got = sorted(got, key=lambda r: r["t"])
+        assert [r["t"] for r in got] == pytest.approx((want["i"] / 10).tolist())
+        assert [np.nan if r["stat"] is None else r["stat"] for r in got] == pytest.approx(stat.tolist(), nan_ok=True)
