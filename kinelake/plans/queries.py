@@ -491,10 +491,21 @@ f AS (SELECT key, -1::BIGINT AS i, 5.0::DOUBLE AS v, 0.0::DOUBLE AS a, 1.0::DOUB
 SELECT key, i, round(v, 6) AS speed, round(a, 6) AS accel FROM f WHERE i >= 0"""
 )
 def window_kf(spark, sf_dir):
-    windows = event_samples(spark, sf_dir).where("row_idx < 12").select(F.col("seq_id").alias("key"), F.col("row_idx").alias("i"), F.col("v").alias("mean"), F.col("yaw").alias("logvar"), F.lit(5.0).alias("v0"))
+    """Only the first 12 rows of each user, as its recursive SQL has them; ``window_kf_whole`` filters all rows."""
+    windows = kf_windows(spark, sf_dir).where("i < 12")
     return navigation.window_filter(windows).select("key", "i", F.round("speed", 6).alias("speed"), F.round("accel", 6).alias("accel"))
 
 
+def kf_windows(spark, sf_dir) -> DataFrame:
+    return event_samples(spark, sf_dir).select(F.col("seq_id").alias("key"), F.col("row_idx").alias("i"), F.col("v").alias("mean"), F.col("yaw").alias("logvar"), F.lit(5.0).alias("v0"))
+
+
+@query()
+def window_kf_whole(spark, sf_dir):
+    """The window filter over all rows of each user; tests compare with a recursion in plain Python."""
+    return navigation.window_filter(kf_windows(spark, sf_dir)).select("key", "i", F.round("speed", 6).alias("speed"), F.round("accel", 6).alias("accel"))
+
+
 @query(
     f"""WITH {SAMPLES}, clean AS (SELECT v AS stat FROM s WHERE event_type = 'view'),
 qq AS (SELECT DISTINCT unnest(quantile_cont(stat, [{", ".join(str(0.5 + i * (0.999 - 0.5) / 24) for i in range(25))}])) AS threshold FROM clean),

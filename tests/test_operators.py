@@ -179,3 +179,23 @@ def test_quality_inputs_with_nan(spark):
     x = np.array([np.nan if i % 5 == 0 else i for i in range(20)])
     want = np.corrcoef(np.where(np.isnan(x), np.nanmean(x), x), np.arange(20))[0, 1]
     assert labels.corr_with_imputation(rows, {"c": ("x", "y")}).first()["c"] == pytest.approx(want)
+
+
+def test_window_filter_runs_over_whole_sequences(spark):
+    from kinelake.plans import queries
+
+    sf = "/root/testdata/sf0.001"
+    rows = queries.kf_windows(spark, sf).orderBy("key", "i").collect()
+    want = {}
+    for r in rows:
+        if r["i"] == 0:
+            x, p = np.array([r["v0"], 0.0]), np.eye(2)
+        step, noise = np.array([[1.0, 2.0], [0.0, 1.0]]), 0.36 * np.full((2, 2), 4.0)
+        x, p = step @ x, step @ p @ step.T + noise
+        gain = p[:, 0] / (p[0, 0] + np.exp(r["logvar"]) + 0.25)
+        x, p = x + gain * (r["mean"] - x[0]), p - np.outer(gain, p[0])
+        want[r["key"], r["i"]] = x
+    got = {(r["key"], r["i"]): (r["speed"], r["accel"]) for r in queries.QUERIES["window_kf_whole"](spark, sf).collect()}
+    assert len(rows) == 1000 and max(i for _, i in got) > 12 and got.keys() == want.keys()
+    for at, state in want.items():
+        assert got[at] == pytest.approx(state.tolist(), abs=1e-4)
