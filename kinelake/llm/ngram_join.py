@@ -20,8 +20,10 @@ similar pair has half of its s signatures of one kind or of the other, so pairs
 fewer are no candidates, nor are sets tied that have fewer. Sets tied in any way form a
 candidate component, which is cut into cells of bounded size (by hash, within classes of
 like size, since similar sets have like sizes). A task compares the sets of one cell, or
-of two, by a sparse product and returns a spanning forest of their links, so neither all
-pairs of a group nor a whole group ever meets in one task or leaves one as rows.
+of two, by a sparse product and returns a spanning forest of their links and the number of
+each set's links, so neither all pairs of a group nor a whole group ever meets in one task
+or leaves one as rows. Each two sets are compared in one cell, so the numbers add up over
+cells. ``set_links`` returns the links themselves, as many as there are.
 
 Cases: null and blank texts have empty sets, linked with nothing; texts of under ``k``
 words have one shingle, the whole sequence; equal texts and repeated rows share a
@@ -54,6 +56,8 @@ COUNTER_BITS = 20
 SMALL = 16
 #: Most sets, and about most shingles, of a cell.
 CELL_SETS, CELL_SHINGLES = 256, 1 << 18
+#: The side of sets that are all compared with each other.
+INNER = 2
 BITMAP_BITS = 23
 
 _PIECE = 1 << 18
@@ -358,7 +362,7 @@ def stored_sets(docs: DataFrame, wanted: DataFrame, k: int, id_col: str, text_co
 
 
 def cells(light: DataFrame, t: Threshold) -> DataFrame:
-    """From (set_id, label, n): (bin, cell, side, set_id), every set once for each cell it belongs to.
+    """From (set_id, label, n): (bin, cell, side, set_id), every set once for each cell it belongs to; sides are 0 and 1, or INNER for a cell of one part.
 
     A component that fits one cell is one; many such share a bin, a task's input. A larger
     one has a class for each size ratio of 1 / t, cut by hash; similar sets are in the same
@@ -377,11 +381,11 @@ def cells(light: DataFrame, t: Threshold) -> DataFrame:
     def parts(shift: int, name: str) -> DataFrame:
         return classes.select("label", (F.col("class") + shift).alias("class"), F.col("parts").alias(name))
 
-    alone = placed.where("fits").select(F.pmod(F.xxhash64("label"), F.lit(bins)).alias("bin"), F.col("label").alias("cell"), F.lit(0).alias("side"), "set_id")
+    alone = placed.where("fits").select(F.pmod(F.xxhash64("label"), F.lit(bins)).alias("bin"), F.col("label").alias("cell"), F.lit(INNER).alias("side"), "set_id")
     cut = placed.where("not fits").join(parts(0, "here"), ["label", "class"]).join(parts(1, "below"), ["label", "class"], "left").join(parts(-1, "above"), ["label", "class"], "left")
     cut = cut.withColumn("part", F.pmod(F.xxhash64("set_id"), F.col("here")).cast("int"))
-    members = F.expr("""concat(
-      transform(sequence(0, here - 1), x -> named_struct('low', class, 'a', least(part, x), 'high', class, 'b', greatest(part, x), 'side', if(x < part, 1, 0))),
+    members = F.expr(f"""concat(
+      transform(sequence(0, here - 1), x -> named_struct('low', class, 'a', least(part, x), 'high', class, 'b', greatest(part, x), 'side', if(x < part, 1, if(x = part, {INNER}, 0)))),
       if(above is null, array(), transform(sequence(0, above - 1), x -> named_struct('low', class, 'a', part, 'high', class + 1, 'b', x, 'side', 0))),
       if(below is null, array(), transform(sequence(0, below - 1), x -> named_struct('low', class - 1, 'a', x, 'high', class, 'b', part, 'side', 1))))""")
     many = cut.withColumn("c", F.explode(members))
@@ -430,51 +434,86 @@ def forest(linked: np.ndarray, rows: np.ndarray, columns: np.ndarray, size: int)
     return out
 
 
-def verified_edges(placed: DataFrame, t: Threshold) -> DataFrame:
-    """(u, v): for each cell, links that join all sets that its links join."""
+def verified_edges(placed: DataFrame, t: Threshold, every: bool = False) -> DataFrame:
+    """(u, v, w) for each cell: links that join all sets that its links join (or ``every`` link), and, with no v, how many documents u is linked with."""
 
     def run(group: pa.Table) -> pa.Table:
         cell = group.column("cell").to_numpy()
         side = group.column("side").to_numpy()
-        ids, sizes, bodies = group.column("set_id").to_numpy(), group.column("n").to_numpy(), group.column("body").combine_chunks()
+        ids, sizes, docs = (group.column(c).to_numpy() for c in ("set_id", "n", "docs"))
+        bodies = group.column("body").combine_chunks()
         order = np.argsort(cell, kind="stable")
-        us, vs = [], []
+        us, vs, nodes, degrees = [], [], [], []
         for at in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1):
-            if len(at) > 1:
+            inner = bool((side[at] == INNER).all())
+            # Sets of one side alone meet in the cell of their own part.
+            if len(at) > 1 and (inner or len(np.unique(side[at])) > 1):
                 own = [np.frombuffer(bodies[int(i)].as_buffer(), dtype=np.uint64) for i in at]
-                rows, columns, common = overlaps(own, side[at])
-                n = sizes[at]
+                rows, columns, common = overlaps(own, np.zeros_like(side[at]) if inner else side[at])
+                n, weight = sizes[at], docs[at].astype(np.int64)
                 linked = t.links(common, n[rows][:, None], n[columns][None])
-                edges = forest(linked, rows, columns, len(at))
-                us += [ids[at[a]] for a, _ in edges]
-                vs += [ids[at[b]] for _, b in edges]
-        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
-
-    return placed.groupBy("bin").applyInArrow(run, "u long, v long")
-
-
-def labelled(docs: DataFrame, k: int, t: Threshold, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text_hash, n, set_id, label) of every document; those of a component have one label."""
+                if inner:
+                    np.fill_diagonal(linked, False)
+                sums = np.zeros(len(at), dtype=np.int64)
+                sums[rows] += linked @ weight[columns]
+                if not inner:
+                    sums[columns] += linked.T @ weight[rows]
+                found = np.flatnonzero(sums)
+                nodes += ids[at[found]].tolist()
+                degrees += sums[found].tolist()
+                if every:
+                    a, b = np.nonzero(np.triu(linked) if inner else linked)
+                    edges = zip(rows[a], columns[b], strict=True)
+                else:
+                    edges = forest(linked, rows, columns, len(at))
+                for x, y in edges:
+                    us.append(int(ids[at[x]]))
+                    vs.append(int(ids[at[y]]))
+        return pa.table({"u": pa.array(us + nodes, pa.int64()), "v": pa.array(vs + [None] * len(nodes), pa.int64()), "w": pa.array([None] * len(us) + degrees, pa.int64())})
+
+    return placed.groupBy("bin").applyInArrow(run, "u long, v long, w long")
+
+
+def compared(docs: DataFrame, k: int, t: Threshold, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_hash, n, set_id) of every document, and the candidate sets in their cells."""
     found = materialise(sets_and_counts(docs, k, id_col, text_col), "shingle-sets")
     sets = found.where("what is null").select("doc_id", "text_hash", "n", "set_id")
     tables = order_tables(found.where("what is not null"))
     nodes = components(candidate_edges(signature_rows(docs, k, t, tables, text_col), t))
-    one = sets.where("n > 0").groupBy("set_id").agg(first_id(F.col("doc_id")).alias("doc_id"), F.max("n").alias("n"))
+    one = sets.where("n > 0").groupBy("set_id").agg(first_id(F.col("doc_id")).alias("doc_id"), F.max("n").alias("n"), F.count(F.lit(1)).alias("docs"))
     wanted = materialise(one.join(nodes.withColumnRenamed("node", "set_id"), "set_id"), "candidate-sets")
     placed = materialise(cells(wanted.select("set_id", "label", "n"), t), "cells")
-    bodies = stored_sets(docs, wanted, k, id_col, text_col).join(placed, "set_id")
-    labels = components(verified_edges(bodies, t)).withColumnRenamed("node", "set_id")
-    return materialise(sets.join(labels, "set_id", "left").withColumn("label", F.coalesce("label", "set_id")), "shingle-labels")
+    return sets, stored_sets(docs, wanted, k, id_col, text_col).join(wanted.select("set_id", "docs"), "set_id").join(placed, "set_id")
+
+
+def labelled(docs: DataFrame, k: int, t: Threshold, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text_hash, n, set_id, label, near) of every document; those of a component have one label, near counts linked documents of other sets."""
+    sets, bodies = compared(docs, k, t, id_col, text_col)
+    verified = materialise(verified_edges(bodies, t), "verified")
+    near = verified.where("v is null").groupBy(F.col("u").alias("set_id")).agg(F.sum("w").alias("near"))
+    labels = components(verified.where("v is not null").select("u", "v")).withColumnRenamed("node", "set_id").join(near, "set_id")
+    rows = sets.join(labels, "set_id", "left")
+    return materialise(rows.withColumn("label", F.coalesce("label", "set_id")).withColumn("near", F.coalesce("near", F.lit(0))), "shingle-labels")
+
+
+def set_links(docs: DataFrame, k: int = 5, threshold: Threshold | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(u, v), u < v: every link between two different sets, once, by the set_id that ``join`` gives their documents."""
+    t = threshold or Threshold(80)
+    links = verified_edges(compared(docs, k, t, id_col, text_col)[1], t, every=True).where("v is not null")
+    return links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
 
 
 def join(docs: DataFrame, k: int = 5, threshold: Threshold | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: doc_id, n_shingles, set_id, component_id (smallest id reachable by links)."""
+    """One row a document: doc_id, n_shingles, set_id, component_id (smallest id reachable by links), n_links (other documents that it is linked with, equal sets included)."""
     own = labelled(docs, k, threshold or Threshold(80), id_col, text_col)
-    full = own.where("n > 0")
+    full, total = own.where("n > 0"), own.count()
     groups = full.groupBy("label").agg(first_id(F.col("doc_id")).alias("component_id"), F.count(F.lit(1)).alias("members"))
-    rows = join_hot_split(full, materialise(groups, "shingle-components"), ["label"], "members", own.count())
-    columns = ["doc_id", F.col("n").alias("n_shingles"), "set_id", "component_id"]
-    return rows.select(*columns).unionByName(own.where("n = 0").withColumn("component_id", F.col("doc_id")).select(*columns))
+    equal = full.groupBy("set_id").agg(F.count(F.lit(1)).alias("equal"))
+    rows = join_hot_split(full, materialise(groups, "shingle-components"), ["label"], "members", total)
+    rows = join_hot_split(rows, materialise(equal, "equal-sets"), ["set_id"], "equal", total)
+    columns = ["doc_id", F.col("n").alias("n_shingles"), "set_id", "component_id", "n_links"]
+    rows = rows.withColumn("n_links", F.col("near") + F.col("equal") - 1)
+    return rows.select(*columns).unionByName(own.where("n = 0").withColumn("component_id", F.col("doc_id")).withColumn("n_links", F.lit(0).cast("long")).select(*columns))
 
 
 def keep_one(docs: DataFrame, k: int = 5, threshold: Threshold | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

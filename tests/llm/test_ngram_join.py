@@ -71,6 +71,22 @@ def test_equals_all_pairs(spark, monkeypatch, k, num, small, cell):
     assert sorted((str(r["doc_id"]), r["n_shingles"], r["component_id"]) for r in got) == brute(rows, k, num)
 
 
+@pytest.mark.parametrize(("small", "cell"), [(32, 256), (3, 8), (3, 2)])
+def test_all_links_are_counted_and_listed(spark, monkeypatch, small, cell):
+    monkeypatch.setattr(ngram_join, "SMALL", small)
+    monkeypatch.setattr(ngram_join, "CELL_SETS", cell)
+    rows = [*enumerate(corpus(120, 4)), (900, None), (901, "a b c"), (901, "a b c"), (902, "A b c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sets = [sets_of(t, 4) for _, t in rows]
+    linked = [[i != j and bool(a) and bool(b) and 100 * len(a & b) >= 80 * len(a | b) for j, b in enumerate(sets)] for i, a in enumerate(sets)]
+    got = ngram_join.join(docs, 4, Threshold(80)).collect()
+    assert sorted((r["doc_id"], r["n_links"]) for r in got) == sorted((rows[i][0], sum(x)) for i, x in enumerate(linked))
+    name = {sets[i]: next(r["set_id"] for r in got if r["doc_id"] == rows[i][0]) for i in range(len(rows))}
+    want = {tuple(sorted((name[a], name[b]))) for i, a in enumerate(sets) for j, b in enumerate(sets) if linked[i][j] and a != b}
+    assert len(want) > 100
+    assert sorted(map(tuple, ngram_join.set_links(docs, 4, Threshold(80)).collect())) == sorted(want)
+
+
 def test_keep_one(spark):
     base = " ".join(f"w{i}" for i in range(100))
     rows = [(5, base), (3, base.replace("w50", "x")), (3, base.replace("w50", "x")), (9, "other text of six words here"), (None, None), (4, "")]
