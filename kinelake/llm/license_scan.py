@@ -11,6 +11,11 @@ documents without any of them aren't cut into units. All of it is
 DataFrame expressions. The templates are a table of the program, a few hundred bigrams,
 and so are broadcast.
 
+``scan`` has the units and templates of its SQL. ``scan_everywhere`` adds the units that
+notices inside longer texts need (paragraphs, sentences, and windows of each template's
+number of words, laid so that a cue word stands where the template has it) and whole
+licence texts as templates.
+
 Cases: null and empty texts match nothing; units of one word have no bigrams; a unit's
 best template is that of the largest Dice, then the smaller name; a document's is that
 of its best unit, by the same order; rows with equal ids share their matches; null ids
@@ -23,6 +28,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LEAST = 0.8
+#: More than the words of any template.
+WINDOW_STEP = 4096
 
 #: Names of public licences and notices or texts by which they are declared.
 TEMPLATES = (
@@ -46,6 +53,16 @@ TEMPLATES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
 
+_AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+_AS_IS_ISC = 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'
+_AS_IS_BSD = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+#: Whole licence texts, without the line that names the holder.
+WHOLE_TEXTS = (
+    ("BSD-2-Clause", TEMPLATES[2][1] + " " + _AS_IS_BSD),
+    ("ISC", TEMPLATES[12][1] + " " + _AS_IS_ISC),
+    ("MIT", TEMPLATES[15][1] + " " + _AS_IS),
+)
+
 
 def normalised(text: Column) -> Column:
     """Lower case, and anything but a-z, 0-9 and line ends as one blank."""
@@ -94,7 +111,34 @@ def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return rows.select("doc_id", F.posexplode(F.concat(F.array(whole), F.col("lines"))).alias("unit", "body")).where("body is not null")
 
 
-def matches(docs: DataFrame, templates=TEMPLATES, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def window_table(templates, least: float) -> dict[str, list[int]]:
+    """For each cue word of a template: its offset there times WINDOW_STEP, plus the template's number of words."""
+    out: dict[str, set[int]] = {}
+    for name, body in templates:
+        words = "".join(c if c.isascii() and c.isalnum() else " " for c in body.lower()).split()
+        for cue in cue_words([(name, body)], least):
+            out.setdefault(cue, set()).update(at * WINDOW_STEP + len(words) for at, word in enumerate(words) if word == cue)
+    return {cue: sorted(spots) for cue, spots in sorted(out.items())}
+
+
+def units_everywhere(docs: DataFrame, templates, least: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, unit, body): besides ``units``, paragraphs, sentences and windows of words at cues, all numbered on."""
+    raw = F.col(f"`{text_col}`")
+    plain = F.regexp_replace(normalised(raw), "\n", " ")
+    words = F.filter(F.split(plain, " "), lambda w: w != "")
+    spots = window_table(templates, least)
+    table = F.create_map(*[x for cue, at in spots.items() for x in (F.lit(cue), F.array(*[F.lit(a).cast("long") for a in at]))])
+    lines = F.split(normalised(raw), "\n")
+    paragraphs = F.split(raw, r"\n[ \t\r]*\n")
+    sentences = F.split(raw, r"(?<=[.!?])\s+")
+    flat = F.transform(F.concat(paragraphs, sentences), lambda x: F.regexp_replace(normalised(x), "\n", " "))
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), words.alias("words"), F.concat(F.array(plain), lines, flat).alias("parts"), table.alias("table"))
+    starts = F.flatten(F.transform("words", lambda w, i: F.transform(F.coalesce(F.try_element_at("table", w), F.array().cast("array<bigint>")), lambda s: F.greatest(i - F.floor(s / WINDOW_STEP), F.lit(0)) * WINDOW_STEP + s % WINDOW_STEP)))
+    windows = F.transform(F.array_distinct(starts), lambda x: F.array_join(F.slice("words", (F.floor(x / WINDOW_STEP) + 1).cast("int"), (x % WINDOW_STEP).cast("int")), " "))
+    return rows.select("doc_id", F.posexplode(F.concat("parts", windows)).alias("unit", "body")).where("body is not null")
+
+
+def matches(docs: DataFrame, templates=TEMPLATES, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text", everywhere: bool = False) -> DataFrame:
     """(doc_id, unit, license, dice) of every unit's best template with at least ``least``."""
     spark = docs.sparkSession
     shape = template_bigrams(spark, templates)
@@ -110,7 +154,8 @@ def matches(docs: DataFrame, templates=TEMPLATES, least: float = LEAST, id_col:
     for cue in cue_words(templates, least):
         # Short words are parts of many others, so they must stand alone.
         hopeful = hopeful | (lowered.contains(cue) if len(cue) > 4 else lowered.rlike(f"(?:^|[^a-z0-9]){cue}(?:[^a-z0-9]|$)"))
-    candidates = units(docs.where(hopeful), id_col, text_col).where(F.length(F.col("body")) >= 2 * low * shortest)
+    near = docs.where(hopeful)
+    candidates = (units_everywhere(near, templates, least, id_col, text_col) if everywhere else units(near, id_col, text_col)).where(F.length(F.col("body")) >= 2 * low * shortest)
     sets = candidates.where(F.size(F.split("body", " ")) >= low * shortest).withColumn("set", bigram_set(F.col("body"))).withColumn("n", F.size("set")).where(fits)
     shared = sets.select("doc_id", "unit", "n", F.explode("set").alias("bigram")).join(F.broadcast(shape), "bigram").where(F.col("n").between(low * F.col("b"), high * F.col("b")))
     counted = shared.groupBy("doc_id", "unit", "n", "template", "license", "b").agg(F.count(F.lit(1)).alias("common"))
@@ -127,6 +172,13 @@ def scan(docs: DataFrame, templates=TEMPLATES, least: float = LEAST, id_col: str
     return rows.select("doc_id", F.col("best.license").alias("license"), (-F.col("best.minus")).alias("dice"), F.coalesce("n_units", F.lit(0)).cast("long").alias("n_units"), F.coalesce("licenses", F.lit("")).alias("licenses"))
 
 
+def scan_everywhere(docs: DataFrame, templates=TEMPLATES + WHOLE_TEXTS, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row a document: doc_id, license, dice, licenses, as ``scan`` has them, of notices anywhere in the text; units overlap, so they aren't counted."""
+    found = matches(docs, templates, least, id_col, text_col, True).groupBy("doc_id").agg(F.min(F.struct((-F.col("dice")).alias("minus"), F.col("license"))).alias("best"), F.array_join(F.array_sort(F.collect_set("license")), ",").alias("licenses"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id")).join(found, "doc_id", "left")
+    return rows.select("doc_id", F.col("best.license").alias("license"), (-F.col("best.minus")).alias("dice"), F.coalesce("licenses", F.lit("")).alias("licenses"))
+
+
 def scan_sql(templates=TEMPLATES, least: float = LEAST) -> str:
     """The same over a table ``documents``, in DuckDB's SQL."""
     quoted = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(templates))

@@ -77,6 +77,11 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op8_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notices and licence texts anywhere in every document; no SQL, tests have notices inside longer texts."""
+    return license_scan.scan_everywhere(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality of every document, learned from the labels of those not held out; tests measure held-out accuracy."""
     stats = materialise(quality.document_statistics(table(spark, sf_dir, "documents")), "statistics")
@@ -97,6 +102,7 @@ QUERIES = {
     "op6_nearest_neighbours": op6_nearest_neighbours,
     "op7_language_id": op7_language_id,
     "op8_license_scan": op8_license_scan,
+    "op8_license_notices": op8_license_notices,
     "op9_quality": op9_quality,
     "op10_pivotal_mix": op10_pivotal_mix,
 }

@@ -36,3 +36,25 @@ def test_repeated_rows_and_empty_table(spark):
     docs = spark.createDataFrame([(1, "Released under the MIT License."), (1, "Released under the MIT License.")], "doc_id long, text string")
     assert [r["license"] for r in license_scan.scan(docs).collect()] == ["MIT", "MIT"]
     assert license_scan.scan(docs.limit(0)).count() == 0
+
+
+def test_notices_inside_longer_texts(spark):
+    import textwrap
+
+    whole = {name: text for name, text in license_scan.WHOLE_TEXTS}
+    prose = "We walked along the river and talked about the weather. "
+    texts = [
+        ("MIT", "Copyright (c) 2020 A B\n\n" + textwrap.fill(whole["MIT"], 60)),
+        ("BSD-2-Clause", textwrap.fill(whole["BSD-2-Clause"], 60)),
+        ("MIT", "Our tool is small and fast. Released under the MIT License. Contributions are welcome from all."),
+        ("MIT", "This file is released under the MIT License, see LICENSE."),
+        *[(name, prose * 60 + "\n" + textwrap.fill(text, 60) + "\n" + prose * 60) for name, text in whole.items()],
+        ("MIT", prose * 20 + "\n\n" + textwrap.fill(MIT, 50) + "\n\n" + prose * 20),
+        (None, prose * 50 + "The software is licensed to nobody."),
+        (None, None),
+        (None, ""),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["license"] for r in license_scan.scan_everywhere(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == [name for name, _ in texts]
+    assert license_scan.scan_everywhere(docs.limit(0)).count() == 0
