@@ -16,7 +16,8 @@ and a seed, so reruns agree.
 
 Cases: a null text has no words and no copies to round; repeated rows (equal id, source
 and size) count as one item of several copies and get counts that differ by one at
-most; a null source is a source of its own, last; an empty table gives no rows; other
+most; a null source is a source of its own, last; of a very long text only its number of
+words is mixed; an empty table gives no rows; other
 columns are ignored by ``mix`` and carried along by ``apply_mix``.
 """
 

@@ -12,7 +12,9 @@ aggregation; only those sums reach the driver.
 Cases: null and empty texts have the statistics of an empty text and get a score; ids
 with conflicting labels or a null label are not learned from; with under two rows in
 a class every score is that of the prior (0.5 without labels); repeated rows are
-scored alike; a null id hashes as an empty string.
+scored alike, and each is learned from; a null id hashes as an empty string and has no
+label; an empty table of documents gives no rows; very long texts are counted a part at a
+time; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinelake.llm.language import held_out
+from kinelake.llm.scratch import map_batches
 
 STATISTICS = ("log_chars", "log_words", "word_length", "upper", "digit", "punctuation", "symbol", "pipe", "non_ascii", "log_line_length", "repeated_lines", "distinct_words", "adjacent_repeats", "top_word")
 #: Weights of the pooled covariance and of the scaled identity.
@@ -89,19 +92,19 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "held_out", "x"])
 
     selected = docs.select(F.col(f"`{id_col}`"), held_out(F.col(f"`{id_col}`")).alias("held_out"), F.col(f"`{text_col}`"))
-    return selected.mapInArrow(run, f"doc_id {kind}, held_out boolean, x array<double>")
+    return map_batches(selected, run, f"doc_id {kind}, held_out boolean, x array<double>")
 
 
 @dataclass
 class Gaussian:
     mean: np.ndarray
-    factor: np.ndarray  # lower Cholesky factor of the covariance
+    whitener: np.ndarray  # inverse of the covariance's lower Cholesky factor, made once
     log_det: float
     log_prior: float
 
     def log_density(self, rows: np.ndarray) -> np.ndarray:
-        white = np.linalg.solve(self.factor, (rows - self.mean).T)
-        return self.log_prior - 0.5 * (self.log_det + (white**2).sum(axis=0))
+        white = (rows - self.mean) @ self.whitener.T
+        return self.log_prior - 0.5 * (self.log_det + (white**2).sum(axis=1))
 
 
 @dataclass
@@ -131,7 +134,7 @@ def from_sums(sums: dict[int, tuple[float, np.ndarray, np.ndarray]], to_pooled:
     for c in (0, 1):
         covariance = (1 - to_pooled - to_identity) * scatter[c] / n[c] + to_pooled * pooled + to_identity * scale
         factor = np.linalg.cholesky(covariance)
-        classes.append(Gaussian(means[c], factor, 2 * float(np.log(np.diag(factor)).sum()), float(np.log(n[c] / everything))))
+        classes.append(Gaussian(means[c], np.linalg.inv(factor), 2 * float(np.log(np.diag(factor)).sum()), float(np.log(n[c] / everything))))
     return Discriminant((classes[0], classes[1]), prior)
 
 
@@ -163,4 +166,4 @@ def score(stats: DataFrame, model: Discriminant) -> DataFrame:
             scores = model.score(rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype(np.int32), pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
-    return stats.select("doc_id", "held_out", "x").mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return map_batches(stats.select("doc_id", "held_out", "x"), run, f"doc_id {kind}, held_out boolean, score double, predicted int")

@@ -4,24 +4,35 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A key is hot when it holds at least 1/HOT_SHARE of all rows, so at most HOT_SHARE keys can be hot.
 HOT_SHARE = 1000
+#: Bytes of an Arrow batch that a Python worker gets at once, where the session hasn't set its own limit.
+BATCH_BYTES = 4 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder every executor shares: ``spark.checkpoint.dir``, or one of our own where that is unset (tests)."""
+    """The folder every executor shares: ``spark.checkpoint.dir``. Unset, it is one of our own in local mode (tests); on a cluster that is an error, as executors would write to their own disks."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not is_local(spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="kinelake-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/kinelake/{spark.sparkContext.applicationId}"
 
 
+def is_local(master: str) -> bool:
+    """Driver and executors are one process, with one file system."""
+    return master == "local" or master.startswith("local[")
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
@@ -33,6 +44,19 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def map_batches(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` over batches bounded by bytes, as rows may be long; a task's buffers go back to the system when it ends."""
+    conf, limit = rows.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not conf.get(limit, None):
+        conf.set(limit, str(BATCH_BYTES))
+
+    def task(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return rows.mapInArrow(task, schema)
+
+
 def clear(spark: SparkSession) -> None:
     """Delete this application's scratch tables, once results that read them have been written."""
     path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))

@@ -8,7 +8,8 @@ holds the whole histogram.
 
 Cases: null and empty texts have length 0 and a row like any other; repeated rows count
 each; an empty table has an empty histogram, from which ``answer`` returns zeros and
-null quantiles.
+null quantiles; very long texts are encoded in parts and are one length; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinelake.llm import bpe
-from kinelake.llm.scratch import materialise
+from kinelake.llm.scratch import map_batches, materialise
 
 BLOCK = 512
 
@@ -35,7 +36,7 @@ def encoded_lengths(docs: DataFrame, rank_path: str, id_col: str = "doc_id", tex
             sizes = [len(codec.encode(text.as_py() or "")) for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], ["doc_id", "n_tokens"])
 
-    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(run, f"doc_id {kind}, n_tokens long")
+    return map_batches(docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), run, f"doc_id {kind}, n_tokens long")
 
 
 def histogram(lengths: DataFrame) -> DataFrame:
