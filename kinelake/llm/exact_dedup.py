@@ -1,15 +1,17 @@
 """Exact deduplication against a persistent digest index.
 
 The index is a warehouse table bucketed and sorted by digest, with one row a
-distinct text: (digest, first_id). A batch of new documents is hashed, reduced to
+distinct text: (digest, first_id, batch). A batch of new documents is hashed, reduced to
 one row a digest, and compared with the index by a sort-merge anti-join that
-needs no exchange of the index; the digests that remain are appended. Texts never
-enter a shuffle, only their digests do.
+needs no exchange of the index; the digests that remain are appended, tagged with the
+batch's name. A job that dies after that and is run again under the same name finds its own
+digests and takes them for new once more, so no text is lost. Texts never enter a shuffle,
+only their digests do.
 
 Cases: a null text counts as empty; texts are equal when identical after each run
 of blanks (0x20, 0x09-0x0D) becomes one space; null ids come after all others; of
 repeated rows (equal id and text) exactly one stays; an empty batch appends
-nothing; columns besides the id and text are ignored by ``deduplicate`` and
+nothing; a text of any length is one digest in the shuffles; columns besides the id and text are ignored by ``deduplicate`` and
 carried along by ``keep_first``, whatever their names.
 """
 
@@ -36,7 +38,7 @@ class DigestIndex:
     def __init__(self, spark: SparkSession, table: str, id_type: T.DataType | None = None, buckets: int = 64):
         self.spark, self.table, self.buckets = spark, table, buckets
         if not spark.catalog.tableExists(table):
-            schema = T.StructType([T.StructField("digest", T.StringType()), T.StructField("first_id", id_type or T.LongType())])
+            schema = T.StructType([T.StructField("digest", T.StringType()), T.StructField("first_id", id_type or T.LongType()), T.StructField("batch", T.StringType())])
             self._append(spark.createDataFrame([], schema))
 
     def _append(self, rows: DataFrame) -> None:
@@ -49,12 +51,14 @@ class DigestIndex:
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
 
-    def add(self, groups: DataFrame) -> DataFrame:
-        """Append the digests of ``groups`` (digest, first_id) that the index lacks; returns those."""
-        fresh = groups.select("digest", "first_id").repartition(self.buckets, "digest")
-        fresh = materialise(fresh.join(self.read().select("digest").hint("merge"), "digest", "left_anti"), "fresh")
-        self._append(fresh.repartition(self.buckets, "digest"))
-        return fresh
+    def add(self, groups: DataFrame, batch: str) -> DataFrame:
+        """Append the digests of ``groups`` (digest, first_id) that the index lacks; returns those, and those that ``batch`` appended in an earlier run."""
+        offered = groups.select("digest", "first_id").repartition(self.buckets, "digest")
+        known = self.read().select("digest", "batch").hint("merge")
+        met = offered.join(known, "digest", "left").where(F.col("batch").isNull() | (F.col("batch") == batch))
+        fresh = materialise(met, "fresh")
+        self._append(fresh.where("batch is null").withColumn("batch", F.lit(batch)).repartition(self.buckets, "digest"))
+        return fresh.drop("batch")
 
 
 def first_id(column: Column) -> Column:
@@ -70,16 +74,17 @@ def digest_groups(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFram
     return members, materialise(groups, "digest-groups")
 
 
-def deduplicate(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None) -> DataFrame:
     """One row a document of the batch: doc_id, keep_id, group_size (in the batch), kept, digest.
 
     keep_id is the id that the index holds for the text: one from an earlier batch
-    if there is one, and then no row of this batch is kept.
+    if there is one, and then no row of this batch is kept. A run that repeats a failed one
+    gives the same ``batch``.
     """
     members, groups = digest_groups(docs, id_col, text_col)
     total = members.count()
-    fresh = index.add(groups).select("digest", F.lit(True).alias("is_fresh"))
-    known = index.read().hint("merge").withColumnRenamed("first_id", "keep_id")
+    fresh = index.add(groups, batch or uuid.uuid4().hex).select("digest", F.lit(True).alias("is_fresh"))
+    known = index.read().select("digest", "first_id").hint("merge").withColumnRenamed("first_id", "keep_id")
     resolved = groups.join(fresh, "digest", "left").join(known, "digest")
     rows = join_hot_split(members, resolved, ["digest"], "members", total)
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
@@ -87,10 +92,10 @@ def deduplicate(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
     return rows.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "digest")
 
 
-def keep_first(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_first(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None) -> DataFrame:
     """The rows of ``docs`` that deduplicate() keeps, all columns unchanged. Texts are moved once, to their own digest's partition."""
     _, groups = digest_groups(docs, id_col, text_col)
-    fresh = index.add(groups).select(F.col("digest").alias("_digest"), F.col("first_id").alias("_first"))
+    fresh = index.add(groups, batch or uuid.uuid4().hex).select(F.col("digest").alias("_digest"), F.col("first_id").alias("_first"))
     carried = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{id_col}`").alias("_id"), digest(F.col(f"`{text_col}`")).alias("_digest"))
     own = carried.join(fresh, (carried["_digest"] == fresh["_digest"]) & carried["_id"].eqNullSafe(fresh["_first"]), "left_semi")
     return own.dropDuplicates(["_digest", "_id"]).select("_row.*")

@@ -36,6 +36,17 @@ def test_later_batches_meet_the_index(spark):
     assert index.read().count() == 3
 
 
+def test_a_repeated_run_of_a_batch_keeps_its_texts(spark):
+    """The first run died after it had appended its digests."""
+    index = exact_dedup.scratch_index(spark, buckets=4)
+    exact_dedup.deduplicate(frame(spark, [(10, "a")]), index, batch="one").collect()
+    rows = frame(spark, [(1, "a"), (2, "c"), (3, "c")])
+    runs = [sorted(map(tuple, exact_dedup.deduplicate(rows, index, batch="two").collect())) for _ in range(2)]
+    assert runs[0] == runs[1] and [r[0] for r in runs[0] if r[3]] == [2]
+    assert [r["doc_id"] for r in exact_dedup.keep_first(rows, index, batch="two").collect()] == [2]
+    assert exact_dedup.keep_first(rows, index, batch="three").count() == 0 and index.read().count() == 2
+
+
 def test_keep_first_carries_all_columns(spark):
     docs = frame(spark, ROWS)
     kept = exact_dedup.keep_first(docs, exact_dedup.scratch_index(spark, buckets=4))
