@@ -2,42 +2,46 @@
 
 A text becomes a vector of hashed character 1- to 3-grams: square-rooted counts times
 inverse document frequency, normalised. Each language has a few centroids, found by
-spherical k-means over a bounded sample of labelled documents (``fit_rows``, spread
-evenly over the languages); a document gets the language of the centroid with the
+spherical k-means over a sample of labelled documents: of each language, at most its even
+share of ``fit_rows`` distinct texts, those with the smallest hashes; a document gets the language of the centroid with the
 largest cosine. Distance-based rejection: for texts of like length, a cosine below
 ``slack`` times the 1 % quantile that sample texts of that length reach is marked.
 
 Cases: null texts and texts without a letter are ``und`` with score 0 and count as
 rejected; so is everything when no labelled document can be learned from. Repeated
-rows are predicted alike; a null id hashes as an empty string; other columns, the
-label column included, are no input of a prediction.
+rows are predicted alike and are one text of the sample; a null id hashes as an empty
+string; an empty table has no languages and no predictions; very long texts are counted a
+part at a time; other columns, the label column included, are no input of a prediction,
+and ``accepted`` carries them along whatever their names.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kinelake.llm.scratch import map_batches
+
 UNKNOWN = "und"
 DIMENSIONS = 2048
-#: Labelled documents that the centroids are fitted on, about; the rest are not needed.
+#: Labelled documents that the centroids are fitted on, at most; the rest are not needed.
 FIT_ROWS = 3000
 CENTROIDS = 3
 MAX_LANGUAGES = 500
 SLACK = 0.6
 _STEP = 1 << 20
 _CUTS = (4, 8, 16, 32, 64, 128, 256, 512)
-_LETTER = re.compile(r"[^\W\d_]")
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], dtype=np.uint32)
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and bool(_LETTER.search(text))
+    """Whether some character is of a Unicode letter category; fractions and other numbers are not."""
+    return bool(text) and any(map(str.isalpha, text))
 
 
 def ngram_counts(text: str) -> np.ndarray:
@@ -132,16 +136,20 @@ def held_out(id_column: Column) -> Column:
 
 
 def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", fit_rows: int = FIT_ROWS, k: int = CENTROIDS, seed: int = 11) -> Model:
-    """Fit on about ``fit_rows`` rows of ``labelled``, as many of each language where there are enough."""
+    """Fit on at most ``fit_rows`` distinct texts of ``labelled``, as many of each language where there are enough."""
     rows = labelled.select(F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text")).where("lang is not null and text is not null")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    rows = rows.withColumn("draw", F.xxhash64(F.lit(seed), "text"))
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("draw").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not sizes:
         return fit_sample([], np.zeros((0, DIMENSIONS)), [])
-    shares = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, fit_rows / len(sizes) / n))])
-    drawn = F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(1_000_000)) < shares[F.col("lang")] * 1_000_000
-    sample = rows.where(drawn)
+    each = max(1, fit_rows // len(sizes))
+    # Somewhat more are drawn than needed, by hash, so that copies are one; then each language is cut at its share.
+    shares = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 1.5 * each / n))])
+    drawn = rows.where(F.pmod("draw", F.lit(1_000_000)) < shares[F.col("lang")] * 1_000_000).dropDuplicates(["lang", "draw"])
+    nth = F.row_number().over(W.partitionBy("lang").orderBy(F.pmod("draw", F.lit(1_000_000)), "draw"))
+    sample = drawn.withColumn("nth", nth).where(F.col("nth") <= each).select("lang", "text")
 
     def run(batches):
         for batch in batches:
@@ -154,7 +162,7 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", fit
                     heads.append(text[: _CUTS[-1] + 1])
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(counts, pa.binary()), pa.array(heads, pa.string())], ["lang", "counts", "head"])
 
-    got = sample.mapInArrow(run, "lang string, counts binary, head string").orderBy("lang", "head").toPandas()
+    got = map_batches(sample, run, "lang string, counts binary, head string").toPandas().sort_values(["lang", "head", "counts"])
     counts = np.array([np.frombuffer(x, dtype=np.float32) for x in got["counts"]]).reshape(-1, DIMENSIONS)
     return fit_sample(list(got["lang"]), counts, list(got["head"]), k)
 
@@ -170,7 +178,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             found = [model.predict(text.as_py()) for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[i] for x in found], t) for i, t in enumerate((pa.string(), pa.float64(), pa.bool_())))], ["doc_id", "lang_pred", "score", "rejected"])
 
-    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, rejected boolean")
+    return map_batches(docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), run, f"doc_id {kind}, lang_pred string, score double, rejected boolean")
 
 
 def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
