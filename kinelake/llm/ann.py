@@ -1,29 +1,36 @@
 """Approximate nearest neighbours by multiprobe p-stable hashing.
 
 A hash is the floor of (a . v + b) / width for a Gaussian a; a table's bucket is the
-tuple of ``hashes`` of them. Every distinct vector stands in one bucket of each table.
-A query visits, in each table, its own bucket and those that differ by one step in
-some hashes, in order of estimated success: by the sum of squared distances from the
-query's projections to the sides it would cross (never further than one step). Each
-visited bucket gives its nearest vectors by exact distance; the tables' lists are merged.
+tuple of ``hashes`` of them, of which there are more the more vectors there are, so that
+a bucket keeps about ``BUCKET`` vectors. Every distinct vector stands in one bucket of
+each table. A query visits, in each table, its own bucket and those that differ by one
+step in some hashes, in order of estimated success: by the sum of squared distances from
+the query's projections to the sides it would cross (never further than one step). The
+first visits of that order are found hash by hash: the best m of a sum of independent
+choices are among the best m of the sum so far. Each visited bucket gives its nearest
+vectors by exact distance; the tables' lists are merged.
 
 The width, and how many buckets a query visits, are fitted on a bounded sample
 (``fit_rows``): for the sample's true neighbours the rank of their bucket in that order is
-known, and as many buckets are visited as make the tables together reach ``target``.
-Neighbours in a sample are farther than in the whole, so this errs on the safe side.
+known, and as many buckets are visited as make the tables together reach ``target``; of
+a few widths the one that compares fewest vectors is taken. Neighbours in a sample are
+farther than in the whole, so this errs on the safe side.
 
 Equal vectors are one vector with its smallest ids (k + 1 are enough for any
-answer); large buckets are cut into blocks of about ``BLOCK`` vectors, to each of which
-the bucket's queries go. Queries that found under k vectors are compared with all.
+answer). The vectors of a bucket are cut into blocks of about ``BLOCK``, its queries into
+parts of about ``ASKS``, and each part meets each block in a group of its own. Only visits
+to buckets that hold a vector are moved. Queries that found under k vectors are compared
+with all, in the same blocks and parts.
 
 Cases: vectors that are null, all zero, or hold null or non-finite components take no
 part, as query or candidate; vectors of different lengths never meet; repeated rows (equal
-id and vector) are one; ties go to the smaller id; an empty table gives no rows.
+id and vector) are one; of vectors at one distance, however many, those with the smaller
+ids stand first; an empty table gives no rows; other columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
 
-import itertools
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,14 +39,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kinelake.llm.scratch import materialise
+from kinelake.llm.scratch import map_batches, materialise
 
 FIT_ROWS, FIT_QUERIES = 4096, 256
 TARGET = 0.97
 TABLES = 3
-#: The visiting order is listed in full, so hashes are at most so many (3 ** 7 buckets).
-MOST_HASHES = 7
-BLOCK = 4096
+#: Vectors of a bucket, about; vectors of a block and queries of a part, about.
+BUCKET, BLOCK, ASKS = 200, 4096, 1024
+#: Widths that are tried, in distances of the sample's neighbours.
+WIDTHS = (1.5, 2.0, 3.0, 4.0)
 
 
 @dataclass
@@ -55,16 +63,19 @@ class Hashing:
         directions = rng.normal(size=(rows.shape[1], self.hashes))
         return (rows @ directions + rng.uniform(0, self.width, self.hashes)) / self.width
 
-    def steps(self) -> np.ndarray:
-        return np.array(list(itertools.product((0, -1, 1), repeat=self.hashes)), dtype=np.int64)
-
-    def visits(self, projected: np.ndarray) -> np.ndarray:
-        """Order of ``steps`` for each row of projections, the most promising first."""
+    def visits(self, projected: np.ndarray, most: int) -> np.ndarray:
+        """The ``most`` promising moves (rows x moves x hashes, steps of -1, 0, 1) for each row of projections, best first."""
         part = projected - np.floor(projected)
-        cost = np.stack([np.zeros_like(part), (1 - part) ** 2, part**2], axis=-1)  # by step 0, 1, -1
-        steps = self.steps()
-        total = sum(cost[:, i, steps[:, i]] for i in range(self.hashes))
-        return np.argsort(total, axis=1, kind="stable")
+        n = len(part)
+        cost, moves = np.zeros((n, 1)), np.zeros((n, 1, 0), dtype=np.int8)
+        for i in range(self.hashes):
+            sides = np.stack([np.zeros(n), (1 - part[:, i]) ** 2, part[:, i] ** 2], axis=1)  # by step 0, 1, -1
+            total = (cost[:, :, None] + sides[:, None]).reshape(n, -1)
+            order = np.argsort(total, axis=1, kind="stable")[:, :most]
+            cost = np.take_along_axis(total, order, axis=1)
+            step = np.array([0, 1, -1], dtype=np.int8)[order % 3]
+            moves = np.concatenate([np.take_along_axis(moves, (order // 3)[:, :, None], axis=1), step[:, :, None]], axis=2)
+        return moves
 
 
 def bucket_key(cells: np.ndarray) -> np.ndarray:
@@ -77,31 +88,62 @@ def bucket_key(cells: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def fit(sample: np.ndarray, rows: int, k: int = 10, target: float = TARGET, tables: int = TABLES) -> Hashing:
-    """Choose width, number of hashes and visits from ``sample`` (float64 rows), for an index of ``rows`` vectors."""
-    hashes = int(np.clip(np.rint(np.log(max(rows, 1) / 200) / np.log(3)), 2, MOST_HASHES))
-    everything = Hashing(1.0, hashes, tables, 3**hashes)
-    if len(sample) < k + 2:
-        return everything
-    queries = sample[:FIT_QUERIES]
+def neighbours(sample: np.ndarray, asked: int, k: int) -> tuple[np.ndarray, float]:
+    """The k nearest rows of the first ``asked`` rows, themselves left out, and the median of their distances."""
+    queries = sample[:asked]
     square = (queries**2).sum(axis=1)[:, None] + (sample**2).sum(axis=1)[None] - 2 * queries @ sample.T
     square[np.arange(len(queries)), np.arange(len(queries))] = np.inf
     near = np.argpartition(square, k, axis=1)[:, :k]
-    distance = float(np.sqrt(max(np.median(np.take_along_axis(square, near, axis=1)), 1e-24)))
-    chosen = Hashing(2 * distance, hashes, tables, 3**hashes)
-    ranks = []
-    code = 3 ** np.arange(hashes)[::-1]
-    for table in range(tables):
-        projected = chosen.projections(sample, table)
+    return near, float(np.sqrt(max(np.median(np.take_along_axis(square, near, axis=1)), 1e-24)))
+
+
+def needed_visits(hashing: Hashing, sample: np.ndarray, near: np.ndarray, target: float) -> tuple[int, float] | None:
+    """Visits by which the tables together reach ``target`` of the neighbours, and the sample's rows then compared; None if they don't reach it."""
+    cells = [hashing.projections(sample, table) for table in range(hashing.tables)]
+    deltas = [(c := np.floor(p).astype(np.int64))[near] - c[: len(near), None] for p in cells]
+    reachable = np.any([(np.abs(d) <= 1).all(axis=-1) for d in deltas], axis=0)
+    if reachable.mean() < target:
+        return None
+    most, everything = 16, 3**hashing.hashes
+    code = 3 ** np.arange(hashing.hashes, dtype=np.int64)
+    while True:
+        ranks, compared = [], 0.0
+        for projected, delta in zip(cells, deltas, strict=True):
+            moves = hashing.visits(projected[: len(near)], most)
+            codes = ((moves.astype(np.int64) + 1) * code).sum(axis=-1)
+            wanted = np.where((np.abs(delta) <= 1).all(axis=-1), ((delta + 1) * code).sum(axis=-1), -1)
+            same = codes[:, None, :] == wanted[:, :, None]
+            ranks.append(np.where(same.any(axis=-1), same.argmax(axis=-1), most))
+        best = np.sort(np.min(ranks, axis=0).ravel())
+        visits = int(best[min(len(best) - 1, int(np.ceil(target * len(best))))]) + 1
+        if visits <= most or most >= everything:
+            break
+        most = min(4 * most, everything)
+    visits = min(visits, everything)
+    for projected in cells:
         cell = np.floor(projected).astype(np.int64)
-        delta = cell[near] - cell[: len(queries), None]
-        rank_of = np.argsort(chosen.visits(projected[: len(queries)]), axis=1)
-        digits = np.where(delta == -1, 1, np.where(delta == 1, 2, 0))
-        rank = np.take_along_axis(rank_of, (digits * code).sum(axis=-1), axis=1)
-        ranks.append(np.where((np.abs(delta) > 1).any(axis=-1), 3**hashes, rank))
-    best = np.sort(np.min(ranks, axis=0).ravel())
-    chosen.probes = int(min(3**hashes, best[min(len(best) - 1, int(target * len(best)))] + 1))
-    return chosen
+        stored = np.sort(bucket_key(cell))
+        asked = bucket_key(cell[: len(near), None] + hashing.visits(projected[: len(near)], visits))
+        compared += float((np.searchsorted(stored, asked, "right") - np.searchsorted(stored, asked, "left")).sum())
+    return visits, compared
+
+
+def fit(sample: np.ndarray, rows: int, k: int = 10, target: float = TARGET, tables: int = TABLES) -> Hashing:
+    """Choose width, number of hashes and visits from ``sample`` (float64 rows), for an index of ``rows`` vectors."""
+    hashes = max(0, int(np.rint(np.log(max(rows, 1) / BUCKET) / np.log(3))))
+    if len(sample) < k + 2:
+        return Hashing(1.0, 0, 1, 1)
+    near, distance = neighbours(sample, FIT_QUERIES, k)
+    while True:
+        found = []
+        for width in WIDTHS:
+            hashing = Hashing(width * distance, hashes, tables, 1)
+            if got := needed_visits(hashing, sample, near, target):
+                hashing.probes = got[0]
+                found.append((got[1], width, hashing))
+        if found:
+            return min(found, key=lambda x: x[:2])[2]
+        hashes -= 1  # no hashes are one bucket, which reaches any target
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -125,7 +167,7 @@ def _matrix(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def placed(rows: DataFrame, hashing: Hashing, as_queries: bool) -> DataFrame:
-    """(spot, key, group_id, v) for each bucket that a vector stands in or, as a query, visits; spot is the table."""
+    """(spot, key, group_id) for each bucket that a vector stands in or, as a query, visits; spot is the table."""
 
     def run(batches):
         for batch in batches:
@@ -135,25 +177,40 @@ def placed(rows: DataFrame, hashing: Hashing, as_queries: bool) -> DataFrame:
                     cells = np.floor(projected).astype(np.int64)
                     cells = np.concatenate([cells, np.full((len(cells), 1), matrix.shape[1])], axis=1)
                     if as_queries:
-                        order = hashing.visits(projected)[:, : hashing.probes]
-                        moves = np.pad(hashing.steps(), ((0, 0), (0, 1)))[order]
-                        keys, owner = bucket_key(cells[:, None] + moves).ravel(), np.repeat(at, order.shape[1])
+                        step = max(1, (1 << 18) // hashing.probes)
+                        for a in range(0, len(cells), step):
+                            moves = np.pad(hashing.visits(projected[a : a + step], hashing.probes), ((0, 0), (0, 0), (0, 1)))
+                            keys = bucket_key(cells[a : a + step, None] + moves)
+                            yield from rows_of(batch, table, keys.ravel(), np.repeat(at[a : a + step], keys.shape[1]))
                     else:
-                        keys, owner = bucket_key(cells), at
-                    for a in range(0, len(keys), 4096):
-                        part = pa.array(owner[a : a + 4096])
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), table, dtype=np.int32)), pa.array(keys[a : a + 4096]), batch.column(0).take(part), batch.column(1).take(part)], ["spot", "key", "group_id", "v"])
+                        yield from rows_of(batch, table, bucket_key(cells), at)
+
+    def rows_of(batch, table, keys, owner):
+        for a in range(0, len(keys), 1 << 16):
+            some = keys[a : a + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), table, dtype=np.int32)), pa.array(some), batch.column(0).take(pa.array(owner[a : a + (1 << 16)]))], ["spot", "key", "group_id"])
+
+    return map_batches(rows.select("group_id", "v"), run, "spot int, key long, group_id long")
+
+
+def nearest_in_blocks(index: DataFrame, queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """(query, group_id, score): the k nearest of each block a query meets, from (spot, key, group_id) of vectors and of visits.
 
-    return rows.select("group_id", "v").mapInArrow(run, f"spot int, key long, group_id long, v {rows.schema['v'].dataType.simpleString()}")
+    A bucket's vectors are cut into blocks, its queries into parts. ``vectors`` (group_id, v) gives both their components.
+    """
+    index, queries = materialise(index, "ann-index"), materialise(queries, "ann-visits")
+    stored = index.groupBy("spot", "key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    asked = queries.groupBy("spot", "key").agg(F.ceil(F.count(F.lit(1)) / ASKS).cast("int").alias("parts"))
+    sizes = materialise(stored.join(asked, ["spot", "key"]), "ann-buckets")
 
+    def dealt(rows: DataFrame, own: str, other: str, asks: bool) -> DataFrame:
+        """Each row once for every group of its own block or part."""
+        mine = F.pmod(F.xxhash64("group_id"), F.col({"block": "blocks", "part": "parts"}[own])).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.col({"block": "blocks", "part": "parts"}[other]) - 1))
+        rows = rows.join(sizes, ["spot", "key"]).withColumn(own, mine).withColumn(other, every)
+        return rows.select("spot", "key", "block", "part", F.lit(asks).alias("asks"), "group_id")
 
-def nearest_in_blocks(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query, group_id, score): the k nearest of each block a query meets. Blocks are parts of a (spot, key)."""
-    sizes = index.groupBy("spot", "key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    sizes = materialise(sizes, "ann-buckets")
-    stored = index.join(sizes, ["spot", "key"]).withColumn("block", F.pmod(F.xxhash64("group_id"), F.col("blocks")).cast("int"))
-    asked = queries.join(sizes, ["spot", "key"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    both = stored.withColumn("asks", F.lit(False)).unionByName(asked.withColumn("asks", F.lit(True))).select("spot", "key", "block", "asks", "group_id", "v")
+    both = dealt(index, "block", "part", False).unionByName(dealt(queries, "part", "block", True)).join(vectors.select("group_id", "v"), "group_id")
 
     def run(group: pa.Table) -> pa.Table:
         asks = group.column("asks").to_numpy(zero_copy_only=False)
@@ -165,19 +222,22 @@ def nearest_in_blocks(index: DataFrame, queries: DataFrame, k: int) -> DataFrame
                 continue
             stored, own = matrix[has], ids[at[has]]
             square = (stored**2).sum(axis=1)
+            n = min(len(has), k)
             for a in range(0, len(ask), 256):
                 some = matrix[ask[a : a + 256]]
                 rough = square[None] - 2 * some @ stored.T
-                n = min(len(has), k + 4)
-                near = np.argpartition(rough, n - 1, axis=1)[:, :n] if n < len(has) else np.tile(np.arange(n), (len(some), 1))
-                exact = np.sqrt(((stored[near] - some[:, None]) ** 2).sum(axis=-1))
-                order = np.lexsort((own[near], exact), axis=1)[:, :k]
-                near, exact = np.take_along_axis(near, order, axis=1), np.take_along_axis(exact, order, axis=1)
-                out.append((np.repeat(ids[at[ask[a : a + 256]]], near.shape[1]), own[near].ravel(), exact.ravel()))
+                # The rough distances leave out the query's own square and round; all rows within the rounding of the n-th are compared exactly.
+                slack = 8 * (matrix.shape[1] + 4) * np.finfo(np.float64).eps * (square.max() + (some**2).sum(axis=1))
+                row, column = np.nonzero(rough <= (np.partition(rough, n - 1, axis=1)[:, n - 1] + slack)[:, None])
+                exact = np.concatenate([np.sqrt(((stored[column[i : i + 65536]] - some[row[i : i + 65536]]) ** 2).sum(axis=1)) for i in range(0, len(row), 65536)])
+                order = np.lexsort((own[column], exact, row))
+                row, column, exact = row[order], column[order], exact[order]
+                first = np.arange(len(row)) - np.searchsorted(row, row) < n
+                out.append((ids[at[ask[a : a + 256]]][row[first]], own[column[first]], exact[first]))
         columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table(dict(zip(("query", "group_id", "score"), columns, strict=True)))
 
-    return both.groupBy("spot", "key", "block").applyInArrow(run, "query long, group_id long, score double")
+    return both.groupBy("spot", "key", "block", "part").applyInArrow(run, "query long, group_id long, score double")
 
 
 def best_of(found: DataFrame, k: int) -> DataFrame:
@@ -192,19 +252,20 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
     rows = usable(vectors, id_col, vector_col)
     distinct = materialise(distinct_vectors(rows, k + 1), "ann-vectors")
     n = distinct.count()
-    drawn = distinct.where(F.pmod(F.xxhash64(F.lit(5), "group_id"), F.lit(1_000_000)) < 1_000_000 * min(1.0, fit_rows / max(n, 1)))
-    sample = _matrix(pa.array([r[0] for r in drawn.orderBy(F.xxhash64("group_id")).select("v").collect()]))
+    # Somewhat more are drawn than needed, by hash, and the first of them kept.
+    drawn = distinct.where(F.pmod(F.xxhash64(F.lit(5), "group_id"), F.lit(1_000_000_000)) < 1_000_000_000 * min(1.0, 1.5 * fit_rows / max(n, 1)))
+    sample = _matrix(pa.array([r[0] for r in drawn.orderBy(F.xxhash64("group_id"), "group_id").limit(fit_rows).select("v").collect()]))
     hashing = fit(max((m for _, m in sample), key=len) if sample else np.zeros((0, 1)), n, k, target, tables)
 
     asking = materialise(rows.where(is_query).select(F.col("vec_id").alias("query_id"), "v").distinct().join(distinct.select("v", "group_id"), "v").select("query_id", "group_id"), "ann-asking")
     queries = distinct.join(asking.select("group_id").distinct(), "group_id", "left_semi").select("group_id", "v")
-    found = nearest_in_blocks(placed(distinct, hashing, False), placed(queries, hashing, True), k + 1)
+    found = nearest_in_blocks(placed(distinct, hashing, False), placed(queries, hashing, True), distinct, k + 1)
     best = materialise(best_of(found, k + 1), "ann-found")
     short = queries.join(best.groupBy(F.col("query").alias("group_id")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min(k + 1, n)), "group_id", "left_anti")
     short = materialise(short, "ann-short")
     if not short.isEmpty():
-        everywhere = [F.lit(-1).alias("spot"), F.size("v").cast("long").alias("key"), "group_id", "v"]
-        best = best_of(best.unionByName(nearest_in_blocks(distinct.select(*everywhere), short.select(*everywhere), k + 1)), k + 1)
+        everywhere = [F.lit(-1).alias("spot"), F.size("v").cast("long").alias("key"), "group_id"]
+        best = best_of(best.unionByName(nearest_in_blocks(distinct.select(*everywhere), short.select(*everywhere), distinct, k + 1)), k + 1)
 
     listed = best.join(distinct.select("group_id", "ids"), "group_id").select("query", "score", F.explode("ids").alias("vec_id"))
     order = W.partitionBy("query").orderBy("score", "vec_id")

@@ -1,3 +1,5 @@
+import itertools
+
 import numpy as np
 import pytest
 
@@ -34,6 +36,7 @@ def clustered(n, d, seed=0):
 
 def test_recall_and_exact_scores(spark, monkeypatch):
     monkeypatch.setattr(ann, "BLOCK", 300)
+    monkeypatch.setattr(ann, "ASKS", 7)
     rows = clustered(6000, 16)
     rows += [(10_000 + i, rows[3][1]) for i in range(500)]  # one vector with very many rows, queries among them
     table = spark.createDataFrame([(i, v, 1.0) for i, v in rows], "vec_id long, embedding array<float>, score double")
@@ -60,11 +63,36 @@ def test_empty_table(spark):
     assert ann.search(table, table["vec_id"] % 100 == 0).count() == 0
 
 
-@pytest.mark.parametrize("hashes", [2, 4])
-def test_visits_are_in_order_of_cost(hashes):
-    hashing = ann.Hashing(1.0, hashes, 1, 9)
+@pytest.mark.parametrize("hashes", [0, 2, 5])
+def test_visits_are_the_best_of_all_moves_in_order(hashes):
     point = np.random.default_rng(1).random((3, hashes))
-    steps, order = hashing.steps(), hashing.visits(point)
-    for p, o in zip(point, order, strict=True):
-        cost = [sum({0: 0, -1: f**2, 1: (1 - f) ** 2}[s] for f, s in zip(p, steps[i], strict=True)) for i in o]
-        assert cost == sorted(cost) and not steps[o[0]].any()
+    every = list(itertools.product((0, -1, 1), repeat=hashes))
+
+    def cost(p, move):
+        return sum({0: 0, -1: f**2, 1: (1 - f) ** 2}[int(x)] for f, x in zip(p, move, strict=True))
+
+    for most in (1, 7, 3**hashes):
+        for p, moves in zip(point, ann.Hashing(1.0, hashes, 1, 1).visits(point, most), strict=True):
+            assert np.allclose([cost(p, m) for m in moves], sorted(cost(p, m) for m in every)[:most])
+            assert len({tuple(m) for m in moves}) == min(most, len(every)) and not moves[0].any()
+
+
+def test_ties_go_to_smaller_ids(spark):
+    """All distances are equal, so only ids decide."""
+    rows = [(i, np.eye(64)[i % 64].tolist()) for i in range(64)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = as_lists(ann.search(table, table["vec_id"] % 16 == 0).collect())
+    assert {q: [j for _, j in near] for q, near in got.items()} == {q: [j for j in range(12) if j != q][:10] for q in (0, 16, 32, 48)}
+
+
+def test_ties_within_a_block_far_from_the_origin(spark):
+    """The expanded form of the distance loses these; the exact distances decide."""
+    rows = [(i, [1e8 + (i % 7), 1e8]) for i in range(300)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert as_lists(ann.search(table, table["vec_id"] % 100 == 0).collect()) == brute(rows, 10)
+
+
+def test_hashes_grow_with_the_rows():
+    sample = np.array([v for _, v in clustered(2000, 16)])
+    assert [ann.fit(sample, n).hashes for n in (100, 2_000, 10**6)] == sorted({ann.fit(sample, n).hashes for n in (100, 2_000, 10**6)})
+    assert ann.fit(sample, 10**6).hashes >= 7
