@@ -1,24 +1,32 @@
 """Information-theoretic sanitisation of personal data.
 
-Pattern matches (e-mail, IP, card, phone) are the protected entities. A term reveals
+Pattern matches (e-mail, IP, card, phone, and secrets that are assigned to names such as
+``token``) are the protected entities, each by its value and by its kind. A term reveals
 an entity as far as the entity's information is contained in it: pointwise mutual
 information over the entity's information content,
 
     PMI(c, t) / IC(c) = 1 + log2 p(c | t) / -log2 p(c),
 
-with probabilities estimated over the distinct texts of the corpus. Terms that stand
-near an entity in at least ``support`` distinct texts are candidates; those whose ratio
-reaches ``generalise_at`` for some entity are generalised, and from ``remove_at`` on
-removed, wherever they occur. Matches themselves are always generalised to their kind.
+with probabilities estimated over the distinct texts of the corpus: p(c | t) is the share
+of the texts with t, anywhere in them, that hold c. Candidates are terms that stand near an
+entity, or near entities of a kind, in at least ``support`` distinct texts; those whose
+ratio reaches ``generalise_at`` for some entity or kind are generalised, and from
+``remove_at`` on removed, wherever they occur. Matches themselves are always generalised to
+their kind. An entity that stands in fewer texts than ``support`` has too little evidence
+for terms of its own; its kind has.
 
 The work is three passes over the texts. The first finds matches and the terms around
 them; pairs of entity and term are counted by key. The second looks for candidate
-terms only, by a bitmap of fixed size that lets few others through, and counts the
-texts that hold them. The third finds where the revealing terms stand. Terms and entities meet in joins by hash, never on the driver.
+terms only, by a bitmap of fixed size that lets few others through, and gives the terms of
+every text. Pairs that can't reach the ratio even if every text with the entity held the
+term are left out before texts are joined. The third pass finds where the revealing terms
+stand. Terms and entities meet in joins by hash, never on the driver.
 
 Cases: a null text counts as empty and has no spans; repeated rows are one text for
 the statistics and one row each in the result; rows whose id is null are kept; texts
-without matches can still hold revealing terms; an empty table has no terms.
+without matches can still hold revealing terms; very long texts are searched whole, in
+time linear in their length; an empty table has no terms; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -29,13 +37,16 @@ from bisect import bisect_left
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinelake.llm.scratch import join_hot_split, key_bitmap, materialise
+from kinelake.llm.scratch import join_hot_split, key_bitmap, map_batches, materialise
 
-KINDS = ("email", "ip", "card", "phone", "term", "removed")
+KINDS = ("email", "ip", "card", "phone", "secret", "term", "removed")
+BASE, SECRET, TERM, REMOVED = 4, 4, 5, 6  # the first four kinds are the base
 SUPPORT, GENERALISE_AT, REMOVE_AT = 3, 0.9, 0.97
+#: Names to which secrets are assigned.
+SECRET_NAMES = frozenset(("api_key", "apikey", "api-key", "access_key", "access_token", "auth_token", "client_secret", "passwd", "password", "private_key", "pwd", "secret", "secret_key", "token"))
 #: Terms so many words before and after a match count as standing near it.
 NEAR = 5
 BITS = 23
@@ -46,6 +57,8 @@ _DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 _DIGITS = re.compile(r"[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
+_ASSIGNED = re.compile(r"[:=][ \t]*+[\"']?([A-Za-z0-9_+/=-]{12,}+)")
+_NAME = re.compile(r"([A-Za-z][A-Za-z_-]*)[ \t]{0,4}$")
 _NONDIGIT = re.compile(r"[^0-9]+")
 _WORD = re.compile(r"[^\W\d_]{2,}")
 
@@ -117,6 +130,18 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found, key=lambda s: (s[1], s[0], s[2]))
 
 
+def secret_spans(text: str) -> list[Span]:
+    """Values of 12 or more characters that are assigned (= or :) to one of SECRET_NAMES."""
+    if "=" not in text and ":" not in text:
+        return []
+    out = []
+    for m in _ASSIGNED.finditer(text):
+        name = _NAME.search(text, max(0, m.start() - 24), m.start())
+        if name and name[1].lower() in SECRET_NAMES:
+            out.append((SECRET, *m.span(1)))
+    return out
+
+
 def joined(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans)
 
@@ -128,11 +153,11 @@ def hashed(text: str) -> int:
 
 def entity(kind: int, match: str) -> int:
     """Cards and phones are the same entity however their digits are set apart; e-mails whatever their case."""
-    return hashed(f"{kind}:{match.lower() if kind < 2 else _NONDIGIT.sub('', match)}")
+    return hashed(f"{kind}:{match.lower() if kind < 2 else match if kind == SECRET else _NONDIGIT.sub('', match)}")
 
 
 def near_terms(text: str, spans: list[Span], near: int = NEAR) -> set[tuple[int, int]]:
-    """(entity, term) for the terms within ``near`` words of each match, other matches' letters left out."""
+    """(entity, term) and (kind, term) for the terms within ``near`` words of each match, other matches' letters left out."""
     if not spans:
         return set()
     out = set()
@@ -153,30 +178,34 @@ def near_terms(text: str, spans: list[Span], near: int = NEAR) -> set[tuple[int,
                 after.append(m)
                 if len(after) == near:
                     break
-        out.update((me, hashed(m.group().lower())) for m in before + after)
+        for m in before + after:
+            term = hashed(m.group().lower())
+            out.update(((me, term), (kind, term)))
     return out
 
 
 def find_base(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: doc_id, text_hash, base (its spans joined), n (by kind), pairs (of entity and term near it)."""
+    """One row a document: doc_id, text_hash, base (its spans joined), found (base and secrets, joined), n (by kind), held (its entities and kinds), and pairs of them with terms near."""
     kind = docs.schema[id_col].dataType.simpleString()
+    names = ["doc_id", "text_hash", "base", "found", "n", "held", "entities", "terms"]
 
     def run(batches):
+        longs = pa.list_(pa.int64())
+        types = (pa.int64(), pa.string(), pa.string(), longs, longs, longs, longs)
         for batch in batches:
-            hashes, bases, counts, entities, terms = [], [], [], [], []
+            rows = []
             for text in batch.column(1):
                 text = text.as_py() or ""
-                spans = base_spans(text)
+                base = base_spans(text)
+                spans = sorted([*base, *secret_spans(text)], key=lambda s: (s[1], s[0], s[2]))
                 pairs = sorted(near_terms(text, spans))
-                hashes.append(hashed(text))
-                bases.append(joined(spans))
-                counts.append([sum(s[0] == k for s in spans) for k in range(4)])
-                entities.append([c for c, _ in pairs])
-                terms.append([t for _, t in pairs])
-            longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.int64()), pa.array(bases, pa.string()), pa.array(counts, longs), pa.array(entities, longs), pa.array(terms, longs)], ["doc_id", "text_hash", "base", "n", "entities", "terms"])
+                held = sorted({x for k, a, b in spans for x in (k, entity(k, text[a:b]))})
+                counts = [sum(s[0] == k for s in spans) for k in range(SECRET + 1)]
+                rows.append((hashed(text), joined(base), joined(spans), counts, held, [c for c, _ in pairs], [t for _, t in pairs]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(types))], names)
 
-    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(run, f"doc_id {kind}, text_hash long, base string, n array<long>, entities array<long>, terms array<long>")
+    schema = f"doc_id {kind}, text_hash long, base string, found string, n array<long>, held array<long>, entities array<long>, terms array<long>"
+    return map_batches(docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), run, schema)
 
 
 class _Filter:
@@ -208,7 +237,7 @@ def terms_of_texts(docs: DataFrame, bitmap: np.ndarray, bits: int = BITS, text_c
             rows = [(hashed(t), sorted(set(passing.terms(t).values()))) for t in (x.as_py() or "" for x in batch.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))], ["text_hash", "terms"])
 
-    return docs.select(F.col(f"`{text_col}`")).mapInArrow(run, "text_hash long, terms array<long>").where(F.size("terms") > 0)
+    return map_batches(docs.select(F.col(f"`{text_col}`")), run, "text_hash long, terms array<long>").where(F.size("terms") > 0)
 
 
 def find_terms(docs: DataFrame, bitmap: np.ndarray, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -232,50 +261,63 @@ def find_terms(docs: DataFrame, bitmap: np.ndarray, bits: int = BITS, id_col: st
             types = (batch.column(0).type, pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["doc_id", "text_hash", "term", "starts", "ends"])
 
-    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(run, f"doc_id {kind}, text_hash long, term long, starts array<long>, ends array<long>")
+    return map_batches(docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), run, f"doc_id {kind}, text_hash long, term long, starts array<long>, ends array<long>")
 
 
-def disclosing_terms(base: DataFrame, held_terms: DataFrame, support: int = SUPPORT, generalise_at: float = GENERALISE_AT) -> DataFrame:
-    """(term, disclosure): terms whose largest PMI / IC over the entities reaches ``generalise_at``."""
+def text_pairs(base: DataFrame) -> DataFrame:
+    """(text_hash, entity, term) of terms near entities and kinds, each once a distinct text."""
+    pairs = base.where(F.size("entities") > 0).select("text_hash", F.explode(F.arrays_zip("entities", "terms")).alias("p"))
+    return pairs.select("text_hash", F.col("p.entities").alias("entity"), F.col("p.terms").alias("term")).distinct()
+
+
+def candidate_pairs(base: DataFrame, support: int = SUPPORT) -> DataFrame:
+    """(entity, term): those near each other in ``support`` distinct texts."""
+    return text_pairs(base).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support).select("entity", "term")
+
+
+def disclosing_terms(base: DataFrame, candidates: DataFrame, terms: DataFrame, generalise_at: float = GENERALISE_AT) -> DataFrame:
+    """(term, disclosure): terms whose largest PMI / IC over the entities and kinds reaches ``generalise_at``; ``terms`` has (text_hash, terms), one row a text."""
     texts = base.agg(F.count_distinct("text_hash")).first()[0]
-    pairs = text_pairs(base)
-    held = pairs.select("entity", "text_hash").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity"))
-    both = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("with_both")).where(F.col("with_both") >= support)
-    once = held_terms.groupBy("text_hash").agg(F.first("terms").alias("terms"))
-    held_by = once.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
-    scored = both.join(held, "entity").join(held_by, "term")
+    holders = base.where(F.size("held") > 0).select("text_hash", F.explode("held").alias("entity")).distinct()
+    with_entity = holders.groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity"))
+    rows = terms.select("text_hash", F.explode("terms").alias("term"))
+    with_term = rows.groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
     content = -F.log2(F.col("with_entity") / F.lit(texts))
-    ratio = 1 + F.log2(F.least(F.lit(1.0), F.col("with_both") / F.col("with_term"))) / content
-    return scored.where(F.col("with_entity") < texts).groupBy("term").agg(F.max(ratio).alias("disclosure")).where(F.col("disclosure") >= generalise_at)
 
+    def ratio(both: Column) -> Column:
+        return 1 + F.log2(both / F.col("with_term")) / content
 
-def text_pairs(base: DataFrame) -> DataFrame:
-    """(text_hash, entity, term), each once a distinct text."""
-    pairs = base.where(F.size("entities") > 0).select("text_hash", F.explode(F.arrays_zip("entities", "terms")).alias("p"))
-    return pairs.select("text_hash", F.col("p.entities").alias("entity"), F.col("p.terms").alias("term")).distinct()
+    possible = candidates.join(with_entity, "entity").join(with_term, "term").where((F.col("with_entity") < texts) & (ratio(F.least("with_entity", "with_term")) >= generalise_at))
+    possible = materialise(possible, "pii-pairs")
+    by_term = possible.groupBy("term").agg(F.first("with_term").alias("with_term"), F.collect_list("entity").alias("of"))
+    total = terms.agg(F.sum(F.size("terms"))).first()[0] or 0
+    met = join_hot_split(rows, by_term, ["term"], "with_term", total).select("text_hash", "term", F.explode("of").alias("entity"))
+    both = met.join(holders, ["text_hash", "entity"], "left_semi").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("with_both"))
+    scored = both.join(possible, ["entity", "term"]).groupBy("term").agg(F.max(ratio(F.col("with_both"))).alias("disclosure"))
+    return scored.where(F.col("disclosure") >= generalise_at)
 
 
 def analyse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
     """(base, added): every document's matches, and for documents with revealing terms (doc_id, text_hash, spans) of those."""
     base = materialise(find_base(docs, id_col, text_col), "pii-base")
-    candidates = text_pairs(base).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support).select("term").distinct()
-    candidates = materialise(candidates, "pii-candidates")
+    candidates = materialise(candidate_pairs(base, support), "pii-candidates")
     bit = F.col("term").bitwiseAND(F.lit((1 << bits) - 1))
     held = terms_of_texts(docs, key_bitmap(candidates, bit, bits), bits, text_col)
-    terms = materialise(disclosing_terms(base, held, support, generalise_at), "pii-disclosing")
+    held = materialise(held.groupBy("text_hash").agg(F.first("terms").alias("terms")), "pii-held")
+    terms = materialise(disclosing_terms(base, candidates, held, generalise_at), "pii-disclosing")
     found = materialise(find_terms(docs, key_bitmap(terms, bit, bits), bits, id_col, text_col), "pii-terms")
     sizes = found.groupBy("term").agg(F.count(F.lit(1)).alias("rows")).join(terms, "term")
     hits = join_hot_split(found, sizes, ["term"], "rows", found.count())
-    name = F.when(F.col("disclosure") >= remove_at, KINDS[5]).otherwise(KINDS[4])
+    name = F.when(F.col("disclosure") >= remove_at, KINDS[REMOVED]).otherwise(KINDS[TERM])
     spans = hits.select("doc_id", "text_hash", "term", F.struct(name.alias("kind"), "starts", "ends").alias("s")).dropDuplicates(["doc_id", "text_hash", "term"])
     return base, spans.groupBy("doc_id", "text_hash").agg(F.collect_list("s").alias("added"))
 
 
 def all_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row a document: doc_id, n_email, n_ip, n_card, n_phone, n_term, base (spans joined), spans (base and added, joined)."""
+    """One row a document: doc_id, n_email, n_ip, n_card, n_phone, n_secret, n_term, n_spans, base (spans joined), spans (all, joined)."""
     base, added = analyse(docs, id_col, text_col, **options)
     right = added.select(F.col("doc_id").alias("i"), F.col("text_hash").alias("h"), "added")
-    rows = base.select("doc_id", "text_hash", "base", "n").join(right, (F.col("text_hash") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("i")), "left")
+    rows = base.select("doc_id", "text_hash", "base", "found", "n").join(right, (F.col("text_hash") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("i")), "left")
     kind = base.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -286,11 +328,12 @@ def all_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
                 extra = [(KINDS.index(s["kind"]), a, b) for s in more or [] for a, b in zip(s["starts"], s["ends"], strict=True)]
                 terms.append(len(extra))
                 texts.append(joined(sorted(spans + extra, key=lambda s: (s[1], s[0], s[2]))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(terms, pa.int64()), batch.column(3)], ["doc_id", "base", "spans", "n_term", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(4), pa.array(texts, pa.string()), pa.array(terms, pa.int64()), batch.column(3)], ["doc_id", "base", "spans", "n_term", "n"])
 
-    merged = rows.select("doc_id", "base", "added", "n").mapInArrow(run, f"doc_id {kind}, base string, spans string, n_term long, n array<long>")
-    n = F.col("n")
-    return merged.select("doc_id", n[0].alias("n_email"), n[1].alias("n_ip"), n[2].alias("n_card"), n[3].alias("n_phone"), "n_term", "base", "spans")
+    merged = map_batches(rows.select("doc_id", "found", "added", "n", "base"), run, f"doc_id {kind}, base string, spans string, n_term long, n array<long>")
+    counts = [F.col("n")[k].alias(f"n_{KINDS[k]}") for k in range(SECRET + 1)]
+    every = F.aggregate("n", F.col("n_term"), lambda a, x: a + x).alias("n_spans")
+    return merged.select("doc_id", *counts, "n_term", every, "base", "spans")
 
 
 def apply_spans(text: str | None, spans: str) -> str:
@@ -301,7 +344,7 @@ def apply_spans(text: str | None, spans: str) -> str:
     for a, b, kind in rows:
         b = -b
         if a >= at:
-            out += [text[at:a], "" if kind == KINDS[5] else f"<{kind.upper()}>"]
+            out += [text[at:a], "" if kind == KINDS[REMOVED] else f"<{kind.upper()}>"]
             at = b
         elif b > at:
             at = b
@@ -316,8 +359,8 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     pieces = F.transform(F.col("added"), lambda s: F.transform(F.arrays_zip(s["starts"], s["ends"]), lambda p: F.concat_ws(":", s["kind"], p["starts"], p["ends"])))
     more = F.coalesce(F.array_join(F.flatten(pieces), ","), F.lit(""))
     right = added.select(F.col("doc_id").alias("i"), F.col("text_hash").alias("h"), "added")
-    rows = base.select("doc_id", "text_hash", "base").distinct().join(right, (F.col("text_hash") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("i")), "left")
-    rows = rows.select(F.col("doc_id").alias("i"), F.col("text_hash").alias("h"), F.concat_ws(",", "base", more).alias("spans"))
+    rows = base.select("doc_id", "text_hash", "found").distinct().join(right, (F.col("text_hash") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("i")), "left")
+    rows = rows.select(F.col("doc_id").alias("i"), F.col("text_hash").alias("h"), F.concat_ws(",", "found", more).alias("spans"))
     texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), hash_udf(F.col(f"`{text_col}`")).alias("text_hash"))
     met = texts.join(rows, (F.col("text_hash") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("i")))
     return met.select("doc_id", "text_hash", replace("text", "spans").alias("text"))

@@ -1,8 +1,11 @@
+import math
+import random
 import re
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from kinelake.llm import pii
 
@@ -60,6 +63,60 @@ def test_disclosing_terms_are_found_and_replaced(spark):
     assert any(i == 0 and "<TERM> at <EMAIL> today" in t for i, t in clean)
 
 
+def recount(texts, support=3, at=0.9):
+    """Revealing terms with their ratio, by the definition."""
+    texts = sorted(set(texts))
+    words = [{w.lower() for w in re.findall(r"[^\W\d_]{2,}", t)} for t in texts]
+    spans = [sorted([*pii.base_spans(t), *pii.secret_spans(t)], key=lambda s: (s[1], s[0], s[2])) for t in texts]
+    held = [{x for k, a, b in s for x in (k, pii.entity(k, t[a:b]))} for t, s in zip(texts, spans, strict=True)]
+    near = [pii.near_terms(t, s) for t, s in zip(texts, spans, strict=True)]
+    out = {}
+    for c in set().union(*held):
+        with_entity = sum(c in h for h in held)
+        for w in set().union(*words):
+            if with_entity < len(texts) and sum((c, pii.hashed(w)) in p for p in near) >= support:
+                both, having = sum(c in h and w in x for h, x in zip(held, words, strict=True)), sum(w in x for x in words)
+                ratio = 1 + math.log2(both / having) / -math.log2(with_entity / len(texts))
+                if ratio >= at:
+                    out[pii.hashed(w)] = max(ratio, out.get(pii.hashed(w), 0))
+    return out
+
+
+def test_disclosure_equals_a_recount_over_whole_texts(spark):
+    """Entities by value and by kind; terms also count where they stand far from the entity."""
+    rng = random.Random(4)
+    vocabulary = [f"{a}{b}{c}" for a in "bdkm" for b in "aeiou" for c in "lnrst"]
+    texts = []
+    for i in range(400):
+        words = [rng.choice(vocabulary) for _ in range(rng.randint(5, 40))]
+        if i % 8 == 0:
+            words.insert(rng.randrange(len(words)), f"account user{i}@mail.example.com")
+        if i % 11 == 0:
+            words.insert(rng.randrange(len(words)), "Quorum wrote bob@mail.example.com")
+        if i % 40 == 4:
+            words = ["quorum", *words]
+        if i % 13 == 0:
+            words.append('token = "24be64439e3e49cf46b2"')
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts[:50])], "doc_id long, text string")
+    base = pii.find_base(docs).cache()
+    candidates = pii.candidate_pairs(base)
+    bit = candidates.select("term", F.col("term").bitwiseAND(F.lit((1 << 10) - 1)).alias("b"))
+    held = pii.terms_of_texts(docs, pii.key_bitmap(bit, F.col("b"), 10), 10).groupBy("text_hash").agg(F.first("terms").alias("terms"))
+    got = {r["term"]: r["disclosure"] for r in pii.disclosing_terms(base, candidates, held).collect()}
+    want = recount(texts)
+    assert got == pytest.approx(want) and len(want) > 2
+    assert {pii.hashed(w) for w in ("account", "token", "quorum")} <= set(got)
+    assert want[pii.hashed("token")] == 1.0 > want[pii.hashed("quorum")]
+
+
+def test_secrets_are_found_beside_the_base():
+    text = 'key: password: hunter2hunter2 and token = "24be64439e3e49cf46b2", a = bbbbbbbbbbbbbbbb, token = short'
+    assert [text[a:b] for _, a, b in pii.secret_spans(text)] == ["hunter2hunter2", "24be64439e3e49cf46b2"]
+    for long in ("=" * 300_000, ": " * 150_000, ":" + " " * 300_000, "token=" * 50_000):
+        pii.secret_spans(long)
+
+
 def test_removed_and_overlapping_spans():
     assert pii.apply_spans("ab cd ef", "removed:3:5") == "ab  ef"
     assert pii.apply_spans("4111.1.1.1 x", "ip:0:10,card:0:4") == "<IP> x"
