@@ -19,7 +19,8 @@ pairs, which count what they share; those shared by more only tie their sets tog
 similar pair has half of its s signatures of one kind or of the other, so pairs with
 fewer are no candidates, nor are sets tied that have fewer. Sets tied in any way form a
 candidate component, which is cut into cells of bounded size (by hash, within classes of
-like size, since similar sets have like sizes). A task compares the sets of one cell, or
+like size, since similar sets have like sizes). A signature that very many sets may hold, by
+the counter of its shingles, is counted in parts and its parts added up. A task compares the sets of one cell, or
 of two, by a sparse product and returns a spanning forest of their links and the number of
 each set's links, so neither all pairs of a group nor a whole group ever meets in one task
 or leaves one as rows. Each two sets are compared in one cell, so the numbers add up over
@@ -27,7 +28,8 @@ cells. ``set_links`` returns the links themselves, as many as there are.
 
 Cases: null and blank texts have empty sets, linked with nothing; texts of under ``k``
 words have one shingle, the whole sequence; equal texts and repeated rows share a
-component; null ids count as the largest; an empty table gives no rows; other columns
+component; null ids count as the largest; very long texts are hashed in parts and are one
+set; an empty table gives no rows; other columns
 are ignored by ``join`` and carried along by ``keep_one``.
 """
 
@@ -46,7 +48,7 @@ from pyspark.sql import functions as F
 
 from kinelake.llm.components import components
 from kinelake.llm.exact_dedup import first_id
-from kinelake.llm.scratch import join_hot_split, key_bitmap, materialise
+from kinelake.llm.scratch import join_hot_split, key_bitmap, map_batches, materialise
 
 #: Signatures that candidates share: SHARED, and one more for each SHARED_STEP shingles that may be missing.
 SHARED, SHARED_STEP = 3, 8
@@ -56,6 +58,8 @@ COUNTER_BITS = 20
 SMALL = 16
 #: Most sets, and about most shingles, of a cell.
 CELL_SETS, CELL_SHINGLES = 256, 1 << 18
+#: Sets of a signature, by its shingles' counter, that one task takes, or this many times the counters' mean; more are counted in parts.
+PART_SETS, PART_MEANS = 2048, 4
 #: The side of sets that are all compared with each other.
 INNER = 2
 BITMAP_BITS = 23
@@ -199,7 +203,7 @@ def sets_and_counts(docs: DataFrame, k: int, id_col: str, text_col: str) -> Data
 
     schema = f"doc_id {kind}, text_hash long, n long, set_id long, what int, block int, counts binary"
     text = F.col(f"`{text_col}`")
-    return docs.select(F.col(f"`{id_col}`"), F.xxhash64(text).alias("text_hash"), text).mapInArrow(run, schema)
+    return map_batches(docs.select(F.col(f"`{id_col}`"), F.xxhash64(text).alias("text_hash"), text), run, schema)
 
 
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,31 +217,36 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in sums], pa.int32()), pa.array([b for _, b in sums], pa.int32()), pa.array([v.astype(np.uint32).tobytes() for v in sums.values()], pa.binary())], ["what", "block", "counts"])
 
 
-def order_tables(parts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """From the tasks' counters: which shingle counters are frequent, and each word counter's log count (0 to 255).
+Tables = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def order_tables(counted: DataFrame) -> Tables:
+    """From the tasks' counters: which shingle counters are frequent, each word counter's log count (0 to 255), and in how many parts a signature of a shingle is counted.
 
     Sums go through a tree: tasks' parts meet in groups by their block and a hash, then by block.
     """
     schema = "what int, block int, counts binary"
-    spread = parts.select("what", "block", "counts").repartition(8 * _BLOCKS, "what", "block", (F.rand(1) * 8).cast("int"))
-    once = spread.mapInArrow(_added, schema)
+    spread = counted.select("what", "block", "counts").repartition(8 * _BLOCKS, "what", "block", (F.rand(1) * 8).cast("int"))
+    once = map_batches(spread, _added, schema)
     total = np.zeros((2, 1 << COUNTER_BITS), dtype=np.uint64)
     width = (1 << COUNTER_BITS) // _BLOCKS
-    for row in once.repartition(_BLOCKS, "what", "block").mapInArrow(_added, schema).collect():
+    for row in map_batches(once.repartition(_BLOCKS, "what", "block"), _added, schema).collect():
         total[row["what"], row["block"] * width : (row["block"] + 1) * width] = np.frombuffer(row["counts"], dtype=np.uint32)
     mean = float(total[0].mean())
     frequent = total[0] > mean + 6 * math.sqrt(mean) + 8
     rarity = np.minimum(255, 8 * np.log2(1 + total[1])).astype(np.uint8)
-    return frequent, rarity
+    parts = np.clip(np.ceil(total[0] / max(PART_SETS, PART_MEANS * mean)), 1, np.iinfo(np.uint16).max).astype(np.uint16)
+    return frequent, rarity, parts
 
 
-def signatures(words: np.ndarray, k: int, t: Threshold, frequent: np.ndarray, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted distinct shingles, signatures) of a text's words."""
+def signatures(words: np.ndarray, k: int, t: Threshold, tables: Tables) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted distinct shingles, signatures, parts of each signature) of a text's words."""
+    frequent, rarity, parts = tables
     windows = shingle_hashes(words, k)
     shingles, first = np.unique(windows, return_index=True)
     n = len(shingles)
     if not t.possible(n):
-        return shingles, shingles[:0]
+        return shingles, shingles[:0], np.zeros(0, dtype=np.int32)
     shift = np.uint64(64 - COUNTER_BITS)
     commonness = rarity[(words >> shift).astype(np.int64)].astype(np.uint64)
     m = len(windows)
@@ -247,19 +256,20 @@ def signatures(words: np.ndarray, k: int, t: Threshold, frequent: np.ndarray, ra
     rare = shingles[~often]
     rare = rare[np.argsort(score[~often], kind="stable")[:need]]
     need -= len(rare)
-    if need <= 0:
-        return shingles, mixed(rare)
-    common = shingles[often]
-    common = common[np.argsort(score[often], kind="stable")]
-    level = n.bit_length() - 1
-    found = [mixed(rare)]
-    for scheme in (level, level - 1) if t.least_overlap(n) < 1 << level else (level,):
-        found.append(_pairs(common, need, scheme))
-    return shingles, np.concatenate(found)
-
-
-def _pairs(common: np.ndarray, need: int, scheme: int) -> np.ndarray:
-    """Signatures of the pairs within classes, over the shortest prefix that has ``need`` shingles besides each class's first."""
+    found, cut = [mixed(rare)], [parts[(rare >> shift).astype(np.int64)]]
+    if need > 0:
+        common = shingles[often]
+        common = common[np.argsort(score[often], kind="stable")]
+        level = n.bit_length() - 1
+        for scheme in (level, level - 1) if t.least_overlap(n) < 1 << level else (level,):
+            a, b, pairs = _pairs(common, need, scheme)
+            found.append(pairs)
+            cut.append(np.minimum(parts[(a >> shift).astype(np.int64)], parts[(b >> shift).astype(np.int64)]))
+    return shingles, np.concatenate(found), np.concatenate(cut).astype(np.int32)
+
+
+def _pairs(common: np.ndarray, need: int, scheme: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(one shingle, the other, signature) of the pairs within classes, over the shortest prefix that has ``need`` shingles besides each class's first."""
     kind = ((common * _GOLD) >> np.uint64(40)) % np.uint64(classes(scheme))
     by_class = np.argsort(kind, kind="stable")
     grouped = kind[by_class]
@@ -270,51 +280,59 @@ def _pairs(common: np.ndarray, need: int, scheme: int) -> np.ndarray:
     length = int(np.searchsorted(np.cumsum(later), need)) + 1
     chosen = by_class[by_class < length]
     values, grouped = common[chosen], kind[chosen]
-    out = []
+    lower, upper, out = [common[:0]], [common[:0]], [common[:0]]
     for gap in range(1, len(values)):
         same = grouped[gap:] == grouped[:-gap]
         if not same.any():
             break
         a, b = values[gap:][same], values[:-gap][same]
+        lower.append(np.minimum(a, b))
+        upper.append(np.maximum(a, b))
         with np.errstate(over="ignore"):
-            out.append(mixed(mixed(np.minimum(a, b)) * _GOLD + np.maximum(a, b) + np.uint64(scheme + 1)))
-    return np.concatenate(out) if out else common[:0]
+            out.append(mixed(mixed(lower[-1]) * _GOLD + upper[-1] + np.uint64(scheme + 1)))
+    return np.concatenate(lower), np.concatenate(upper), np.concatenate(out)
 
 
-def signature_rows(docs: DataFrame, k: int, t: Threshold, tables: tuple[np.ndarray, np.ndarray], text_col: str) -> DataFrame:
-    """(sig, set_id, n, least) for the signatures of each set, once for each task that has it; a similar set shares ``least`` or more."""
+def signature_rows(docs: DataFrame, k: int, t: Threshold, tables: Tables, text_col: str) -> DataFrame:
+    """(sig, parts, set_id, n, least) for the signatures of each set, once for each task that has it; a similar set shares ``least`` or more."""
     shared = docs.sparkSession.sparkContext.broadcast(tables)
 
     def run(batches):
-        frequent, rarity = shared.value
         seen: set[int] = set()
         for batch in batches:
-            sigs, ids, sizes, least = [], [], [], []
+            sigs, parts, ids, sizes, least = [], [], [], [], []
             for text in batch.column(0):
-                shingles, own = signatures(word_hashes(text.as_py() or ""), k, t, frequent, rarity)
+                shingles, own, cut = signatures(word_hashes(text.as_py() or ""), k, t, shared.value)
                 name = set_id(shingles)
                 if len(own) and name not in seen:
                     if len(seen) > 1_000_000:
                         seen.clear()
                     seen.add(name)
                     sigs.append(own.view(np.int64))
+                    parts.append(cut)
                     ids.append(np.full(len(own), name, dtype=np.int64))
                     sizes.append(np.full(len(own), len(shingles), dtype=np.int32))
                     least.append(np.full(len(own), t.shared(t.least_overlap(len(shingles))), dtype=np.int32))
             if sigs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (sigs, ids, sizes, least)], ["sig", "set_id", "n", "least"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (sigs, parts, ids, sizes, least)], ["sig", "parts", "set_id", "n", "least"])
 
-    return docs.select(F.col(f"`{text_col}`")).mapInArrow(run, "sig long, set_id long, n int, least int")
+    return map_batches(docs.select(F.col(f"`{text_col}`")), run, "sig long, parts int, set_id long, n int, least int")
 
 
 def candidate_edges(rows: DataFrame, t: Threshold) -> DataFrame:
     """(u, v): pairs of sets to verify, or ties between the sets of a signature that many share."""
-    of = W.partitionBy("sig")
-    shared = rows.withColumn("lo", F.min("set_id").over(of)).withColumn("hi", F.max("set_id").over(of)).where("lo <> hi")
-    once = shared.dropDuplicates(["sig", "set_id"])
-    grouped = once.withColumn("cnt", F.count(F.lit(1)).over(of)).withColumn("members", F.sum(F.xxhash64("set_id").cast("decimal(20,0)")).over(of))
+    part = F.pmod(F.xxhash64("set_id"), F.col("parts")).cast("int")
+    of = W.partitionBy("sig", "part")
+    rows = rows.withColumn("part", part).withColumn("lo", F.min("set_id").over(of)).withColumn("hi", F.max("set_id").over(of)).where("lo <> hi or parts > 1")
+    once = rows.dropDuplicates(["sig", "part", "set_id"])
+    counted = once.withColumn("cnt", F.count(F.lit(1)).over(of)).withColumn("members", F.sum(F.xxhash64("set_id").cast("decimal(20,0)")).over(of).cast("decimal(38,0)"))
+    counted = materialise(counted.select("sig", "part", "parts", "set_id", "n", "least", "lo", "cnt", "members"), "signature-parts")
+    columns = ["members", "cnt", "lo", "set_id", "n", "least"]
+    whole, cut = counted.where("parts = 1").select(*columns), counted.where("parts > 1")
+    sums = cut.select("sig", "part", "lo", "cnt", "members").distinct().groupBy("sig").agg(F.min("lo").alias("lo"), F.sum("cnt").alias("cnt"), F.sum("members").cast("decimal(38,0)").alias("members"))
+    added = join_hot_split(cut.select("sig", "set_id", "n", "least"), sums.where("cnt > 1"), ["sig"], "cnt", cut.count())
     # Signatures with the same sets count together.
-    same = materialise(grouped.groupBy("members", "cnt", "set_id", "n", "least").agg(F.count(F.lit(1)).alias("w")), "signature-groups")
+    same = materialise(whole.unionByName(added.select(*columns)).groupBy(*columns).agg(F.count(F.lit(1)).alias("w")), "signature-groups")
     of_set = W.partitionBy("set_id")
     same = same.withColumn("tied", F.sum(F.when(F.col("cnt") > SMALL, F.col("w")).otherwise(0)).over(of_set))
     small = same.where(F.col("cnt") <= SMALL)
@@ -323,9 +341,8 @@ def candidate_edges(rows: DataFrame, t: Threshold) -> DataFrame:
     needed = F.greatest("least", "v_least")
     pairs = small.join(other, ["members", "cnt"]).where(sizes).groupBy(F.col("set_id").alias("u"), "v", needed.alias("needed"), F.least("tied", "v_tied").alias("tied")).agg(F.sum("w").alias("w"))
     pairs = pairs.where((2 * F.col("w") >= F.col("needed")) & (F.col("w") + F.col("tied") >= F.col("needed"))).select("u", "v")
-    held = same.where((F.col("cnt") > SMALL) & (2 * F.col("tied") >= F.col("least"))).select("members", "cnt", "set_id")
-    centres = held.groupBy("members", "cnt").agg(F.min("set_id").alias("v"))
-    ties = held.join(centres, ["members", "cnt"]).select(F.col("set_id").alias("u"), "v").where("u <> v").distinct()
+    held = same.where((F.col("cnt") > SMALL) & (2 * F.col("tied") >= F.col("least")))
+    ties = held.select(F.col("set_id").alias("u"), F.col("lo").alias("v")).where("u <> v").distinct()
     return pairs.unionByName(ties)
 
 
@@ -358,7 +375,7 @@ def stored_sets(docs: DataFrame, wanted: DataFrame, k: int, id_col: str, text_co
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bodies, pa.binary())], ["set_id", "n", "body"])
 
     looked = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).select(bit.alias("bit"), "text")
-    return looked.mapInArrow(run, "set_id long, n long, body binary").dropDuplicates(["set_id"])
+    return map_batches(looked, run, "set_id long, n long, body binary").dropDuplicates(["set_id"])
 
 
 def cells(light: DataFrame, t: Threshold) -> DataFrame:

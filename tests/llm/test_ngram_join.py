@@ -64,6 +64,7 @@ def corpus(n, seed):
 def test_equals_all_pairs(spark, monkeypatch, k, num, small, cell):
     monkeypatch.setattr(ngram_join, "SMALL", small)
     monkeypatch.setattr(ngram_join, "CELL_SETS", cell)
+    monkeypatch.setattr(ngram_join, "PART_SETS", small)
     rows = [(i * 7 % 1009, t) for i, t in enumerate(corpus(220, k))]
     rows += [(2000, None), (2001, " \t\n"), (2002, "One"), (2003, "one"), (2004, "a B c"), (2005, "A b\tC"), (2005, "a b c"), (None, "a b c"), (2006, "z " * 5000), (2007, "y" * 300_000)]
     docs = spark.createDataFrame([(i, t, 1, "n") for i, t in rows], "doc_id long, text string, n int, label string").repartition(3)
@@ -113,12 +114,15 @@ def test_similar_sets_share_signatures(seed):
     """Whatever the classes, sets at the threshold or above share as many signatures as either counts on."""
     rng = np.random.default_rng(seed)
     t = Threshold(int(rng.choice([60, 80, 85])))
-    frequent, rarity = rng.random(1 << ngram_join.COUNTER_BITS) < rng.choice([0.0, 0.5, 0.95]), rng.integers(0, 255, 1 << ngram_join.COUNTER_BITS).astype(np.uint8)
+    size = 1 << ngram_join.COUNTER_BITS
+    tables = rng.random(size) < rng.choice([0.0, 0.5, 0.95]), rng.integers(0, 255, size).astype(np.uint8), rng.integers(1, 9, size).astype(np.uint16)
     words = rng.integers(1 << 62, size=int(rng.choice([rng.integers(4, 40), rng.integers(40, 900)])), dtype=np.uint64)
     other = words.copy()
     for at in rng.integers(len(words), size=int(rng.integers(1, 1 + len(words) // 8 + 1))):
         other[at] = rng.integers(1 << 62)
     other = other[: max(3, len(other) - int(rng.integers(0, len(other) // 10 + 1)))]
-    (a, x), (b, y) = (ngram_join.signatures(w, 1, t, frequent, rarity) for w in (words, other))
+    (a, x, p), (b, y, q) = (ngram_join.signatures(w, 1, t, tables) for w in (words, other))
+    known = dict(zip(x.tolist(), p.tolist(), strict=True))
+    assert len(x) == len(p) and all(known.get(s, c) == c for s, c in zip(y.tolist(), q.tolist(), strict=True))
     if t.links(np.array(len(np.intersect1d(a, b))), np.array(len(a)), np.array(len(b))):
         assert len(np.intersect1d(x, y)) >= max(t.shared(t.least_overlap(len(s))) for s in (a, b))
