@@ -6,7 +6,8 @@ blanks at its start only, or is all blanks, and its one lookahead is about the c
 after a run of blanks, so encoding the pieces in turn equals encoding the whole.
 
 Cases: a null or empty text has no tokens; a text without a safe boundary stays whole;
-repeated rows are encoded alike; other columns are ignored.
+repeated rows are encoded alike; an empty table gives no rows; other columns are ignored,
+whatever their names, but for those that ``encode_columns`` is told to keep.
 """
 
 from __future__ import annotations
@@ -16,10 +17,13 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinelake.llm.scratch import map_batches
+
 #: The pattern that splits texts before merging, as the rank files' publisher gives it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Rank files are broadcast; a larger one is refused.
@@ -59,9 +63,7 @@ class Codec:
     def __init__(self, ranks: bytes, pattern: str = PATTERN):
         import tiktoken
 
-        table = parse_ranks(ranks)
-        self.encoding = tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=table, special_tokens={})
-        self.decimal = {rank: str(rank) for rank in table.values()}
+        self.encoding = tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=parse_ranks(ranks), special_tokens={})
 
     def encode(self, text: str) -> list[int]:
         if len(text) <= PIECE_CHARS:
@@ -87,7 +89,7 @@ def encode(docs: DataFrame, rank_path: str, id_col: str = "doc_id", text_col: st
             ids = [codec.encode(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"doc_id {kind}, ids array<int>")
+    return map_batches(docs.select(F.col(id_col), F.col(text_col)), run, f"doc_id {kind}, ids array<int>")
 
 
 def decode(tokens: DataFrame, rank_path: str, ids_col: str = "ids", pattern: str = PATTERN) -> DataFrame:
@@ -101,7 +103,7 @@ def decode(tokens: DataFrame, rank_path: str, ids_col: str = "ids", pattern: str
             raw = [codec.decode(ids or []) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], ["doc_id", "raw"])
 
-    return tokens.select("doc_id", F.col(ids_col)).mapInArrow(run, f"doc_id {kind}, raw binary")
+    return map_batches(tokens.select("doc_id", F.col(ids_col)), run, f"doc_id {kind}, raw binary")
 
 
 def encode_columns(docs: DataFrame, rank_path: str, keep: list[str], text_col: str = "text", pattern: str = PATTERN) -> DataFrame:
@@ -112,15 +114,20 @@ def encode_columns(docs: DataFrame, rank_path: str, keep: list[str], text_col: s
     def run(batches):
         codec = _codec(shared, pattern)
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                texts = [t.as_py() or "" for t in part.column(len(keep))]
-                ids = [codec.encode(t) for t in texts]
-                same = [codec.decode(x) == t.encode() for x, t in zip(ids, texts, strict=True)]
+            for start in range(0, batch.num_rows, 64):
+                part = batch.slice(start, 64)
+                ends, flat, same = [0], [], []
+                for text in part.column(len(keep)):
+                    text = text.as_py() or ""
+                    ids = codec.encode(text)
+                    flat.append(np.array(ids, dtype=np.int32))
+                    ends.append(ends[-1] + len(ids))
+                    same.append(codec.decode(ids) == text.encode())
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat)))
                 columns = [part.column(i) for i in range(len(keep))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())], [*keep, "n_tokens", "ids", "lossless"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(ends), pa.int64()), ids, pa.array(same, pa.bool_())], [*keep, "n_tokens", "ids", "lossless"])
 
-    return docs.select(*[F.col(f"`{c}`") for c in [*keep, text_col]]).mapInArrow(run, f"{kinds}, n_tokens long, ids array<int>, lossless boolean")
+    return map_batches(docs.select(*[F.col(f"`{c}`") for c in [*keep, text_col]]), run, f"{kinds}, n_tokens long, ids array<int>, lossless boolean")
 
 
 def round_trip(docs: DataFrame, rank_path: str, id_col: str = "doc_id", text_col: str = "text", pattern: str = PATTERN) -> DataFrame:
@@ -133,7 +140,6 @@ def round_trip(docs: DataFrame, rank_path: str, id_col: str = "doc_id", text_col
 
     def run(batches):
         codec = _codec(shared, pattern)
-        decimal = codec.decimal.__getitem__
         for batch in batches:
             counts, of_ids, of_bytes, same = [], [], [], []
             for text in batch.column(1):
@@ -141,7 +147,7 @@ def round_trip(docs: DataFrame, rank_path: str, id_col: str = "doc_id", text_col
                 ids = codec.encode(text)
                 raw = codec.decode(ids)
                 counts.append(len(ids))
-                of_ids.append(hashlib.sha256(",".join(map(decimal, ids)).encode()).hexdigest())
+                of_ids.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
                 of_bytes.append(hashlib.sha256(raw).hexdigest())
                 same.append(raw == text.encode())
             yield pa.RecordBatch.from_arrays(
@@ -150,4 +156,4 @@ def round_trip(docs: DataFrame, rank_path: str, id_col: str = "doc_id", text_col
             )
 
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, lossless boolean"
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+    return map_batches(docs.select(F.col(id_col), F.col(text_col)), run, schema)
