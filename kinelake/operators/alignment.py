@@ -38,19 +38,19 @@ def levelled(samples: DataFrame, accel: list[str], gravity: list[str], by: str =
 
 
 def yaw_search(samples: DataFrame, x: str, y: str, reference: str, by: str = "seq_id", steps: int = YAW_STEPS, least: int = 200, least_std: float = 1e-3) -> DataFrame:
-    """Per group the angle (in degrees, of ``steps`` on the circle) that turns (x, y) so that its first axis correlates best with
+    """Per group the angle (in degrees, of ``steps`` on the circle from -180 on) in whose direction (x, y) correlates best with
     the reference; the lowest of equals. 0 with a null score for groups of too few rows or a constant reference.
 
     Correlations of all angles follow from one row of moments a group.
     """
     rows = samples.where(finite(x) & finite(y) & finite(reference))
     m = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.var_pop(x).alias("vx"), F.var_pop(y).alias("vy"), F.covar_pop(x, y).alias("cxy"), F.covar_pop(x, reference).alias("cxr"), F.covar_pop(y, reference).alias("cyr"), F.var_pop(reference).alias("vr"))
-    angles = F.array(*[F.struct(F.lit(i).alias("step"), F.lit(math.cos(2 * math.pi * i / steps)).alias("c"), F.lit(math.sin(2 * math.pi * i / steps)).alias("s")) for i in range(steps)])
+    angles = F.array(*[F.struct(F.lit(i).alias("step"), F.lit(math.cos(2 * math.pi * i / steps)).alias("c"), F.lit(math.sin(2 * math.pi * i / steps)).alias("s")) for i in range(-(steps // 2), steps - steps // 2)])
 
     def score(a: Column) -> Column:
         c, s = a["c"], a["s"]
-        spread = F.greatest(c * c * F.col("vx") - 2 * c * s * F.col("cxy") + s * s * F.col("vy"), F.lit(0.0)) * F.col("vr")
-        return F.when(spread > 0, (c * F.col("cxr") - s * F.col("cyr")) / F.sqrt(spread))
+        spread = F.greatest(c * c * F.col("vx") + 2 * c * s * F.col("cxy") + s * s * F.col("vy"), F.lit(0.0)) * F.col("vr")
+        return F.when(spread > 0, (c * F.col("cxr") + s * F.col("cyr")) / F.sqrt(spread))
 
     scored = F.array_max(F.transform(angles, lambda a: F.struct(F.round(F.coalesce(score(a), F.lit(-2.0)), 9).alias("score"), (-a["step"]).alias("minus"))))
     usable = (F.col("n") >= least) & (F.sqrt("vr") >= least_std)

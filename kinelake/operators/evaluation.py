@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 
+import numpy as np
+import pandas as pd
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -61,16 +65,26 @@ def scenario(rows: DataFrame, speed: str, yaw: str, accel: str, key: str = "key"
     return m.select(key, kind.alias("scenario"))
 
 
-def cross_track(pairs: DataFrame, key: str = "key") -> DataFrame:
-    """Distance of each predicted point (pe, pn) to its key's true polyline (te, tn): predicted points meet their own key's legs only."""
-    over = W.partitionBy(key).orderBy("i")
-    legs = pairs.select(key, F.col("te").alias("ae"), F.col("tn").alias("an"), (F.lead("te").over(over) - F.col("te")).alias("be"), (F.lead("tn").over(over) - F.col("tn")).alias("bn")).where("be is not null")
-    met = pairs.select(key, "i", "pe", "pn").join(legs, key)
-    length = F.col("be") * F.col("be") + F.col("bn") * F.col("bn")
-    along = ((F.col("pe") - F.col("ae")) * F.col("be") + (F.col("pn") - F.col("an")) * F.col("bn")) / F.when(length == 0, 1e-9).otherwise(length)
-    t = F.least(F.greatest(along, F.lit(0.0)), F.lit(1.0))
-    away = F.hypot(F.col("pe") - F.col("ae") - t * F.col("be"), F.col("pn") - F.col("an") - t * F.col("bn"))
-    return met.groupBy(key, "i").agg(F.min(away).alias("cross_track_m"))
+def cross_track(pairs: DataFrame, key: str = "key", block: int = 256) -> DataFrame:
+    """Distance of each predicted point (pe, pn) to its key's true polyline (te, tn): a block of points at a time meets the key's legs as arrays, so no pair becomes a row."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        d = pdf.sort_values("i", kind="stable")
+        line, points = d[["te", "tn"]].to_numpy(float), d[["pe", "pn"]].to_numpy(float)
+        legs = np.diff(line, axis=0)
+        size = (legs**2).sum(axis=1)
+        away = np.full(len(points), np.nan)
+        for a in range(0, len(points) if len(legs) else 0, block):
+            off = points[a : a + block, None] - line[None, :-1]
+            t = np.clip((off * legs).sum(axis=-1) / np.where(size == 0, 1e-9, size), 0.0, 1.0)
+            gap = np.hypot(*np.moveaxis(off - t[..., None] * legs, -1, 0))
+            known = ~np.isnan(gap).all(axis=1)
+            away[a : a + block][known] = np.nanmin(gap[known], axis=1)
+        out = pd.DataFrame({key: d[key].to_numpy(), "i": d["i"].to_numpy(), "cross_track_m": away})
+        return out[~np.isnan(away)]
+
+    kinds = {c: pairs.schema[c].dataType.simpleString() for c in (key, "i")}
+    return pairs.select(key, "i", "pe", "pn", "te", "tn").groupBy(key).applyInPandas(run, f"`{key}` {kinds[key]}, i {kinds['i']}, cross_track_m double")
 
 
 def score_outages(pairs: DataFrame, headings: DataFrame | None = None, key: str = "key", rate: int = 10) -> DataFrame:
@@ -124,11 +138,41 @@ def equal_count_bin(rank0: Column, n: Column, bins: int) -> Column:
     return F.floor((F.lit(bins) * (rank0 + 1) - 1) / n)
 
 
+def spread_rank(rows: DataFrame, value: str, unique: str = "id", by: list[str] | None = None, cells: int | None = None) -> DataFrame:
+    """Adds rank0, a row's place from 0 by (value, unique) among all rows or its group's, and n, their number, without one task for all.
+
+    Rows are cut into cells at approximate quantiles of the value, rows that share a value which
+    fills a cell also at quantiles of ``unique``; counts of cells before and ranks within add up to
+    the exact rank, whatever the quantiles. NaN and null come last. ``unique`` is a number.
+    """
+    by = by or []
+    cells = cells or 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shares = [i / cells for i in range(1, cells)] or [0.5]
+    known = rows.where(~F.isnan(value))
+    at, ids = known.agg(F.percentile_approx(value, shares, 10_000), F.percentile_approx(F.col(unique).cast("double"), shares, 10_000)).first()
+    edges = sorted(set(at or []))
+    often = [e for e, n in Counter(at or []).items() if n > 1]
+
+    def cut(out: DataFrame, column: str, splits: list[float], name: str) -> DataFrame:
+        return Bucketizer(splits=[-math.inf, *splits, math.inf], inputCol=column, outputCol=name, handleInvalid="keep").transform(out)
+
+    placed = cut(rows.withColumn("_id", F.col(unique).cast("double")), value, edges, "_cell")
+    placed = cut(placed, "_id", sorted(set(ids or [])), "_part")
+    # Within a cell, rows at its lower edge come first, so only they are cut further.
+    placed = placed.withColumn("_part", F.when(F.col(value).isin(often), F.col("_part")).otherwise(F.lit(math.inf)))
+    counts = placed.groupBy(*by, "_cell", "_part").agg(F.count(F.lit(1)).alias("_c"))
+    order = W.partitionBy(*by).orderBy("_cell", "_part")
+    sums = [F.coalesce(F.sum("_c").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_c").over(W.partitionBy(*by)).alias("n")]
+    before = counts.select(*[F.col(c).alias(f"_b{c}") for c in (*by, "_cell", "_part")], *sums)
+    met = placed.join(before, [F.col(c).eqNullSafe(F.col(f"_b{c}")) for c in (*by, "_cell", "_part")])
+    within = F.row_number().over(W.partitionBy(*by, "_cell", "_part").orderBy(F.asc_nulls_last(value), unique)) - 1
+    return met.withColumn("rank0", F.col("_before") + within).select(*rows.columns, "rank0", "n")
+
+
 def calibration_bins(rows: DataFrame, bins: int = 10, by: list[str] | None = None) -> DataFrame:
     """Per bin of like predicted sigma: rows, root mean predicted variance, root mean squared error."""
     by = by or []
-    mine = W.partitionBy(*by)
-    ranked = standardised(rows).withColumn("rank0", F.row_number().over(mine.orderBy("logvar", "id")) - 1).withColumn("n", F.count(F.lit(1)).over(mine))
+    ranked = spread_rank(standardised(rows), "logvar", "id", by)
     error = F.col("y") - F.col("mu")
     binned = ranked.withColumn("bin", equal_count_bin(F.col("rank0"), F.col("n"), bins).cast("int"))
     return binned.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(F.col("sigma") * F.col("sigma"))).alias("predicted"), F.sqrt(F.avg(error * error)).alias("realised"))
@@ -141,16 +185,10 @@ def calibration_error(binned: DataFrame, by: list[str] | None = None) -> DataFra
     return binned.groupBy(*(by or [])).agg(relative.alias("ece_rel"), (F.sum(F.col("n") * gap) / F.sum("n")).alias("ece_abs"))
 
 
-def pit_ks(rows: DataFrame, cells: int = 256) -> DataFrame:
-    """Largest gap between the probability integral transform's ranks and a uniform's.
-
-    Ranks are taken in two steps, over cells of the transform and within them, so rows spread over the cells.
-    """
-    pit = standardised(rows).withColumn("pit", normal_cdf(F.col("z"))).withColumn("cell", F.least(F.floor(F.col("pit") * cells), F.lit(cells - 1)))
-    counts = pit.groupBy("cell").agg(F.count(F.lit(1)).alias("c"))
-    before = counts.select("cell", F.coalesce(F.sum("c").over(W.orderBy("cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("c").over(W.partitionBy()).alias("n"))
-    ranked = pit.join(F.broadcast(before), "cell").withColumn("rank", F.col("before") + F.row_number().over(W.partitionBy("cell").orderBy("pit", "id")))
-    return ranked.agg(F.max(F.abs(F.col("pit") - F.col("rank") / F.col("n"))).alias("pit_ks"))
+def pit_ks(rows: DataFrame) -> DataFrame:
+    """Largest gap between the probability integral transform's ranks and a uniform's."""
+    ranked = spread_rank(standardised(rows).withColumn("pit", normal_cdf(F.col("z"))), "pit")
+    return ranked.agg(F.max(F.abs(F.col("pit") - (F.col("rank0") + 1) / F.col("n"))).alias("pit_ks"))
 
 
 def coverage(rows: DataFrame, ks: tuple[float, ...] = (0.5, 1.0, 1.5, 2.0)) -> DataFrame:
@@ -161,6 +199,37 @@ def coverage(rows: DataFrame, ks: tuple[float, ...] = (0.5, 1.0, 1.5, 2.0)) -> D
     return out.withColumn("expected", 2 * normal_cdf(F.col("k")) - 1)
 
 
+def nll_temperature(rows: DataFrame, label_sigma: str | None = None) -> DataFrame:
+    """The temperature of least negative log-likelihood: the root of the mean squared error in predicted variances, the label's own variance taken off it."""
+    error = F.col("y") - F.col("mu")
+    variance = F.greatest(F.exp("logvar"), F.lit(1e-9))
+    if label_sigma is None:
+        return rows.agg(F.sqrt(F.avg(error * error / variance)).alias("temperature"))
+    left = F.greatest(error * error - F.col(label_sigma) * F.col(label_sigma), F.lit(0.0))
+    return rows.agg(F.sqrt(F.greatest(F.avg(left / variance), F.lit(1e-6))).alias("temperature"))
+
+
+def speed_losses(rows: DataFrame, label_sigma: str | None = None, weight: str | None = None, by: list[str] | None = None, clamp: tuple[float, float] = (-8.0, 6.0)) -> DataFrame:
+    """Per group of (y, mu, logvar): negative log-likelihood, weighted root mean squared error and bias, and mean predicted sigma."""
+    variance = F.exp(F.least(F.greatest("logvar", F.lit(clamp[0])), F.lit(clamp[1])))
+    whole = F.greatest(variance if label_sigma is None else variance + F.col(label_sigma) * F.col(label_sigma), F.lit(1e-6))
+    w, gap = F.lit(1.0) if weight is None else F.col(weight), F.col("mu") - F.col("y")
+    total = F.greatest(F.sum(w), F.lit(1.0))
+    nll = F.avg(0.5 * (F.log(whole) + gap * gap / whole))
+    return rows.groupBy(*(by or [])).agg(nll.alias("nll"), F.sqrt(F.sum(w * gap * gap) / total).alias("rmse"), (F.sum(w * gap) / total).alias("bias"), F.avg(F.sqrt(variance)).alias("pred_sigma_mean"))
+
+
+#: Critical values of the chi-square distribution by confidence, for 1 to 6 dimensions.
+CRITICAL = {95: (3.841, 5.991, 7.815, 9.488, 11.070, 12.592), 99: (6.635, 9.210, 11.345, 13.277, 15.086, 16.812)}
+
+
+def chi_square_gate(statistic: Column, dimensions: Column, confidence: int = 95) -> Column:
+    """Whether a squared Mahalanobis distance is accepted; an error where no value is tabulated."""
+    table = F.array(*map(F.lit, CRITICAL[confidence]))
+    limit = F.when(dimensions.between(1, 6), table[dimensions - 1]).otherwise(F.raise_error(F.lit("no critical value for so many dimensions")).cast("double"))
+    return statistic <= limit
+
+
 def temperatures(low: float = 0.3, high: float = 4.0, n: int = 60) -> list[float]:
     return [low * math.exp(i * math.log(high / low) / (n - 1)) for i in range(n)]
 

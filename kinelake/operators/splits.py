@@ -34,6 +34,11 @@ def file_digests(spark, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
+def public_subset(outages: DataFrame, n: int = 10) -> DataFrame:
+    """The first ``n`` outages of all, by key."""
+    return outages.orderBy("key").limit(n)
+
+
 def hours(sequences: DataFrame, rows: str, by: list[str], rate: int = 10) -> DataFrame:
     return sequences.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.bround(F.sum(rows) / rate / 3600, 2).alias("hours"))
 

@@ -328,7 +328,7 @@ SCENARIOS = f"""{OUTAGES}, orows AS (SELECT o.key, o.duration_s, s.row_idx - o.s
 z AS (SELECT *, count(*) OVER (PARTITION BY key) AS n FROM orows),
 k AS (SELECT key, any_value(duration_s) AS duration_s, min(speed) AS least, min(acc) AS brake, max(yaw) AS turn, count(*) FILTER (yaw > 0.12) AS turning, avg(speed) FILTER (i < n // 2 // 2 + 1) AS head, avg(speed) FILTER (i >= n - (n // 2 // 2 + 1)) AS tail,
   avg(speed) AS mean, quantile_cont(yaw, 0.95) AS p95 FROM z GROUP BY key),
-sc AS (SELECT key, duration_s, CASE WHEN least < 1 THEN 'stop_start' WHEN brake < -2.5 THEN 'hard_braking' WHEN turn > 0.49 - 0.14 THEN 'sharp_cornering' WHEN turning > 3 AND head - least > 3 AND tail - least > 3 THEN 'roundabout' WHEN mean > 22 AND p95 < 0.05 THEN 'motorway_cruise' ELSE 'urban' END AS scenario FROM k)"""
+sc AS (SELECT key, duration_s, CASE WHEN least < 1 THEN 'stop_start' WHEN brake < -2.5 THEN 'hard_braking' WHEN turn > 0.35 THEN 'sharp_cornering' WHEN turning > 3 AND head - least > 3 AND tail - least > 3 THEN 'roundabout' WHEN mean > 22 AND p95 < 0.05 THEN 'motorway_cruise' ELSE 'urban' END AS scenario FROM k)"""
 
 
 def event_scenarios(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -338,7 +338,7 @@ def event_scenarios(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     return samples, outages, evaluation.scenario(rows, "speed", "turn", "acc", turning_rows=3)
 
 
-@query(f"WITH {SCENARIOS} SELECT key, scenario FROM sc".replace("0.49 - 0.14", "0.35"))
+@query(f"WITH {SCENARIOS} SELECT key, scenario FROM sc")
 def scenario_classify(spark, sf_dir):
     return event_scenarios(spark, sf_dir)[2].select("key", "scenario")
 
@@ -383,8 +383,8 @@ def embedding_columns(spark, sf_dir) -> DataFrame:
 @query(
     """WITH e AS (SELECT label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS ref FROM embeddings),
 m AS (SELECT label, count(*) AS n, var_pop(x) vx, var_pop(y) vy, covar_pop(x, y) cxy, covar_pop(x, ref) cxr, covar_pop(y, ref) cyr, var_pop(ref) vr FROM e GROUP BY label),
-a AS (SELECT *, cos(2 * pi() * k / 72) AS c, sin(2 * pi() * k / 72) AS s FROM m CROSS JOIN (SELECT unnest(range(72)) AS k)),
-z AS (SELECT label, n, k, round((c * cxr - s * cyr) / sqrt((c * c * vx - 2 * c * s * cxy + s * s * vy) * vr), 9) AS sc FROM a)
+a AS (SELECT *, cos(2 * pi() * k / 72) AS c, sin(2 * pi() * k / 72) AS s FROM m CROSS JOIN (SELECT unnest(range(-36, 36)) AS k)),
+z AS (SELECT label, n, k, round((c * cxr + s * cyr) / sqrt((c * c * vx + 2 * c * s * cxy + s * s * vy) * vr), 9) AS sc FROM a)
 SELECT label, n, 5.0 * arg_min(k, (-sc, k)) AS yaw_deg, round(max(sc), 6) AS score FROM z GROUP BY label, n"""
 )
 def yaw_search_moments(spark, sf_dir):
@@ -483,7 +483,7 @@ def ema_lowpass(spark, sf_dir):
 
 
 @query(
-    f"""WITH RECURSIVE {SAMPLES}, z AS (SELECT seq_id AS key, row_idx AS i, v AS mean, yaw AS logvar FROM s WHERE row_idx < 12),
+    f"""WITH RECURSIVE {SAMPLES}, z AS (SELECT seq_id AS key, row_idx AS i, v AS mean, yaw AS logvar FROM s),
 f AS (SELECT key, -1::BIGINT AS i, 5.0::DOUBLE AS v, 0.0::DOUBLE AS a, 1.0::DOUBLE AS pvv, 0.0::DOUBLE AS pva, 1.0::DOUBLE AS paa FROM (SELECT DISTINCT key FROM z)
  UNION ALL
  SELECT key, i, pv + qvv / (qvv + r) * (mean - pv), a + qva / (qvv + r) * (mean - pv), qvv - qvv * qvv / (qvv + r), qva - qva * qvv / (qvv + r), qaa - qva * qva / (qvv + r)
@@ -491,21 +491,13 @@ f AS (SELECT key, -1::BIGINT AS i, 5.0::DOUBLE AS v, 0.0::DOUBLE AS a, 1.0::DOUB
 SELECT key, i, round(v, 6) AS speed, round(a, 6) AS accel FROM f WHERE i >= 0"""
 )
 def window_kf(spark, sf_dir):
-    """Only the first 12 rows of each user, as its recursive SQL has them; ``window_kf_whole`` filters all rows."""
-    windows = kf_windows(spark, sf_dir).where("i < 12")
-    return navigation.window_filter(windows).select("key", "i", F.round("speed", 6).alias("speed"), F.round("accel", 6).alias("accel"))
+    return navigation.window_filter(kf_windows(spark, sf_dir)).select("key", "i", F.round("speed", 6).alias("speed"), F.round("accel", 6).alias("accel"))
 
 
 def kf_windows(spark, sf_dir) -> DataFrame:
     return event_samples(spark, sf_dir).select(F.col("seq_id").alias("key"), F.col("row_idx").alias("i"), F.col("v").alias("mean"), F.col("yaw").alias("logvar"), F.lit(5.0).alias("v0"))
 
 
-@query()
-def window_kf_whole(spark, sf_dir):
-    """The window filter over all rows of each user; tests compare with a recursion in plain Python."""
-    return navigation.window_filter(kf_windows(spark, sf_dir)).select("key", "i", F.round("speed", 6).alias("speed"), F.round("accel", 6).alias("accel"))
-
-
 @query(
     f"""WITH {SAMPLES}, clean AS (SELECT v AS stat FROM s WHERE event_type = 'view'),
 qq AS (SELECT DISTINCT unnest(quantile_cont(stat, [{", ".join(str(0.5 + i * (0.999 - 0.5) / 24) for i in range(25))}])) AS threshold FROM clean),
@@ -520,10 +512,10 @@ def roc_curve(spark, sf_dir):
     return out.select(F.round("threshold", 6).alias("threshold"), F.round("false_rejection", 6).alias("false_rejection"), "family", "param", F.round("detection", 6).alias("detection"))
 
 
-@query(f"WITH {SAMPLES} SELECT seq_id, event_id, v FROM (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY v DESC, event_id) AS r FROM s) WHERE r <= 10")
+@query(f"WITH {OUTAGES} SELECT key, seq_id, start, duration_s FROM o ORDER BY key LIMIT 10")
 def top_public_subset(spark, sf_dir):
-    order = W.partitionBy("seq_id").orderBy(F.desc("v"), "event_id")
-    return event_samples(spark, sf_dir).withColumn("r", F.row_number().over(order)).where("r <= 10").select("seq_id", "event_id", "v")
+    """The first 10 of all outages by key."""
+    return splits.public_subset(event_outages(spark, sf_dir)[1]).select("key", "seq_id", "start", "duration_s")
 
 
 @query(f"WITH {SAMPLES}, {SEGMENTS} SELECT seq_id, arg_max(start, (stop - start, -seg_index)) AS start, max(stop - start) AS n_rows FROM g GROUP BY seq_id")

@@ -146,12 +146,12 @@ def test_calibration_of_known_sigmas(spark):
 def test_yaw_search_equals_a_loop(spark):
     rng = np.random.default_rng(4)
     x, y = rng.normal(size=(2, 300))
-    ref = np.cos(1.0) * x - np.sin(1.0) * y + 0.1 * rng.normal(size=300)
+    ref = np.cos(-2.0) * x + np.sin(-2.0) * y + 0.1 * rng.normal(size=300)
     rows = spark.createDataFrame([("a", *map(float, r)) for r in zip(x, y, ref, strict=True)] + [("b", 1.0, 1.0, 1.0)], "seq_id string, x double, y double, r double")
-    angles = np.arange(72) * 2 * np.pi / 72
-    scores = [np.corrcoef(np.cos(t) * x - np.sin(t) * y, ref)[0, 1] for t in angles]
+    angles = np.linspace(-np.pi, np.pi, 72, endpoint=False)
+    scores = [np.corrcoef(np.cos(t) * x + np.sin(t) * y, ref)[0, 1] for t in angles]
     got = {r["seq_id"]: r for r in alignment.yaw_search(rows, "x", "y", "r").collect()}
-    assert got["a"]["yaw_deg"] == pytest.approx(5.0 * int(np.argmax(scores))) and got["a"]["score"] == pytest.approx(max(scores))
+    assert got["a"]["yaw_deg"] == pytest.approx(np.degrees(angles[int(np.argmax(scores))])) and got["a"]["score"] == pytest.approx(max(scores))
     assert (got["b"]["yaw_deg"], got["b"]["score"]) == (0.0, None)
 
 
@@ -195,7 +195,7 @@ def test_window_filter_runs_over_whole_sequences(spark):
         gain = p[:, 0] / (p[0, 0] + np.exp(r["logvar"]) + 0.25)
         x, p = x + gain * (r["mean"] - x[0]), p - np.outer(gain, p[0])
         want[r["key"], r["i"]] = x
-    got = {(r["key"], r["i"]): (r["speed"], r["accel"]) for r in queries.QUERIES["window_kf_whole"](spark, sf).collect()}
+    got = {(r["key"], r["i"]): (r["speed"], r["accel"]) for r in queries.QUERIES["window_kf"](spark, sf).collect()}
     assert len(rows) == 1000 and max(i for _, i in got) > 12 and got.keys() == want.keys()
     for at, state in want.items():
         assert got[at] == pytest.approx(state.tolist(), abs=1e-4)
