@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from kinelake.llm import language, quality
 
@@ -83,3 +84,58 @@ def test_quality_without_classes(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert quality.score(stats, quality.fit(stats, none)).first()["score"] == 0.5
     assert quality.score(stats.limit(0), quality.fit(stats, none)).count() == 0
+
+
+def test_language_sample_is_bounded_and_of_distinct_texts(spark):
+    """Thousands of copies of one text are one text of the sample."""
+    rows = [("en", "the same text again")] * 3000 + [("en", f"an english text number {chr(97 + i % 26) * (1 + i // 26)}") for i in range(60)] + [("de", f"ein deutscher text {chr(97 + i) * 3}") for i in range(20)]
+    sizes = []
+    model = language.fit(spark.createDataFrame(rows, "lang string, text string"), fit_rows=40)
+    original = language.fit_sample
+    try:
+        language.fit_sample = lambda langs, *rest: sizes.append(sorted(langs)) or original(langs, *rest)
+        language.fit(spark.createDataFrame(rows, "lang string, text string"), fit_rows=40)
+    finally:
+        language.fit_sample = original
+    assert model.languages == ["de", "en"]
+    assert len(sizes[0]) <= 40 and sizes[0].count("de") >= 10 and 10 <= sizes[0].count("en") <= 20
+
+
+def test_only_letters_are_letters():
+    assert not any(map(language.has_letter, ("½", "²", "42 _-!", "", None))) and all(map(language.has_letter, ("é", "中", "½a", "ß")))
+
+
+def test_prediction_is_the_nearest_centroid():
+    """Cosines recomputed gram by gram, with the model's own idf and centroids."""
+    texts = ["the cat sat on the mat and the dog", "der hund und die katze sind hier", "le chat est sur la table et le chien"]
+    counts = np.array([language.ngram_counts(t) for t in texts])
+    model = language.fit_sample(["en", "de", "fr"], counts, texts, k=1)
+    for text in [*texts, "the dog and the cat", "die katze", "x"]:
+        padded = " " + "".join(c if c.isalpha() or ord(c) > 127 else " " for c in text.lower()) + " "
+        vector = np.zeros(language.DIMENSIONS)
+        for n in (1, 2, 3):
+            for i in range(len(padded) - n + 1):
+                key = 0
+                for place, c in enumerate(padded[i : i + n]):
+                    key = (key + ord(c)) * int(language._MULTIPLIERS[place]) % 2**32
+                vector[key >> 21] += 1
+        vector = np.sqrt(vector) * model.idf
+        cosines = model.centroids @ vector / np.linalg.norm(vector)
+        lang, score, _ = model.predict(text)
+        assert lang == model.languages[model.owner[int(np.argmax(cosines))]]
+        assert score == pytest.approx(min(1.0, float(cosines.max())), abs=1e-5)
+
+
+def test_quality_scores_equal_the_densities():
+    """Against the discriminant written out with the covariances themselves."""
+    rng = np.random.default_rng(0)
+    d = 3
+    rows = {c: rng.normal(size=(60 + 20 * c, d)) @ rng.normal(size=(d, d)) + c for c in (0, 1)}
+    model = quality.from_sums({c: (float(len(x)), x.sum(axis=0), x.T @ x) for c, x in rows.items()})
+    pooled = sum(np.cov(x.T, bias=True) * len(x) for x in rows.values()) / 140
+    dense = []
+    for x in rows.values():
+        s = 0.75 * np.cov(x.T, bias=True) + 0.2 * pooled + 0.05 * np.diag(np.diag(pooled))
+        off = rows[0] - x.mean(axis=0)
+        dense.append(np.log(len(x) / 140) - 0.5 * (np.linalg.slogdet(s)[1] + np.einsum("ij,jk,ik->i", off, np.linalg.inv(s), off)))
+    assert model.score(rows[0]) == pytest.approx(1 / (1 + np.exp(dense[0] - dense[1])))
