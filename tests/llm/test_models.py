@@ -111,7 +111,7 @@ def test_prediction_is_the_nearest_centroid():
     counts = np.array([language.ngram_counts(t) for t in texts])
     model = language.fit_sample(["en", "de", "fr"], counts, texts, k=1)
     for text in [*texts, "the dog and the cat", "die katze", "x"]:
-        padded = " " + "".join(c if c.isalpha() or ord(c) > 127 else " " for c in text.lower()) + " "
+        padded = " ".join("".join(c if c.isalpha() or ord(c) > 127 else " " for c in text.lower()).split()) + " "
         vector = np.zeros(language.DIMENSIONS)
         for n in (1, 2, 3):
             for i in range(len(padded) - n + 1):
