@@ -165,3 +165,7 @@ class Engine:
     def fix(self, position: np.ndarray, variance: float) -> bool:
         """A position observation; refused before calibration."""
         return self.frame is not None and self.filter.see_position(position, variance)
+
+    def speed(self, mean: float, variance: float) -> bool:
+        """A model's forward speed; refused before calibration."""
+        return self.frame is not None and self.filter.see_speed(mean, variance)

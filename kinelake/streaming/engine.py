@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from kinelake.kernels.inertial import Engine
-from kinelake.operators.filters import ENGINE_COLUMNS, engine_rows, engine_schema
+from kinelake.operators.filters import ENGINE_COLUMNS, engine_inputs, engine_rows, engine_schema
 from kinelake.operators.ingest import UPLOAD_SCHEMA, judged_pairs
 
 
@@ -18,7 +18,7 @@ def run_engine(samples: DataFrame, idle_ms: int = 600_000) -> DataFrame:
     """The engine over a stream of (key, ns, ax, ay, az, gx, gy, gz): one trip a key, its state two arrays.
 
     Samples of a batch are put in order; samples no later than the last one seen are dropped
-    and counted in the state. A trip idle for ``idle_ms`` is forgotten.
+    and counted in the state. Position fixes and model speeds come in columns as in the batch twin. A trip idle for ``idle_ms`` is forgotten.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -27,12 +27,13 @@ def run_engine(samples: DataFrame, idle_ms: int = 600_000) -> DataFrame:
             return
         engine = Engine(state.get if state.exists else None)
         rows = engine_rows(engine, key[0], pd.concat(list(frames)).sort_values("ns", kind="stable"))
-        state.update(engine.state())
-        state.setTimeoutDuration(idle_ms)
+        if engine.gravity is not None:  # nothing is known before the first sample
+            state.update(engine.state())
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(rows, columns=ENGINE_COLUMNS)
 
     kind = samples.schema["key"].dataType.simpleString()
-    grouped = samples.select("key", "ns", *"ax ay az gx gy gz".split()).groupBy("key")
+    grouped = samples.select(*engine_inputs(samples)).groupBy("key")
     return grouped.applyInPandasWithState(step, engine_schema(kind), "head array<bigint>, body array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 

@@ -96,11 +96,29 @@ def test_engine_state_carries_over():
     assert not inertial.Engine().fix(np.zeros(3), 1.0)
 
 
+def test_engine_takes_fixes_and_speeds():
+    """Alone or beside a sample; refused before calibration and where they are far off."""
+    rows = imu("a", 60)
+    aid = {"fix_x": 0.5, "fix_y": 0.0, "fix_z": 0.0, "fix_var": 0.01}
+    alone = pd.DataFrame([{"key": "a", "ns": ns, **aid} for ns in (1_050_000_000, 5_050_000_000)] + [{"key": "a", "ns": 5_060_000_000, **aid, "fix_x": 9000.0}])
+    got = filters.engine_rows(inertial.Engine(), "a", pd.concat([rows, alone]).sort_values("ns", kind="stable"))
+    plain = filters.engine_rows(inertial.Engine(), "a", rows)
+    modes = [r[2] for r in got if r[2] not in ("CALIBRATING", "RUNNING")]
+    assert modes == ["REFUSED", "AIDED", "REFUSED"] and len(got) == len(plain) + 3
+    last, free = np.array(got[-1][3:6]), np.array(plain[-1][3:6])
+    assert abs(last[0] - 0.5) < 0.2 < abs(free[0] - 0.5)
+    shaken = rows.assign(ax=0.5 * (-1.0) ** np.arange(60) * (np.arange(60) > 31))  # calibrated at rest, then shaken but on the whole not moving
+    slow, fast = (filters.engine_rows(inertial.Engine(), "a", r)[-1] for r in (shaken, shaken.assign(speed=0.4, speed_var=0.01)))
+    assert slow[6] < 0.1 and fast[6] == pytest.approx(0.4, abs=0.1)
+
+
 def test_engine_batch_equals_stream(spark, tmp_path):
     from kinelake.streaming import engine
 
-    rows = pd.concat([imu("a", 80), imu("b", 60)])
-    schema = "key string, ns long, ax double, ay double, az double, gx double, gy double, gz double"
+    rows = pd.concat([imu("a", 80), imu("b", 60)]).assign(fix_x=float("nan"), fix_y=0.0, fix_z=0.0, fix_var=4.0, speed=float("nan"), speed_var=0.5)
+    rows.loc[rows["ns"] % 700_000_000 == 0, "fix_x"] = 0.3
+    rows.loc[rows["ns"] % 500_000_000 == 0, "speed"] = 0.1
+    schema = "key string, ns long, ax double, ay double, az double, gx double, gy double, gz double, fix_x double, fix_y double, fix_z double, fix_var double, speed double, speed_var double"
     batch = sorted(filters.inertial_engine(spark.createDataFrame(rows, schema)).collect())
     folder = str(tmp_path / "in")
     for k, cut in enumerate((rows[rows["ns"] < 4_000_000_000], rows[rows["ns"] >= 4_000_000_000])):
