@@ -27,7 +27,7 @@ def run_engine(samples: DataFrame, idle_ms: int = 600_000) -> DataFrame:
             return
         engine = Engine(state.get if state.exists else None)
         rows = engine_rows(engine, key[0], pd.concat(list(frames)).sort_values("ns", kind="stable"))
-        if engine.gravity is not None:  # nothing is known before the first sample
+        if engine.started:  # nothing is known before the first sample
             state.update(engine.state())
             state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(rows, columns=ENGINE_COLUMNS)

@@ -112,6 +112,52 @@ def test_engine_takes_fixes_and_speeds():
     assert slow[6] < 0.1 and fast[6] == pytest.approx(0.4, abs=0.1)
 
 
+def test_many_keys_side_by_side_equal_one_by_one():
+    """Keys of unequal length, some at rest, with gated fixes and speeds and late samples."""
+    rng = np.random.default_rng(0)
+    codes = np.repeat(np.arange(6), [1, 80, 7, 50, 41, 80])
+    n = len(codes)
+    forward, lateral, yaw, speed, logvar = rng.normal(0, 1, (5, n))
+    still, v0, h0 = rng.random(n) < 0.4, rng.uniform(0, 4, 6), rng.uniform(0, 6, 6)
+    start, after = planar.run_keys(codes, forward, lateral, yaw, still, v0, h0, 0.1, 4 * speed, logvar)
+    d = pd.DataFrame({"key": codes, "ns": np.arange(n) * 100_000_000 - 300_000_000 * (rng.random(n) < 0.05)})
+    d[list(filters.SAMPLE)] = rng.normal(0, 0.1, (n, 6)) * np.where(codes % 2, 0.01, 1.0)[:, None] + [0, 0, 9.8, 0, 0, 0]
+    d[list(filters.FIX)] = np.c_[rng.normal(0, 2, (n, 3)), np.where(rng.random(n) < 0.2, 4.0, np.nan)]
+    d[list(filters.SPEED)] = np.c_[rng.normal(0, 2, n), np.where(rng.random(n) < 0.2, 0.5, np.nan)]
+    d.loc[rng.random(n) < 0.05, "ax"] = np.nan
+    got = filters.fleet_rows(inertial.Fleet(6), codes, d)
+    assert set(got["mode"]) == {"CALIBRATING", "RUNNING", "AIDED", "REFUSED"} and len(got) < n
+    for k in range(6):
+        m = codes == k
+        one = planar.run(forward[m], lateral[m], yaw[m], still[m], v0[k], h0[k], 0.1, 4 * speed[m], logvar[m])
+        assert np.allclose(np.concatenate([start[k : k + 1], after[m]]), one)
+        want, mine = filters.engine_rows(inertial.Engine(), k, d[m]), got[got["key"] == k].to_numpy()
+        assert [w[1:3] for w in want] == [tuple(r) for r in mine[:, 1:3]]
+        assert np.allclose(np.array([w[3:] for w in want], dtype=float).reshape(-1, 6), mine[:, 3:].astype(float))
+
+
+@pytest.mark.parametrize("size", [1, 3, 50, 1000])
+def test_whole_keys(size):
+    keys = ["a"] * 2 + ["b"] * 120 + ["c"] + ["d"] * 30 + [None] * 3
+    d = pd.DataFrame({"key": keys, "i": range(len(keys))})
+    got = list(filters.whole_keys(iter([d.iloc[:0], *(d.iloc[a : a + size] for a in range(0, len(d), size))]), 40))
+    assert pd.concat(got, ignore_index=True).equals(d)
+    assert sum(len(set(filters.numbered(g["key"]))) for g in got) == 5 and len(got) > 1
+    assert not list(filters.whole_keys(iter([])))
+
+
+def test_filters_over_spark_keep_each_key_apart(spark):
+    rows = pd.concat([pd.DataFrame({"key": k, "i": range(n), "ax": 0.1 * n, "ay": 0.0, "gz": 0.01, "is_stationary": False, "v0": float(n), "h0": 0.0}) for k, n in (("a", 5), ("b", 1), ("c", 9))])
+    got = sorted(tuple(r) for r in filters.planar_filter(spark.createDataFrame(rows)).collect())
+    want = []
+    for k, d in rows.groupby("key"):
+        track = planar.run(*(d[c].to_numpy() for c in ("ax", "ay", "gz", "is_stationary")), d["v0"].iloc[0], 0.0, 0.1)
+        want += [(k, i, *xs) for i, xs in enumerate(track.tolist())]
+    assert [g[:2] for g in got] == [w[:2] for w in want] and np.allclose([g[2:] for g in got], [w[2:] for w in want])
+    empty = spark.createDataFrame(rows).where("false")
+    assert not filters.planar_filter(empty).count()
+
+
 def test_engine_batch_equals_stream(spark, tmp_path):
     from kinelake.streaming import engine
 
