@@ -16,6 +16,11 @@ known, and as many buckets are visited as make the tables together reach ``targe
 a few widths the one that compares fewest vectors is taken. Neighbours in a sample are
 farther than in the whole, so this errs on the safe side.
 
+The visits are made in two rounds. The first visits of the first table, the square root of
+all in number, give each query a distance within which its k nearest lie; the second round
+makes all other visits and returns only vectors within that distance, so the rows that a
+query gathers hardly grow with the number of its visits.
+
 Equal vectors are one vector with its smallest ids (k + 1 are enough for any
 answer). The vectors of a bucket are cut into blocks of about ``BLOCK``, its queries into
 parts of about ``ASKS``, and each part meets each block in a group of its own. Only visits
@@ -58,6 +63,11 @@ class Hashing:
     probes: int
     seed: int = 17
 
+    @property
+    def first(self) -> int:
+        """Visits of the first round."""
+        return int(np.ceil(np.sqrt(self.probes)))
+
     def projections(self, rows: np.ndarray, table: int) -> np.ndarray:
         rng = np.random.default_rng([self.seed, table, rows.shape[1]])
         directions = rng.normal(size=(rows.shape[1], self.hashes))
@@ -166,8 +176,11 @@ def _matrix(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     return [(at, np.stack([rows[i] for i in at])) for at in (np.flatnonzero(lengths == n) for n in np.unique(lengths))]
 
 
-def placed(rows: DataFrame, hashing: Hashing, as_queries: bool) -> DataFrame:
-    """(spot, key, group_id) for each bucket that a vector stands in or, as a query, visits; spot is the table."""
+def placed(rows: DataFrame, hashing: Hashing, visits: list[tuple[int, int]] | None = None) -> DataFrame:
+    """(spot, key, group_id) for each bucket that a vector stands in or, as a query, visits; spot is the table.
+
+    ``visits`` has the first visit and the end of the visits to make in each table.
+    """
 
     def run(batches):
         for batch in batches:
@@ -176,10 +189,11 @@ def placed(rows: DataFrame, hashing: Hashing, as_queries: bool) -> DataFrame:
                     projected = hashing.projections(matrix, table)
                     cells = np.floor(projected).astype(np.int64)
                     cells = np.concatenate([cells, np.full((len(cells), 1), matrix.shape[1])], axis=1)
-                    if as_queries:
-                        step = max(1, (1 << 18) // hashing.probes)
-                        for a in range(0, len(cells), step):
-                            moves = np.pad(hashing.visits(projected[a : a + step], hashing.probes), ((0, 0), (0, 0), (0, 1)))
+                    if visits is not None:
+                        begin, end = visits[table]
+                        step = max(1, (1 << 18) // max(end, 1))
+                        for a in range(0, len(cells) if begin < end else 0, step):
+                            moves = np.pad(hashing.visits(projected[a : a + step], end)[:, begin:], ((0, 0), (0, 0), (0, 1)))
                             keys = bucket_key(cells[a : a + step, None] + moves)
                             yield from rows_of(batch, table, keys.ravel(), np.repeat(at[a : a + step], keys.shape[1]))
                     else:
@@ -194,11 +208,12 @@ def placed(rows: DataFrame, hashing: Hashing, as_queries: bool) -> DataFrame:
 
 
 def nearest_in_blocks(index: DataFrame, queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """(query, group_id, score): the k nearest of each block a query meets, from (spot, key, group_id) of vectors and of visits.
+    """(query, group_id, score): the k nearest of each block a query meets, from (spot, key, group_id) of vectors and (spot, key, group_id, within) of visits.
 
     A bucket's vectors are cut into blocks, its queries into parts. ``vectors`` (group_id, v) gives both their components.
+    Vectors farther than ``within`` are left out.
     """
-    index, queries = materialise(index, "ann-index"), materialise(queries, "ann-visits")
+    queries = materialise(queries, "ann-visits")
     stored = index.groupBy("spot", "key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     asked = queries.groupBy("spot", "key").agg(F.ceil(F.count(F.lit(1)) / ASKS).cast("int").alias("parts"))
     sizes = materialise(stored.join(asked, ["spot", "key"]), "ann-buckets")
@@ -208,12 +223,13 @@ def nearest_in_blocks(index: DataFrame, queries: DataFrame, vectors: DataFrame,
         mine = F.pmod(F.xxhash64("group_id"), F.col({"block": "blocks", "part": "parts"}[own])).cast("int")
         every = F.explode(F.sequence(F.lit(0), F.col({"block": "blocks", "part": "parts"}[other]) - 1))
         rows = rows.join(sizes, ["spot", "key"]).withColumn(own, mine).withColumn(other, every)
-        return rows.select("spot", "key", "block", "part", F.lit(asks).alias("asks"), "group_id")
+        return rows.select("spot", "key", "block", "part", (F.col("within") if asks else F.lit(None).cast("double")).alias("within"), "group_id")
 
     both = dealt(index, "block", "part", False).unionByName(dealt(queries, "part", "block", True)).join(vectors.select("group_id", "v"), "group_id")
 
     def run(group: pa.Table) -> pa.Table:
-        asks = group.column("asks").to_numpy(zero_copy_only=False)
+        asks = group.column("within").is_valid().to_numpy(zero_copy_only=False)
+        within = group.column("within").to_numpy(zero_copy_only=False)
         ids = group.column("group_id").to_numpy()
         out: list[tuple[np.ndarray, ...]] = []
         for at, matrix in _matrix(group.column("v").combine_chunks()):
@@ -224,13 +240,16 @@ def nearest_in_blocks(index: DataFrame, queries: DataFrame, vectors: DataFrame,
             square = (stored**2).sum(axis=1)
             n = min(len(has), k)
             for a in range(0, len(ask), 256):
-                some = matrix[ask[a : a + 256]]
+                some, limit = matrix[ask[a : a + 256]], within[at[ask[a : a + 256]]]
+                own_square = (some**2).sum(axis=1)
                 rough = square[None] - 2 * some @ stored.T
                 # The rough distances leave out the query's own square and round; all rows within the rounding of the n-th are compared exactly.
-                slack = 8 * (matrix.shape[1] + 4) * np.finfo(np.float64).eps * (square.max() + (some**2).sum(axis=1))
-                row, column = np.nonzero(rough <= (np.partition(rough, n - 1, axis=1)[:, n - 1] + slack)[:, None])
-                exact = np.concatenate([np.sqrt(((stored[column[i : i + 65536]] - some[row[i : i + 65536]]) ** 2).sum(axis=1)) for i in range(0, len(row), 65536)])
+                slack = 8 * (matrix.shape[1] + 4) * np.finfo(np.float64).eps * (square.max() + own_square)
+                most = np.minimum(np.partition(rough, n - 1, axis=1)[:, n - 1], limit**2 - own_square)
+                row, column = np.nonzero(rough <= (most + slack)[:, None])
+                exact = np.concatenate([np.zeros(0), *(np.sqrt(((stored[column[i : i + 65536]] - some[row[i : i + 65536]]) ** 2).sum(axis=1)) for i in range(0, len(row), 65536))])
                 order = np.lexsort((own[column], exact, row))
+                order = order[exact[order] <= limit[row[order]]]
                 row, column, exact = row[order], column[order], exact[order]
                 first = np.arange(len(row)) - np.searchsorted(row, row) < n
                 out.append((ids[at[ask[a : a + 256]]][row[first]], own[column[first]], exact[first]))
@@ -259,18 +278,25 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
 
     asking = materialise(rows.where(is_query).select(F.col("vec_id").alias("query_id"), "v").distinct().join(distinct.select("v", "group_id"), "v").select("query_id", "group_id"), "ann-asking")
     queries = distinct.join(asking.select("group_id").distinct(), "group_id", "left_semi").select("group_id", "v")
-    found = nearest_in_blocks(placed(distinct, hashing, False), placed(queries, hashing, True), distinct, k + 1)
-    best = materialise(best_of(found, k + 1), "ann-found")
+    index = materialise(placed(distinct, hashing), "ann-index")
+    endless = F.lit(float("inf")).alias("within")
+    opening = placed(queries, hashing, [(0, hashing.first if table == 0 else 0) for table in range(hashing.tables)])
+    near = materialise(best_of(nearest_in_blocks(index.where("spot = 0"), opening.select("*", endless), distinct, k + 1), k + 1), "ann-near")
+    # A query with k + 1 vectors in hand needs none beyond the last of them.
+    bounds = near.groupBy(F.col("query").alias("group_id")).agg(F.when(F.count(F.lit(1)) > k, F.max("score")).alias("within"))
+    others = placed(queries, hashing, [(hashing.first if table == 0 else 0, hashing.probes) for table in range(hashing.tables)])
+    others = others.join(bounds, "group_id", "left").withColumn("within", F.coalesce("within", endless))
+    best = materialise(best_of(near.unionByName(nearest_in_blocks(index, others, distinct, k + 1)), k + 1), "ann-found")
     short = queries.join(best.groupBy(F.col("query").alias("group_id")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min(k + 1, n)), "group_id", "left_anti")
     short = materialise(short, "ann-short")
     if not short.isEmpty():
         everywhere = [F.lit(-1).alias("spot"), F.size("v").cast("long").alias("key"), "group_id"]
-        best = best_of(best.unionByName(nearest_in_blocks(distinct.select(*everywhere), short.select(*everywhere), distinct, k + 1)), k + 1)
+        best = best_of(best.unionByName(nearest_in_blocks(materialise(distinct.select(*everywhere), "ann-everywhere"), short.select(*everywhere, endless), distinct, k + 1)), k + 1)
 
     listed = best.join(distinct.select("group_id", "ids"), "group_id").select("query", "score", F.explode("ids").alias("vec_id"))
     order = W.partitionBy("query").orderBy("score", "vec_id")
     lists = listed.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
     answers = lists.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("score", "vec_id"))).alias("near"))
-    others = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
-    per_query = asking.join(answers, F.col("group_id") == F.col("query")).select("query_id", F.posexplode(others).alias("at", "x"))
+    without = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
+    per_query = asking.join(answers, F.col("group_id") == F.col("query")).select("query_id", F.posexplode(without).alias("at", "x"))
     return per_query.select("query_id", (F.col("at") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))

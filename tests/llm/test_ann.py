@@ -96,3 +96,19 @@ def test_hashes_grow_with_the_rows():
     sample = np.array([v for _, v in clustered(2000, 16)])
     assert [ann.fit(sample, n).hashes for n in (100, 2_000, 10**6)] == sorted({ann.fit(sample, n).hashes for n in (100, 2_000, 10**6)})
     assert ann.fit(sample, 10**6).hashes >= 7
+
+
+def test_blocks_leave_out_what_lies_beyond_the_bound(spark):
+    """The k nearest of those within the bound, the vector on the bound included."""
+    rows = clustered(400, 8)
+    vectors = spark.createDataFrame(rows, "group_id long, v array<float>")
+    stored = np.array([v for _, v in rows], dtype=np.float64)
+    far = {q: np.sqrt(((stored - stored[q]) ** 2).sum(axis=1)) for q in (0, 1, 2)}
+    bounds = {0: float("inf"), 1: float(np.sort(far[1])[4]), 2: 0.0}
+    index = spark.createDataFrame([(0, 0, i) for i, _ in rows], "spot int, key long, group_id long")
+    visits = spark.createDataFrame([(0, 0, q, b) for q, b in bounds.items()], "spot int, key long, group_id long, within double")
+    got = {}
+    for r in ann.nearest_in_blocks(index, visits, vectors, 11).collect():
+        got.setdefault(r["query"], set()).add(r["group_id"])
+    assert got == {q: {int(i) for i in np.argsort(d, kind="stable")[:11] if d[i] <= bounds[q]} for q, d in far.items()}
+    assert [len(got[q]) for q in (0, 1, 2)] == [11, 5, 1]
