@@ -369,7 +369,7 @@ def aggregate_grouping_sets(spark, sf_dir):
     return evaluation.aggregate_scores(keyed).select("duration_s", "scenario", F.round("median", 4).alias("median"), F.round("p95", 4).alias("p95"), "n")
 
 
-@query(f"WITH {SCENARIOS} SELECT sc.key, sc.duration_s, scenario FROM (SELECT *, row_number() OVER (PARTITION BY duration_s ORDER BY turn, size DESC, scenario) AS r FROM (SELECT *, count(*) OVER (PARTITION BY duration_s, scenario) AS size, row_number() OVER (PARTITION BY duration_s, scenario ORDER BY md5('0' || key), key) AS turn FROM sc)) sc WHERE r <= 10".replace("0.49 - 0.14", "0.35"))
+@query(f"WITH {SCENARIOS} SELECT sc.key, sc.duration_s, scenario FROM (SELECT *, row_number() OVER (PARTITION BY duration_s ORDER BY turn, size DESC, scenario) AS r FROM (SELECT *, count(*) OVER (PARTITION BY duration_s, scenario) AS size, row_number() OVER (PARTITION BY duration_s, scenario ORDER BY md5('0' || key), key) AS turn FROM sc)) sc WHERE r <= 10")
 def golden_pick(spark, sf_dir):
     _, outages, kinds = event_scenarios(spark, sf_dir)
     return evaluation.stratified_pick(outages.join(kinds, "key").select("key", "duration_s", "scenario"), 10)

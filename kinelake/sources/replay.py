@@ -126,5 +126,5 @@ def sample_rows(spark: SparkSession, rows: int = 30, out_from: int = 10, out_to:
 
 
 def write(rows: DataFrame, path: str) -> None:
-    """As CSV in the contract's columns and order, empty fields for nulls."""
-    rows.select(*REPLAY_COLUMNS).write.option("header", "true").option("emptyValue", "").csv(path)
+    """As CSV in the contract's columns and order, empty fields for nulls; files have a million rows at most, as they are read whole."""
+    rows.select(*REPLAY_COLUMNS).write.option("header", "true").option("emptyValue", "").option("maxRecordsPerFile", 1_000_000).csv(path)
