@@ -110,6 +110,20 @@ def load_pairs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Da
     return out[0], out[1], bad[0].unionByName(bad[1])
 
 
+def load_phone_only(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(phone, rejected): samples, in SI units, of phone files without a vehicle's, and files that don't fit, which don't stop the rest.
+
+    The seq_id is the file's name after ``S-`` in small letters and digits; files of equal names in several folders get the folder's appended.
+    """
+    rows = load_text(files(spark, path).where("kind = 'S'"))
+    samples, rejected = bind(rows, "S")
+    stem = F.regexp_replace(F.lower(F.regexp_extract("path", r"(?i)/s-([^/]*)\.csv$", 1)), "[^a-z0-9]", "")
+    named = to_si(samples, "S").withColumn("stem", stem).withColumn("folder", F.lower(F.element_at(F.split("path", "/"), -2)))
+    twins = named.groupBy("stem").agg((F.count_distinct("path") > 1).alias("twin"))
+    seq_id = F.when(F.col("twin"), F.concat_ws("_", "stem", "folder")).otherwise(F.col("stem"))
+    return named.join(twins, "stem").withColumn("seq_id", seq_id).drop("stem", "folder", "twin", "path"), rejected
+
+
 def header_warnings(rows: DataFrame, kind: str, titles: list[str]) -> DataFrame:
     """(path, position, found, expected) where a header's text differs from the expected one; binding goes by position all the same."""
     clean = lambda s: re.sub(r"\s+", " ", re.sub(r"[^\x00-\x7F]", "", s)).strip().lower()

@@ -90,6 +90,17 @@ def test_recordings(spark, tmp_path):
     assert v["long_accel_mps2"] == pytest.approx(2 * 9.80665) and v["speed_mps"] == pytest.approx(2 / 3.6)
 
 
+def test_phone_only(spark, tmp_path):
+    for folder, name, columns in (("A", "S-S3a.csv", 24), ("B", "s-s3A.csv", 18), ("B", "S-Vw2.csv", 24), ("B", "S-odd.csv", 7)):
+        (tmp_path / folder).mkdir(exist_ok=True)
+        (tmp_path / folder / name).write_bytes(recording(columns, {8: "2019-01-01"}, 200 if columns == 7 else 30))
+    phone, rejected = recordings.load_phone_only(spark, str(tmp_path))
+    counts = {r["seq_id"]: r["count"] for r in phone.groupBy("seq_id").count().collect()}
+    assert counts == {"s3a_a": 30, "s3a_b": 30, "vw2": 30}
+    assert [(r["path"].rsplit("/", 1)[-1], r["reason"]) for r in rejected.collect()] == [("S-odd.csv", "columns: 7")]
+    assert phone.where("seq_id = 'vw2' and row_idx = 9").first()["gps_speed_mps"] == pytest.approx(9 / 3.6)
+
+
 def test_artefacts(spark, tmp_path):
     for name, version, signature in (("a.json", "1.2.0", "x"), ("b.json", "1.10.1", ""), ("c.json", "2.0.0", "y"), ("d.json", "bad", "z")):
         (tmp_path / name).write_text(json.dumps({"version": name[0], "contract_version": version, "signature": signature}))
