@@ -100,7 +100,7 @@ def sequence_ids(found: DataFrame) -> DataFrame:
 def load_pairs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(phone, vehicle, rejected): samples with seq_id and row_idx, in SI units, and files that don't fit."""
     found = files(spark, path)
-    ids = F.broadcast(sequence_ids(found))
+    ids = sequence_ids(found)
     rows = load_text(found)
     out, bad = [], []
     for kind, column in (("S", "path_s"), ("V", "path_v")):
