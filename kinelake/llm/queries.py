@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinelake.llm import ann, bpe, exact_dedup, language, license_scan, mixing, ngram_join, pii, quality, token_histogram
+from kinelake.llm import ann, bpe, centroids, exact_dedup, fingerprints, language, license_scan, mixing, ngram_join, pii, quality, token_histogram, whitening
 from kinelake.llm.scratch import materialise
 
 
@@ -89,6 +89,21 @@ def op10_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document against its edited text and the next document; tests compare with phrases parsed by plain loops."""
+    return fingerprints.with_edits(table(spark, sf_dir, "documents"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten rounds over all vectors of 64 components."""
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All finite vectors, whitened; no SQL has eigenvectors, so tests compare with a dense solver."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_byte_bpe": op2_byte_bpe,
@@ -100,8 +115,12 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_quality": op9_quality,
     "op10_pivotal_mix": op10_pivotal_mix,
+    "op11_fingerprints": op11_fingerprints,
+    "op12_centroids": op12_centroids,
+    "op13_whitening": op13_whitening,
 }
 SQL = {
     "op3_exact_dedup": OP3_SQL,
     "op8_license_scan": license_scan.scan_sql(),
+    "op12_centroids": centroids.cluster_sql(),
 }
