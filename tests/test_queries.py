@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from kinelake.plans import model_queries, queries, source_queries  # noqa: F401
+from kinelake.plans import model_queries, queries, source_queries, track_queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no tables")
