@@ -17,6 +17,7 @@ carried along by ``keep_first``, whatever their names.
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinelake.llm.scratch import join_hot_split, materialise
+from kinelake.session import is_local
 
 BLANKS = r"[\x20\x09-\x0D]+"
 
@@ -32,11 +34,19 @@ def digest(text: Column) -> Column:
     return F.sha2(F.coalesce(F.regexp_replace(text, BLANKS, " "), F.lit("")).cast("binary"), 256)
 
 
+def refuse_local_warehouse(master: str, folder: str) -> None:
+    """On a cluster the index can't stand in Spark's default, the driver's working folder, which executors don't share."""
+    default = f"{os.getcwd()}/spark-warehouse"
+    if not is_local(master) and folder.removeprefix("file:").replace("///", "/").rstrip("/") == default:
+        raise ValueError("set spark.sql.warehouse.dir to a folder that the driver and all executors share")
+
+
 class DigestIndex:
     """The persistent index. ``buckets`` should keep a bucket within an executor's sort memory."""
 
     def __init__(self, spark: SparkSession, table: str, id_type: T.DataType | None = None, buckets: int = 64):
         self.spark, self.table, self.buckets = spark, table, buckets
+        refuse_local_warehouse(spark.sparkContext.master, spark.conf.get("spark.sql.warehouse.dir"))
         if not spark.catalog.tableExists(table):
             schema = T.StructType([T.StructField("digest", T.StringType()), T.StructField("first_id", id_type or T.LongType()), T.StructField("batch", T.StringType())])
             self._append(spark.createDataFrame([], schema))
@@ -54,11 +64,11 @@ class DigestIndex:
     def add(self, groups: DataFrame, batch: str) -> DataFrame:
         """Append the digests of ``groups`` (digest, first_id) that the index lacks; returns those, and those that ``batch`` appended in an earlier run."""
         offered = groups.select("digest", "first_id").repartition(self.buckets, "digest")
-        known = self.read().select("digest", "batch").hint("merge")
-        met = offered.join(known, "digest", "left").where(F.col("batch").isNull() | (F.col("batch") == batch))
-        fresh = materialise(met, "fresh")
-        self._append(fresh.where("batch is null").withColumn("batch", F.lit(batch)).repartition(self.buckets, "digest"))
-        return fresh.drop("batch")
+        index, own = self.read().select("digest", "batch"), F.col("batch") == batch
+        fresh = materialise(offered.join(index.where(~own).select("digest").hint("merge"), "digest", "left_anti"), "fresh")
+        missing = fresh.repartition(self.buckets, "digest").join(index.where(own).select("digest").hint("merge"), "digest", "left_anti")
+        self._append(missing.withColumn("batch", F.lit(batch)))
+        return fresh
 
 
 def first_id(column: Column) -> Column:

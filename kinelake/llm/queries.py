@@ -35,8 +35,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as the first batch of an empty index."""
     docs = table(spark, sf_dir, "documents")
     index = exact_dedup.scratch_index(spark)
-    rows = materialise(exact_dedup.deduplicate(docs, index), "op3")
-    index.drop()
+    try:
+        rows = materialise(exact_dedup.deduplicate(docs, index), "op3")
+    finally:
+        index.drop()
     return rows.withColumnRenamed("digest", "text_sha256")
 
 

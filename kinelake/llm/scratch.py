@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinelake.session import shared_root
+
 #: A key is hot when it holds at least 1/HOT_SHARE of all rows, so at most HOT_SHARE keys can be hot.
 HOT_SHARE = 1000
 #: Bytes of an Arrow batch that a Python worker gets at once, where the session hasn't set its own limit.
@@ -18,19 +19,8 @@ BATCH_BYTES = 4 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder every executor shares: ``spark.checkpoint.dir``. Unset, it is one of our own in local mode (tests); on a cluster that is an error, as executors would write to their own disks."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not is_local(spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="kinelake-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/kinelake/{spark.sparkContext.applicationId}"
-
-
-def is_local(master: str) -> bool:
-    """Driver and executors are one process, with one file system."""
-    return master == "local" or master.startswith("local[")
+    """The folder every executor shares, as the session has it; scratch tables stand there."""
+    return shared_root(spark)
 
 
 def new_path(spark: SparkSession, name: str) -> str:

@@ -60,3 +60,30 @@ def test_empty_and_null_only(spark, rows):
     got = exact_dedup.deduplicate(docs, exact_dedup.scratch_index(spark, buckets=4)).collect()
     assert len(got) == len(rows) and sum(r["kept"] for r in got) == min(1, len(rows))
     assert exact_dedup.keep_first(docs, exact_dedup.scratch_index(spark, buckets=4)).count() == min(1, len(rows))
+
+
+def test_the_default_warehouse_is_refused_on_a_cluster():
+    import os
+
+    import pytest
+
+    here = f"file:{os.getcwd()}/spark-warehouse"
+    exact_dedup.refuse_local_warehouse("local[4]", here)
+    exact_dedup.refuse_local_warehouse("spark://host:7077", "hdfs://store/warehouse")
+    with pytest.raises(ValueError, match="warehouse"):
+        exact_dedup.refuse_local_warehouse("spark://host:7077", here)
+
+
+def test_the_index_is_met_in_a_sort_merge_anti_join_without_moving_it(spark):
+    index = exact_dedup.scratch_index(spark, buckets=4)
+    try:
+        docs = spark.createDataFrame([(i, f"text {i % 7}") for i in range(20)], "doc_id long, text string")
+        assert exact_dedup.deduplicate(docs, index, batch="a").where("kept").count() == 7
+        offered = docs.select(exact_dedup.digest(docs["text"]).alias("digest")).repartition(4, "digest")
+        plan = offered.join(index.read().select("digest").hint("merge"), "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "LeftAnti" in plan and plan.count("Exchange hashpartitioning") == 1
+        assert exact_dedup.deduplicate(docs, index, batch="b").where("kept").count() == 0
+        assert exact_dedup.deduplicate(docs, index, batch="a").where("kept").count() == 7  # the failed run's digests are its own
+        assert index.read().count() == 7
+    finally:
+        index.drop()
