@@ -26,9 +26,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the smallest id stays."""
     index = exact_dedup.scratch_index(spark, docs.schema["doc_id"].dataType)
-    kept = exact_dedup.keep_first(docs, index)
-    index.drop()
-    return kept
+    try:
+        return exact_dedup.keep_first(docs, index)  # what it needs of the index is materialised
+    finally:
+        index.drop()
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
