@@ -45,6 +45,17 @@ def stratified_pick(pool: DataFrame, per_duration: int, seed: str = "0") -> Data
     return sized.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_duration).drop("n", "turn", "size")
 
 
+def topped_up_pick(pool: DataFrame, total: int, durations: int = 4, seed: str = "0") -> DataFrame:
+    """``total`` outages of the pool (all, if there are fewer): an equal share of each duration as in ``stratified_pick``, and where durations run short the rest from what is left, in the order of a hash of the key."""
+    chosen = stratified_pick(pool, total // durations, seed)
+    short = total - chosen.count()
+    if short <= 0:
+        return chosen
+    left = pool.join(chosen.select("key"), "key", "left_anti")
+    more = left.orderBy(F.md5(F.concat(F.lit(seed), "key").cast("binary")), "key").limit(short)
+    return chosen.unionByName(more.select(*chosen.columns))
+
+
 def scenario(rows: DataFrame, speed: str, yaw: str, accel: str, key: str = "key", turning_rows: int = 30) -> DataFrame:
     """One of six scenarios for each key, from its rows numbered by i."""
     turn = F.abs(F.col(yaw))

@@ -43,6 +43,11 @@ def aligned_features(samples: DataFrame, accel: list[str], gravity: list[str], g
     return rows.select(by, "row_idx", *[x.alias(n) for x, n in zip(out, FEATURES, strict=True)], "yaw_deg")
 
 
+def fit_report(samples: DataFrame, accel: list[str], gravity: list[str], reference: str, by: str = "seq_id", least: int = 200, least_std: float = 1e-3) -> DataFrame:
+    """(by, n, yaw_deg, score): how well each sequence's alignment follows the reference; a null score where nothing could be fitted."""
+    return yaw_search(levelled(samples, accel, gravity, by), "level_x", "level_y", reference, by, least=least, least_std=least_std)
+
+
 def feature_windows(rows: DataFrame, keys: list[str], means: list[float] | None = None, stds: list[float] | None = None, size: int = WINDOW_ROWS) -> DataFrame:
     """(keys, n_rows, x): each window's rows (i from 0, FEATURES) in order, normalised, as an array of ``size`` rows; short windows end in zeros before they are normalised."""
     means, stds = means or [0.0] * len(FEATURES), stds or [1.0] * len(FEATURES)

@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinelake import schema
-from kinelake.functions.nanops import col, divide, finite, gt, known, lt, moment_corr
+from kinelake.functions.nanops import col, divide, finite, gt, known, lt, moment_corr, rounded
+from kinelake.operators.sequences import centred_std
 
 #: Factors on a label's sigma by a sequence's usability; others count as UNKNOWN_FACTOR.
 USABILITY_FACTOR = {"use": 1.0, "weak": 1.4}
@@ -64,6 +65,22 @@ def usability(vibration: Column | str, r2: Column | str, sync: Column | str, mov
     return F.when((col(move) < 0.05) | (s < 0.30), "drop").when((v >= 0.35) | (r >= 0.50), "use").when((v >= 0.20) | (r >= 0.30), "weak").otherwise("drop")
 
 
+def score_sequences(samples: DataFrame, accel: list[str], gyro: tuple[str, str, str], speed: str = "veh_speed_mps", yaw: str = "veh_yaw_rate_radps", gps_speed: str = "phone_gps_speed_mps", least_rows: int = 200) -> DataFrame:
+    """(seq_id, vib_speed_corr, lsq_yaw_r2, sync_speed_corr, move_fraction, turn_fraction, usability) of each sequence, from its paired samples.
+
+    Vibration is the standard deviation of the acceleration's size over a second around each row; its correlation with the speed, how well the phone's
+    turn rates explain the vehicle's, and the correlation of both speeds say whether the phone was fixed and in step. Scores that can't be had are null;
+    usability is decided on the unrounded ones.
+    """
+    size = F.sqrt(sum((F.col(a) * F.col(a) for a in accel), F.lit(0.0)))
+    rows = centred_std(samples.withColumn("_size", size), "_size")
+    corr = corr_with_imputation(rows, {"vib_speed_corr": ("rolling_std", speed), "sync_speed_corr": (gps_speed, speed)})
+    r2 = regression_r2(samples, yaw, gyro, least_rows=least_rows).select("seq_id", F.col("r2").alias("lsq_yaw_r2"))
+    out = corr.join(r2, "seq_id", "left").join(fractions(samples, speed, yaw), "seq_id")
+    kind = usability("vib_speed_corr", "lsq_yaw_r2", "sync_speed_corr", "move_fraction")
+    return out.select("seq_id", *[rounded(c, 3).alias(c) for c in ("vib_speed_corr", "lsq_yaw_r2", "sync_speed_corr", "move_fraction", "turn_fraction")], kind.alias("usability"))
+
+
 def clean_rows(speed: str = "veh_speed_mps", yaw: str = "veh_yaw_rate_radps", sats: str = "veh_gps_sats", wheels=schema.WHEELS) -> Column:
     """Straight, fast, well-tracked rows with all wheels known."""
     fine = lt(F.abs(F.col(yaw)), 0.03) & gt(speed, 5.0) & ~F.isnan(sats) & (F.col(sats) >= 4) & finite(speed)

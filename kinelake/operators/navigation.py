@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinelake.functions.nanops import col
 from kinelake.functions.scalar import EARTH_RADIUS_M
+from kinelake.operators.filters import by_key_in_order
+from kinelake.operators.smoothing import carried
 
 
 def path(key: str = "key"):
@@ -57,40 +63,50 @@ def strapdown(steps: DataFrame, dt: float, proper: bool = True, key: str = "key"
 
 
 def low_pass(samples: DataFrame, value: str, alpha: float = 0.8, key: str = "seq_id") -> DataFrame:
-    """Exponential smoothing y = alpha * y + (1 - alpha) * x from the first sample, as a fold over each key's ordered rows.
+    """(key, row_idx, value, smoothed): exponential smoothing y = alpha * y + (1 - alpha) * x from each key's first sample.
 
-    The rows of one key are folded in one task, so keys should be trips or segments.
+    Rows are sorted by key and time and passed through, all keys of a batch side by side; what goes on into the next batch is one number, however
+    long a key. A missing value makes the rest of its key NaN.
     """
-    rows = samples.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("row_idx", F.col(value).alias("x")))).alias("rows"))
-    fold = F.expr(f"""aggregate(rows, cast(array() as array<struct<row_idx:bigint,x:double,y:double>>), (acc, r) ->
-        concat(acc, array(named_struct('row_idx', r.row_idx, 'x', r.x, 'y',
-          if(size(acc) = 0, r.x, {alpha}D * element_at(acc, -1).y + {1 - alpha}D * r.x)))))""")
-    return rows.select(key, F.explode(fold).alias("r")).select(key, "r.row_idx", F.col("r.x").alias(value), F.col("r.y").alias("smoothed"))
+
+    def step(values: np.ndarray, states: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        y = np.where(fresh, values[:, 0], alpha * states[:, 0] + (1 - alpha) * values[:, 0])[:, None]
+        return y, y
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d, out in carried(frames, ["x"], 1, step):
+            yield d.assign(smoothed=out[:, 0])
+
+    rows = samples.select(F.col(key).alias("key"), "row_idx", F.col(value).cast("double").alias("x"))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    out = by_key_in_order(rows, "row_idx").mapInPandas(run, f"key {kinds['key']}, row_idx {kinds['row_idx']}, x double, smoothed double")
+    return out.select(F.col("key").alias(key), "row_idx", F.col("x").alias(value), "smoothed")
 
 
 def window_filter(windows: DataFrame, key: str = "key", dt: float = 2.0, q: float = 0.6, r0: float = 0.25) -> DataFrame:
-    """Speed and acceleration by a Kalman filter over a key's windows (i, mean, logvar, v0), as a fold; adds speed.
+    """(key, i, speed, accel): speed and acceleration by a Kalman filter over a key's windows (i, mean, logvar, v0).
 
-    State (v, a) with covariance (pvv, pva, paa); measurement variance exp(logvar) + r0.
+    State (v, a) with covariance (pvv, pva, paa), starting at (v0, 0) and the unit matrix; measurement variance exp(logvar) + r0. Windows are sorted and passed through
+    as in ``low_pass``; five numbers a key go on. A missing value makes the rest of its key NaN.
     """
-    rows = windows.groupBy(key).agg(F.first("v0").alias("v0"), F.array_sort(F.collect_list(F.struct("i", "mean", "logvar"))).alias("rows"))
-    state = "struct<i:bigint,v:double,a:double,pvv:double,pva:double,paa:double>"
-    qv = q * q
-    fold = F.expr(f"""aggregate(rows,
-      array(named_struct('i', -1L, 'v', v0, 'a', 0D, 'pvv', 1D, 'pva', 0D, 'paa', 1D)),
-      (acc, z) -> concat(acc, transform(transform(array(element_at(acc, -1)), s -> named_struct(
-          'v', s.v + {dt}D * s.a, 'a', s.a,
-          'pvv', s.pvv + 2 * {dt}D * s.pva + {dt * dt}D * s.paa + {qv * dt**4 / 4}D,
-          'pva', s.pva + {dt}D * s.paa + {qv * dt**3 / 2}D,
-          'paa', s.paa + {qv * dt * dt}D,
-          'r', exp(z.logvar) + {r0}D)), p -> named_struct('i', z.i,
-          'v', p.v + p.pvv / (p.pvv + p.r) * (z.mean - p.v),
-          'a', p.a + p.pva / (p.pvv + p.r) * (z.mean - p.v),
-          'pvv', p.pvv - p.pvv * p.pvv / (p.pvv + p.r),
-          'pva', p.pva - p.pva * p.pvv / (p.pvv + p.r),
-          'paa', p.paa - p.pva * p.pva / (p.pvv + p.r)))))""")
-    out = rows.select(key, F.explode(F.filter(fold.cast(f"array<{state}>"), lambda s: s["i"] >= 0)).alias("s"))
-    return out.select(key, "s.i", F.col("s.v").alias("speed"), F.col("s.a").alias("accel"))
+
+    def step(values: np.ndarray, states: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        mean, logvar, v0 = values.T
+        v, a, pvv, pva, paa = (np.where(fresh, first, now) for first, now in zip((v0, 0.0, 1.0, 0.0, 1.0), states.T, strict=True))
+        v = v + dt * a
+        pvv, pva, paa = pvv + 2 * dt * pva + dt * dt * paa + q * q * dt**4 / 4, pva + dt * paa + q * q * dt**3 / 2, paa + q * q * dt * dt
+        spread = pvv + np.exp(logvar) + r0
+        miss = mean - v
+        after = np.stack([v + pvv / spread * miss, a + pva / spread * miss, pvv - pvv * pvv / spread, pva - pva * pvv / spread, paa - pva * pva / spread], axis=1)
+        return after[:, :2], after
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d, out in carried(frames, ["mean", "logvar", "v0"], 5, step):
+            yield pd.DataFrame({"key": d["key"].to_numpy(), "i": d["i"].to_numpy(), "speed": out[:, 0], "accel": out[:, 1]})
+
+    rows = windows.select(F.col(key).alias("key"), F.col("i").cast("long").alias("i"), *[F.col(c).cast("double").alias(c) for c in ("mean", "logvar", "v0")])
+    out = by_key_in_order(rows, "i").mapInPandas(run, f"key {rows.schema['key'].dataType.simpleString()}, i long, speed double, accel double")
+    return out.withColumnRenamed("key", key)
 
 
 def rigid_align(pairs: DataFrame, key: str = "key") -> DataFrame:

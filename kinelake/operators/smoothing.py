@@ -18,7 +18,7 @@ from kinelake.operators.filters import numbered
 STATE = ["pe", "ve", "pn", "vn", "cpp", "cpv", "cvv"]
 
 
-def _carried(frames: Iterator[pd.DataFrame], columns: list[str], size: int, step) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+def carried(frames: Iterator[pd.DataFrame], columns: list[str], size: int, step) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
     """Runs ``step(rows, states, fresh)`` over frames in the order of their keys, all keys of a frame side by side; the last key's state goes on into the next frame.
 
     ``states`` has a row a key, ``fresh`` says which have none yet.
@@ -94,13 +94,13 @@ def smooth_tracks(fixes: DataFrame, noise: float = 1.0, start_var: float = 1e4)
     columns = ["t", "east_m", "north_m", "var"]
 
     def forward(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for d, out in _carried(frames, columns, 9, lambda *a: _forward(*a, noise, start_var)):
+        for d, out in carried(frames, columns, 9, lambda *a: _forward(*a, noise, start_var)):
             made = pd.DataFrame(out, columns=[*(f"a_{c}" for c in STATE), *STATE, "dt", "i"]).astype({"i": "int64"})
             yield pd.concat([d[["key", "t"]].reset_index(drop=True), made], axis=1)
 
     def backward(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         inputs = [*STATE, *(f"a_{c}" for c in STATE), "dt"]
-        for d, out in _carried(frames, inputs, 15, _backward):
+        for d, out in carried(frames, inputs, 15, _backward):
             yield pd.DataFrame({"key": d["key"].to_numpy(), "t": d["t"].to_numpy(), "east_m": out[:, 0], "north_m": out[:, 2], "ve_mps": out[:, 1], "vn_mps": out[:, 3], "var_m2": out[:, 4], "filtered_east_m": d["pe"].to_numpy(), "filtered_north_m": d["pn"].to_numpy()})
 
     rows = fixes.select("key", *[F.col(c).cast("double").alias(c) for c in columns]).where(finite("t"))

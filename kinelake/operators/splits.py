@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from kinelake.functions.scalar import holdout_bucket
+from kinelake.operators.reports import split_counts
 
 
 def assign_splits(sequences: DataFrame, by_id: dict[str, str], by_family: dict[str, str], id_col: str = "seq_id", family_col: str = "route_family", default: str = "excluded") -> DataFrame:
@@ -48,3 +50,18 @@ def histogram(rows: DataFrame, column: str, values: list[str]) -> DataFrame:
     every = rows.sparkSession.createDataFrame([(v,) for v in values], f"{column} string")
     counts = rows.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
     return every.join(counts, column, "left").select(column, F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+
+
+def write_manifests(records: DataFrame, digests: DataFrame, folder: str, force: bool = False) -> None:
+    """Split manifests: ``records`` (one row a sequence with its split) under ``folder``/sequences by split, and ``folder``/summary, one JSON row a split with counts and the digest of its files.
+
+    Existing manifests are only replaced by force, as results refer to them. ``digests`` (split, digest) come from ``manifest_digest``.
+    """
+    mode = "overwrite" if force else "errorifexists"
+    records.write.mode(mode).partitionBy("split").parquet(f"{folder}/sequences")
+    split_counts(records).join(digests.select("split", "digest"), "split", "left").coalesce(1).write.mode(mode).json(f"{folder}/summary")
+
+
+def read_manifests(spark: SparkSession, folder: str, schema: StructType) -> tuple[DataFrame, DataFrame]:
+    """(records, summary) as ``write_manifests`` wrote them; ``schema`` is that of the records."""
+    return spark.read.schema(schema).parquet(f"{folder}/sequences"), spark.read.json(f"{folder}/summary")

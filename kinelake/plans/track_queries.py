@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 
 from kinelake.kernels import modes
 from kinelake.kernels import network as layers
-from kinelake.operators import augment, constraints, monitoring, network, remount, routes, sampling, sequences, smoothing
+from kinelake.operators import augment, constraints, evaluation, features, labels, monitoring, network, remount, reports, routes, sampling, sequences, smoothing, splits
 from kinelake.operators.features import FEATURES, feature_windows
-from kinelake.plans.model_queries import _FLAT, ALIGNED, MEANS, SIZE, STDS, event_features
-from kinelake.plans.queries import PATHS, paths, query
+from kinelake.plans.model_queries import _FLAT, ALIGNED, MEANS, RECORDS, SIZE, STDS, event_features, event_records, phone_samples
+from kinelake.plans.queries import PATHS, SCENARIOS, event_scenarios, paths, query
 from kinelake.plans.samples import GAP_MS, SAMPLES, SEGMENTS, WINDOW, WINDOWS, event_samples, event_segments, event_windows, table
 from kinelake.session import shared_path
+from kinelake.sources import artefacts
 from kinelake.streaming import stateful
 
 # Inference: a small network with random weights over the events' windows. The SQL has every layer as a join of values with weights.
@@ -378,3 +379,104 @@ def training_losses(spark, sf_dir):
     for part in parts[1:]:
         out = out.join(part, by)
     return out.select("l_returnflag", *[F.round(c, 5 if c == "context" else 4).alias(c) for c in ("warm_up", "beta_nll", "yaw", "context")])
+
+
+_COV = lambda a, b: f"covar_pop({a}, {b})"
+_GYROS, _YAW = ("g1", "g2", "g3"), "y"
+
+
+def _det(columns: list[list[str]]) -> str:
+    a, b, d = columns
+    return f"({a[0]} * ({b[1]} * {d[2]} - {b[2]} * {d[1]}) - {b[0]} * ({a[1]} * {d[2]} - {a[2]} * {d[1]}) + {d[0]} * ({a[1]} * {b[2]} - {a[2]} * {b[1]}))"
+
+
+_SIDES = [[f"k{min(i, j)}{max(i, j)}" for i in range(3)] for j in range(3)]
+_GOAL = [f"k{i}3" for i in range(3)]
+_R2 = "(" + " + ".join(f"{_det([_GOAL if j == k else _SIDES[j] for j in range(3)])} * {_GOAL[k]}" for k in range(3)) + f") / {_det(_SIDES)} / k33"
+_NAMES = (*_GYROS, _YAW)
+
+
+@query(
+    f"""WITH {SAMPLES}, p AS (SELECT seq_id, row_idx, v AS speed, CASE WHEN event_id % 13 > 0 THEN v + yaw * 8 END AS gps, sqrt(pow(v / 10, 2) + yaw * yaw + 96.2361) AS a, yaw / 10 + (event_id % 5) / 20 AS g1, v / 300 AS g2, (event_id % 17) / 30 AS g3, yaw AS y FROM s),
+r AS (SELECT *, CASE WHEN count(*) OVER f = 10 THEN stddev_samp(a) OVER f END AS vib FROM p WINDOW f AS (PARTITION BY seq_id ORDER BY row_idx ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING)),
+i AS (SELECT *, coalesce(vib, avg(vib) OVER k) AS vi, coalesce(gps, avg(gps) OVER k) AS gi FROM r WINDOW k AS (PARTITION BY seq_id)),
+m AS (SELECT seq_id, count(*) AS n, CASE WHEN var_pop(vi) > 1e-12 AND var_pop(speed) > 1e-12 THEN covar_pop(vi, speed) / sqrt(var_pop(vi) * var_pop(speed)) END AS vc, CASE WHEN var_pop(gi) > 1e-12 AND var_pop(speed) > 1e-12 THEN covar_pop(gi, speed) / sqrt(var_pop(gi) * var_pop(speed)) END AS sc,
+ avg((speed > 1)::INT) AS mv, avg((abs(y) > 0.05)::INT) AS tn, {', '.join(f'{_COV(_NAMES[i], _NAMES[j])} AS k{i}{j}' for i in range(4) for j in range(i, 4))} FROM i GROUP BY seq_id),
+q AS (SELECT *, CASE WHEN n > 20 AND sqrt(k33) > 0.001 THEN {_R2} END AS r2 FROM m)
+SELECT seq_id, round(vc, 3) AS vib_speed_corr, round(r2, 3) AS lsq_yaw_r2, round(sc, 3) AS sync_speed_corr, round(mv, 3) AS move_fraction, round(tn, 3) AS turn_fraction,
+ CASE WHEN mv < 0.05 OR coalesce(sc, 1) < 0.3 THEN 'drop' WHEN coalesce(vc, 0) >= 0.35 OR coalesce(r2, 0) >= 0.5 THEN 'use' WHEN coalesce(vc, 0) >= 0.2 OR coalesce(r2, 0) >= 0.3 THEN 'weak' ELSE 'drop' END AS usability FROM q"""
+)
+def sequence_scores(spark, sf_dir):
+    """All scores of a sequence and its usability in one operator."""
+    s = event_samples(spark, sf_dir)
+    rows = s.select("seq_id", "row_idx", F.col("v").alias("speed"), F.when(F.col("event_id") % 13 > 0, F.col("v") + F.col("yaw") * 8).otherwise(float("nan")).alias("gps"), (F.col("v") / 10).alias("ax"), F.col("yaw").alias("ay"), F.lit(9.81).alias("az"), (F.col("yaw") / 10 + (F.col("event_id") % 5) / 20).alias("g1"), (F.col("v") / 300).alias("g2"), ((F.col("event_id") % 17) / 30).alias("g3"), "yaw")
+    return labels.score_sequences(rows, ["ax", "ay", "az"], ("g1", "g2", "g3"), "speed", "yaw", "gps", least_rows=20)
+
+
+@query(
+    f"""WITH {SCENARIOS}, ch AS (SELECT key, duration_s, scenario FROM (SELECT *, row_number() OVER (PARTITION BY duration_s ORDER BY turn, size DESC, scenario) AS rr FROM (SELECT sc.key, sc.duration_s, scenario, count(*) OVER (PARTITION BY sc.duration_s, scenario) AS size, row_number() OVER (PARTITION BY sc.duration_s, scenario ORDER BY md5('0' || sc.key), sc.key) AS turn FROM sc)) WHERE rr <= 10),
+mo AS (SELECT key, duration_s, scenario FROM sc WHERE key NOT IN (SELECT key FROM ch) ORDER BY md5('0' || key), key LIMIT (SELECT 40 - count(*) FROM ch))
+SELECT * FROM ch UNION ALL SELECT * FROM mo"""
+)
+def golden_pick_topped(spark, sf_dir):
+    """Forty outages: a quarter for each of four durations, of which two don't occur, so the rest is topped up."""
+    _, outages, kinds = event_scenarios(spark, sf_dir)
+    return evaluation.topped_up_pick(outages.join(kinds, "key").select("key", "duration_s", "scenario"), 40)
+
+
+@query(f"WITH {ALIGNED} SELECT seq_id, any_value(n) AS n, any_value(yaw_deg) AS yaw_deg, round(CASE WHEN any_value(n) >= 3 AND any_value(sqrt(vr)) >= 0.001 THEN max(score) END, 6) AS score FROM sc JOIN yw USING (seq_id) GROUP BY seq_id")
+def alignment_fit(spark, sf_dir):
+    """The correlation that each sequence's alignment reaches."""
+    phone = phone_samples(spark, sf_dir).withColumn("ref", features.speed_gradient(event_samples(spark, sf_dir), "v"))
+    out = features.fit_report(phone, [f"acc_{n}" for n in "xyz"], [f"grav_{n}" for n in "xyz"], "ref", least=3)
+    return out.withColumn("score", F.round("score", 6))
+
+
+@query(
+    f"""WITH {RECORDS}, lines AS (SELECT split, seq_id || ':' || sha256(seq_id || ':' || n_rows) AS line FROM rec), dg AS (SELECT split, sha256(string_agg(line, '' ORDER BY line)) AS digest FROM lines GROUP BY split),
+su AS (SELECT split, count(*) AS n_sequences, round_even(sum(duration_s) / 3600, 2) AS hours, sum(n_windows_train_stride)::BIGINT AS train_windows FROM rec GROUP BY split)
+SELECT seq_id, split, n_rows, n_windows_infer_stride, n_sequences, hours, train_windows, digest FROM rec JOIN su USING (split) JOIN dg USING (split)"""
+)
+def split_manifests(spark, sf_dir):
+    """Manifests written as files by split with their summary, and read again."""
+    records = event_records(spark, sf_dir)
+    files = records.withColumn("sha", F.sha2(F.concat_ws(":", "seq_id", "n_rows").cast("binary"), 256))
+    digests = splits.manifest_digest(files, "seq_id", ["sha"], ["split"])
+    folder = shared_path(spark, "manifests")
+    splits.write_manifests(records, digests, folder)
+    rows, summary = splits.read_manifests(spark, folder, records.schema)
+    return rows.join(F.broadcast(summary), "split").select("seq_id", "split", "n_rows", "n_windows_infer_stride", "n_sequences", "hours", "train_windows", "digest")
+
+
+@query(f"WITH {ALIGNED} SELECT seq_id, row_idx, round(accel_x, 4) AS accel_x, round(gyro_z, 4) AS gyro_z FROM fe")
+def cached_features(spark, sf_dir):
+    """Features kept by a digest of what they are made from; the second reader makes nothing."""
+    root = shared_path(spark, "features")
+    parts = {"events": sf_dir, "least": 3, "version": 1}
+    artefacts.cached(spark, root, parts, lambda: event_features(spark, sf_dir))
+    rows = artefacts.cached(spark, root, parts, lambda: spark.range(0).select(F.raise_error(F.lit("made twice"))))
+    return rows.select("seq_id", "row_idx", F.round("accel_x", 4).alias("accel_x"), F.round("gyro_z", 4).alias("gyro_z"))
+
+
+# Routes by their field: embeddings, joined end to end by label, are the stored field of ten ways; every seventeenth, somewhat disturbed, is a trace.
+ROUTE_SQL = """WITH e AS (SELECT vec_id, label % 10 AS way, embedding::DOUBLE[] AS x, row_number() OVER (PARTITION BY label % 10 ORDER BY vec_id) - 1 AS place FROM embeddings),
+tr AS (SELECT vec_id AS trip_id, way AS way_id, list_transform(x[9:40], lambda v, i: v + 0.02 * sin(i * vec_id)) AS t FROM e WHERE vec_id % 17 = 0),
+pi AS (SELECT way AS way_id, place // 8 AS piece, min(place) * 64 AS start, flatten(list(x ORDER BY place)) AS st FROM e GROUP BY ALL),
+pl AS (SELECT trip_id, tr.way_id, start + o AS pos, t, st[o + 1:o + 32] AS y FROM tr JOIN pi USING (way_id), LATERAL (SELECT unnest(range(len(st) - 31)) AS o)),
+el AS (SELECT trip_id, way_id, pos, unnest(t) AS a, unnest(y) AS b FROM pl),
+co AS (SELECT trip_id, way_id, pos, round(covar_pop(a, b) / sqrt(var_pop(a) * var_pop(b)), 9) AS score FROM el GROUP BY ALL),
+be AS (SELECT trip_id, way_id, arg_min(pos, (-score, pos)) AS pos, max(score) AS score FROM co GROUP BY ALL),
+ru AS (SELECT co.trip_id, co.way_id, max(co.score) AS runner_up FROM co JOIN be ON be.trip_id = co.trip_id AND be.way_id = co.way_id AND abs(be.pos - co.pos) >= 20 GROUP BY ALL)
+SELECT trip_id, way_id, pos AS metre, round(score, 5) AS score, round(runner_up, 5) AS runner_up, CASE WHEN score - coalesce(runner_up, -1) > 0.05 THEN 'MATCHED' ELSE 'MAG_AMBIGUOUS' END AS verdict FROM be LEFT JOIN ru USING (trip_id, way_id)"""
+
+
+@query(ROUTE_SQL)
+def located_on_route(spark, sf_dir):
+    """Traces located along their ways by correlation with the stored field."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") % 10).alias("way_id"), F.transform("embedding", lambda v: v.cast("double")).alias("x"))
+    placed = sequences.number_rows(e, "way_id", ["vec_id"])
+    piece = placed.groupBy("way_id", F.floor(F.col("row_idx") / 8).alias("piece")).agg((F.min("row_idx") * 64).alias("start"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("row_idx", "x"))), lambda r: r["x"])).alias("field"))
+    disturbed = F.transform(F.slice("x", 9, 32), lambda v, i: v + 0.02 * F.sin((i + 1) * F.col("vec_id")))
+    traces = e.where("vec_id % 17 = 0").select(F.col("vec_id").alias("trip_id"), "way_id", disturbed.alias("field"))
+    out = routes.locate_on_route(traces, piece)
+    return out.select("trip_id", "way_id", F.col("at").alias("metre"), F.round("score", 5).alias("score"), F.round("runner_up", 5).alias("runner_up"), "verdict")

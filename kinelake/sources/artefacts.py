@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,3 +66,16 @@ def map_extract(extracts: DataFrame, regions: list[str], region: str, developmen
 def save_new(rows: DataFrame, path: str, force: bool = False) -> None:
     """An append-only artefact: an existing one is only replaced by force."""
     rows.write.mode("overwrite" if force else "errorifexists").json(path)
+
+
+def cached(spark: SparkSession, root: str, parts: dict, make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` gives, kept as Parquet under ``root`` by a digest of ``parts`` (inputs with their versions, parameters) and read from there from the second time on.
+
+    Only a folder that was written to its end counts; what a failed run left is replaced. ``root`` is a folder that driver and executors share.
+    """
+    name = hashlib.sha256(json.dumps(parts, sort_keys=True, default=str).encode()).hexdigest()[:32]
+    path = f"{root.rstrip('/')}/{name}"
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

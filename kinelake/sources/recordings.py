@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinelake import schema
-from kinelake.functions.scalar import satellites
+from kinelake.functions.scalar import gyro_sanity, range_sanity, satellites
 
 MISSING = ("", "NaN", "nan")
 #: Smallest size of a file worth reading, as a pair's discovery has it.
@@ -81,7 +81,7 @@ def bind(rows: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
 
 def to_si(samples: DataFrame, kind: str) -> DataFrame:
     """Speeds from km/h, accelerations of the vehicle from g, headings kept in degrees: the one place where units change."""
-    factors = {"gps_speed_mps": 1 / 3.6} if kind == "S" else {"speed_mps": 1 / 3.6, "indicated_speed_mps": 1 / 3.6, "long_accel_mps2": 9.80665, "lat_accel_mps2": 9.80665}
+    factors = {"gps_speed_mps": 1 / 3.6} if kind == "S" else {"speed_mps": 1 / 3.6, "indicated_speed_mps": 1 / 3.6, "vertical_velocity_mps": 1 / 3.6, "long_accel_mps2": 9.80665, "lat_accel_mps2": 9.80665}
     out = samples
     for name, factor in factors.items():
         out = out.withColumn(name, F.col(name) * factor)
@@ -124,6 +124,39 @@ def load_phone_only(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     return named.join(twins, "stem").withColumn("seq_id", seq_id).drop("stem", "folder", "twin", "path"), rejected
 
 
+#: Below which accelerations (m/s2) and wheel rates (rad/s) are credible.
+ACCEL_LIMIT, WHEEL_LIMIT = 100.0, 400.0
+GYRO = ("gyro_yaw_radps", "gyro_pitch_radps", "gyro_roll_radps")
+ACCEL = ("accel_x_mps2", "accel_y_mps2", "accel_z_mps2")
+WHEELS = ("wheel_fl_radps", "wheel_fr_radps", "wheel_rl_radps", "wheel_rr_radps")
+
+
+def sanity(phone: DataFrame | None, vehicle: DataFrame | None = None) -> DataFrame:
+    """(seq_id, column, largest, spikes, sane): each sequence's turn rates (99.5 % of them below 10 rad/s; spikes are counted), accelerations, and wheel rates against what is credible.
+
+    A unit that was taken for another shows here: degrees for radians, g for m/s2. Sequences without a finite value in a column are sane there.
+    """
+    checks = []
+    if phone is not None:
+        checks += [gyro_sanity(phone, c, ["seq_id"]).select("seq_id", F.lit(c).alias("column"), "largest", "spikes", "sane") for c in GYRO]
+    none = F.lit(None).cast("long").alias("spikes")
+    for samples, columns, limit in ((phone, ACCEL, ACCEL_LIMIT), (vehicle, WHEELS, WHEEL_LIMIT)):
+        if samples is not None:
+            checks += [range_sanity(samples, c, ["seq_id"], limit).select("seq_id", F.lit(c).alias("column"), "largest", none, "sane") for c in columns]
+    out = checks[0]
+    for more in checks[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def load_checked_pairs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(phone, vehicle, rejected, insane): ``load_pairs`` without the sequences of which a column isn't credible; those and their columns are ``insane``."""
+    phone, vehicle, rejected = load_pairs(spark, path)
+    insane = sanity(phone, vehicle).where(~F.col("sane"))
+    bad = insane.select("seq_id").distinct()
+    return phone.join(bad, "seq_id", "left_anti"), vehicle.join(bad, "seq_id", "left_anti"), rejected, insane
+
+
 def header_warnings(rows: DataFrame, kind: str, titles: list[str]) -> DataFrame:
     """(path, position, found, expected) where a header's text differs from the expected one; binding goes by position all the same."""
     clean = lambda s: re.sub(r"\s+", " ", re.sub(r"[^\x00-\x7F]", "", s)).strip().lower()

@@ -486,3 +486,80 @@ def test_trip_schema(spark):
     )
     with pytest.raises(ValueError, match="no table"):
         constraints.violations({}, constraints.TRIP_SCHEMA, ids)
+
+
+def test_traces_are_located_like_by_all_lags(spark, monkeypatch):
+    monkeypatch.setattr(routes, "BLOCK", 37)
+    rng = np.random.default_rng(3)
+    ways = {w: np.cumsum(rng.normal(size=400)) for w in "abc"}
+    ways["c"] = np.tile(np.cumsum(rng.normal(size=100)), 4)  # repeats itself
+    ways["flat"] = np.zeros(300)
+    traces = [(i, w, (ways[w][at : at + n] * 2 + 5 + 0.05 * rng.normal(size=n)).tolist()) for i, (w, at, n) in enumerate([("a", 0, 50), ("a", 350, 50), ("b", 123, 80), ("c", 130, 60), ("b", 36, 40), ("b", 37, 40)])]
+    traces += [(10, "flat", list(map(float, range(20)))), (11, "nowhere", [1.0, 2.0, 3.0]), (12, "a", [1.0] * 30), (13, "a", [1.0, None, 2.0])]
+    stored = [(w, 1000, x.tolist()) for w, x in ways.items()]
+    t = spark.createDataFrame(traces, "trip_id long, way_id string, field array<double>")
+    got = {r["trip_id"]: r for r in routes.locate_on_route(t, spark.createDataFrame(stored, "way_id string, start long, field array<double>")).collect()}
+    assert set(got) == {0, 1, 2, 3, 4, 5, 10, 11, 12}
+    for i, w, trace in traces[:6]:
+        scores = [round(float(np.corrcoef(trace, ways[w][k : k + len(trace)])[0, 1]), 9) for k in range(len(ways[w]) - len(trace) + 1)]
+        best = int(np.argmax(scores))
+        other = max(s for k, s in enumerate(scores) if abs(k - best) >= 20)
+        r = got[i]
+        assert r["at"] == 1000 + best and r["score"] == pytest.approx(scores[best], abs=2e-9) and r["runner_up"] == pytest.approx(other, abs=2e-9)
+        assert r["verdict"] == ("MATCHED" if scores[best] - other > 0.05 else "MAG_AMBIGUOUS")
+    assert got[3]["verdict"] == "MAG_AMBIGUOUS" and got[2]["verdict"] == "MATCHED" and got[2]["at"] == 1123
+    assert all(got[i]["verdict"] == "NO_SIGNATURE" for i in (10, 11, 12))
+
+
+def test_long_keys_go_over_batches_in_the_folds(spark):
+    from kinelake.operators import navigation
+
+    rows = [(k, i, float((i * 7) % 13)) for k in ("a", "b") for i in range(500)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        got = navigation.low_pass(spark.createDataFrame(rows, "seq_id string, row_idx long, x double"), "x").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    y, want = None, []
+    for _, _, x in rows[:500]:
+        y = x if y is None else 0.8 * y + (1 - 0.8) * x
+        want.append(y)
+    for key in "ab":
+        assert [r["smoothed"] for r in sorted(got, key=lambda r: r["row_idx"]) if r["seq_id"] == key] == want
+
+
+def test_insane_recordings_are_set_aside(spark):
+    from kinelake.sources import recordings
+
+    phone = spark.createDataFrame([("good", 0.5, 9.0), ("degrees", 57.0, 9.0), ("g", 0.1, 980.0), ("empty", float("nan"), float("nan"))], "seq_id string, gyro double, accel double")
+    phone = phone.select("seq_id", *[F.col("gyro").alias(c) for c in recordings.GYRO], *[F.col("accel").alias(c) for c in recordings.ACCEL])
+    vehicle = spark.createDataFrame([("good", 30.0), ("fast", 900.0)], "seq_id string, w double").select("seq_id", *[F.col("w").alias(c) for c in recordings.WHEELS])
+    bad = {(r["seq_id"], r["column"].split("_")[0]) for r in recordings.sanity(phone, vehicle).where("not sane").collect()}
+    assert bad == {("degrees", "gyro"), ("g", "accel"), ("fast", "wheel")}
+
+
+def test_a_failed_cache_is_made_again(spark, tmp_path):
+    from kinelake.sources import artefacts
+
+    root, made = f"file://{tmp_path}/cache", []
+
+    def make(fail):
+        made.append(fail)
+        return spark.range(3).select(F.when(F.lit(fail) & (F.col("id") == 2), F.raise_error(F.lit("lost"))).otherwise(F.col("id").cast("string")).alias("x"))
+
+    with pytest.raises(Exception, match="lost"):
+        artefacts.cached(spark, root, {"a": 1}, lambda: make(True))
+    for _ in range(2):
+        assert artefacts.cached(spark, root, {"a": 1}, lambda: make(False)).count() == 3
+    assert made == [True, False]
+    assert artefacts.cached(spark, root, {"a": 2}, lambda: make(False)).count() == 3 and len(made) == 3
+
+
+def test_picks_are_topped_up(spark):
+    from kinelake.operators import evaluation
+
+    pool = spark.createDataFrame([(f"k{i}", 30 if i < 3 else 60, "urban") for i in range(40)], "key string, duration_s int, scenario string")
+    for total, want in ((20, 20), (40, 40), (100, 40)):
+        got = [r["key"] for r in evaluation.topped_up_pick(pool, total).collect()]
+        assert len(got) == len(set(got)) == want and {"k0", "k1", "k2"} <= set(got)
