@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from kinelake.kernels import modes
 from kinelake.kernels import network as layers
-from kinelake.operators import augment, constraints, evaluation, features, labels, monitoring, network, remount, reports, routes, sampling, sequences, smoothing, splits
+from kinelake.operators import augment, benchmark, constraints, evaluation, features, labels, monitoring, network, remount, reports, routes, sampling, sequences, smoothing, splits
 from kinelake.operators.features import FEATURES, feature_windows
 from kinelake.plans.model_queries import _FLAT, ALIGNED, MEANS, RECORDS, SIZE, STDS, event_features, event_records, phone_samples
-from kinelake.plans.queries import PATHS, SCENARIOS, event_scenarios, paths, query
+from kinelake.plans.queries import OUTAGES, PATHS, SCENARIOS, event_outages, event_scenarios, paths, query
 from kinelake.plans.samples import GAP_MS, SAMPLES, SEGMENTS, WINDOW, WINDOWS, event_samples, event_segments, event_windows, table
 from kinelake.session import shared_path
 from kinelake.sources import artefacts
@@ -480,3 +480,44 @@ def located_on_route(spark, sf_dir):
     traces = e.where("vec_id % 17 = 0").select(F.col("vec_id").alias("trip_id"), "way_id", disturbed.alias("field"))
     out = routes.locate_on_route(traces, piece)
     return out.select("trip_id", "way_id", F.col("at").alias("metre"), F.round("score", 5).alias("score"), F.round("runner_up", 5).alias("runner_up"), "verdict")
+
+
+# The outage benchmark over the events: positions are the users' paths, headings the paths' directions, turn rates those of the events.
+def drives(spark, sf_dir) -> DataFrame:
+    p = paths(spark, sf_dir).select(F.col("key").alias("seq_id"), F.col("i").alias("row_idx"), (50 + F.col("tn") / 100_000).alias("lat_deg"), (7 + F.col("te") / 100_000).alias("lon_deg"))
+    s = event_samples(spark, sf_dir).select("seq_id", "row_idx", F.col("v").alias("speed_mps"), F.degrees(F.atan2("v", F.col("yaw") * 10)).alias("heading_deg"), (F.col("yaw") * 3).alias("accel_x"), (F.col("v") / 50).alias("accel_y"), F.lit(0.0).alias("accel_z"), F.lit(0.0).alias("gyro_x"), F.lit(0.0).alias("gyro_y"), (F.col("yaw") / 2).alias("gyro_z"))
+    return s.join(p, ["seq_id", "row_idx"])
+
+
+BENCH = f"""{OUTAGES}, q AS (SELECT seq_id, row_idx, v, yaw, sum(v) OVER u AS te, sum(yaw * 10) OVER u AS tn, atan2(v, yaw * 10) AS h FROM s WINDOW u AS (PARTITION BY seq_id ORDER BY row_idx ROWS UNBOUNDED PRECEDING)),
+w AS (SELECT seq_id, row_idx, v, yaw * 3 AS ax, v / 50 AS ay, yaw / 2 AS gz, h, 50 + tn / 100000 AS lat, 7 + te / 100000 AS lon FROM q),
+t AS (SELECT o.key, w.row_idx - o.start AS i, radians(lon - first_value(lon) OVER k) * cos(radians(first_value(lat) OVER k)) * 6371000 AS te, radians(lat - first_value(lat) OVER k) * 6371000 AS tn, h AS th FROM o JOIN w ON w.seq_id = o.seq_id AND w.row_idx BETWEEN o.start AND o.stop WINDOW k AS (PARTITION BY o.key ORDER BY w.row_idx)),
+e AS (SELECT o.key, w.v AS v0, w.h AS h0 FROM o JOIN w ON w.seq_id = o.seq_id AND w.row_idx = greatest(o.start - 1, 0)),
+bk AS (SELECT o.key, w.gz, (d - 2 * pi() * round_even(d / (2 * pi()), 0)) / 0.1 AS rate FROM (SELECT *, lead(h) OVER (PARTITION BY key ORDER BY row_idx) - h AS d FROM (SELECT o.key, w.* FROM o JOIN w ON w.seq_id = o.seq_id AND w.row_idx < o.start AND w.row_idx >= greatest(o.start - 450, 0))) w JOIN o USING (key)),
+sg AS (SELECT key, CASE WHEN count(*) >= 20 AND covar_pop(rate, gz) < 0 AND var_pop(rate) > 1e-12 AND var_pop(gz) > 1e-12 THEN -1 ELSE 1 END AS sign FROM bk WHERE rate IS NOT NULL GROUP BY key),
+st AS (SELECT o.key, w.row_idx - o.start AS i, ax, ay, gz, v0, h0, coalesce(sign, 1) AS sign FROM o JOIN w ON w.seq_id = o.seq_id AND w.row_idx >= o.start AND w.row_idx < o.stop JOIN e USING (key) LEFT JOIN sg USING (key)),
+hd AS (SELECT *, h0 + sign * 0.1 * coalesce(sum(gz) OVER (PARTITION BY key ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS hh FROM st),
+ve AS (SELECT *, v0 * sin(h0) + sum((ax * sin(hh) - ay * cos(hh)) * 0.1) OVER k AS ve, v0 * cos(h0) + sum((ax * cos(hh) + ay * sin(hh)) * 0.1) OVER k AS vn FROM hd WINDOW k AS (PARTITION BY key ORDER BY i ROWS UNBOUNDED PRECEDING)),
+pr AS (SELECT 'hold' AS baseline, key, i + 1 AS i, (i + 1) * 0.1 * v0 * sin(h0) AS pe, (i + 1) * 0.1 * v0 * cos(h0) AS pn FROM st
+ UNION ALL SELECT 'strapdown', key, i + 1, sum(ve * 0.1) OVER k, sum(vn * 0.1) OVER k FROM ve WINDOW k AS (PARTITION BY key ORDER BY i ROWS UNBOUNDED PRECEDING)
+ UNION ALL SELECT b, key, 0, 0.0, 0.0 FROM e, (VALUES ('hold'), ('strapdown')) AS n(b)),
+jo AS (SELECT pr.*, te, tn, sqrt(pow(te - lag(te) OVER k, 2) + pow(tn - lag(tn) OVER k, 2)) AS step, sqrt(pow(pe - te, 2) + pow(pn - tn, 2)) AS err FROM pr JOIN t USING (key, i) WINDOW k AS (PARTITION BY baseline, key ORDER BY i))
+SELECT baseline, key, round(sum(step), 3) AS distance_m, round(arg_max(err, i), 3) AS final_error_m, round(100 * arg_max(err, i) / sum(step), 3) AS drift_pct FROM jo GROUP BY baseline, key"""
+
+
+@query(f"WITH {BENCH}")
+def outage_benchmark(spark, sf_dir):
+    """Held speed and strapdown through sampled outages, scored against the paths."""
+    outages = event_outages(spark, sf_dir)[1]
+    chosen = {n: benchmark.BASELINES[n] for n in ("hold", "strapdown")}
+    out = benchmark.run(outages, drives(spark, sf_dir), chosen)
+    return out.select("baseline", "key", *[F.round(c, 3).alias(c) for c in ("distance_m", "final_error_m", "drift_pct")])
+
+
+@query()
+def outage_benchmark_learned(spark, sf_dir):
+    """The planar filter and a model of random weights through the same outages; kernels, each tested by itself."""
+    outages = event_outages(spark, sf_dir)[1].withColumn("scenario", F.lit("urban"))
+    model = network.Model(CONTRACT, WEIGHTS)
+    scores = benchmark.run(outages, drives(spark, sf_dir), {"filter": benchmark.BASELINES["filter"], "learned": benchmark.learned(model)})
+    return benchmark.summary(scores, outages)

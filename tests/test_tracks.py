@@ -563,3 +563,34 @@ def test_picks_are_topped_up(spark):
     for total, want in ((20, 20), (40, 40), (100, 40)):
         got = [r["key"] for r in evaluation.topped_up_pick(pool, total).collect()]
         assert len(got) == len(set(got)) == want and {"k0", "k1", "k2"} <= set(got)
+
+
+def test_outage_benchmark_on_known_drives(spark):
+    from kinelake.operators import benchmark
+
+    rows = []
+    for seq, turn, sign in (("straight", 0.0, 1.0), ("circle", 0.05, 1.0), ("turned", 0.05, -1.0)):
+        lat, lon, heading = 50.0, 7.0, 0.3
+        for i in range(900):
+            rate = turn * (1 + 0.5 * math.sin(i / 20))
+            rows.append((seq, i, 15.0, math.degrees(heading) % 360, 0.0, -15.0 * rate, 0.0, 0.0, 0.0, sign * rate, lat, lon, False))
+            heading += rate * 0.1
+            lat += math.degrees(15.0 * math.cos(heading) * 0.1 / 6_371_000)
+            lon += math.degrees(15.0 * math.sin(heading) * 0.1 / 6_371_000 / math.cos(math.radians(50.0)))
+    samples = spark.createDataFrame(rows, "seq_id string, row_idx long, speed_mps double, heading_deg double, accel_x double, accel_y double, accel_z double, gyro_x double, gyro_y double, gyro_z double, lat_deg double, lon_deg double, is_stationary boolean")
+    outages = spark.createDataFrame([(s, s, 500, 800, 30, "urban") for s in ("straight", "circle", "turned")], "key string, seq_id string, start long, stop long, duration_s int, scenario string")
+    assert {r["key"]: r["sign"] for r in benchmark.gyro_signs(outages, samples).collect()} == {"straight": 1.0, "circle": 1.0, "turned": -1.0}
+
+    weights = {n: np.zeros(s, np.float32) for n, s in layers.shapes(6, 8).items()}
+    weights["mean.bias1"][:] = 18.0  # a model that says 18 m/s, of which the rows before tell 3 as its bias
+    model = network.Model(network.Contract(), weights)
+    runs = {**benchmark.BASELINES, "learned": benchmark.learned(model), "biased": benchmark.learned(model, remove_bias=False)}
+    scores = {(r["baseline"], r["key"]): r for r in benchmark.run(outages, samples, runs).collect()}
+    assert len(scores) == 15 and all(abs(r["distance_m"] - 450) < 1 for r in scores.values())
+    assert scores["hold", "straight"]["final_error_m"] < 0.5 and scores["hold", "circle"]["final_error_m"] > 100
+    for key in ("straight", "circle", "turned"):
+        assert scores["learned", key]["final_error_m"] < 8 and scores["learned", key]["heading_error_deg"] < 1
+        assert scores["biased", key]["final_error_m"] > 40
+    assert scores["strapdown", "circle"]["final_error_m"] < 20 and scores["strapdown", "turned"]["final_error_m"] < 20
+    by = {(r["baseline"], r["duration_s"], r["scenario"]): r for r in benchmark.summary(benchmark.run(outages, samples, {"hold": benchmark.BASELINES["hold"]}), outages).collect()}
+    assert set(by) == {("hold", 30, None), ("hold", None, "urban")} and by["hold", 30, None]["n"] == 3
