@@ -5,7 +5,8 @@ a blank that follows a visible ASCII character. Every alternative of the pattern
 blanks at its start only, or is all blanks, and its one lookahead is about the character
 after a run of blanks, so encoding the pieces in turn equals encoding the whole.
 
-Cases: a null or empty text has no tokens; a text without a safe boundary stays whole;
+Cases: a null or empty text has no tokens; a text without a safe boundary stays whole, a very long
+text with boundaries is encoded piece by piece and its ids are kept as flat integers;
 repeated rows are encoded alike; an empty table gives no rows; other columns are ignored,
 whatever their names, but for those that ``encode_columns`` is told to keep.
 """

@@ -47,7 +47,7 @@ BASE, SECRET, TERM, REMOVED = 4, 4, 5, 6  # the first four kinds are the base
 SUPPORT, GENERALISE_AT, REMOVE_AT = 3, 0.9, 0.97
 #: Names to which secrets are assigned.
 SECRET_NAMES = frozenset(("api_key", "apikey", "api-key", "access_key", "access_token", "auth_token", "client_secret", "passwd", "password", "private_key", "pwd", "secret", "secret_key", "token"))
-#: Terms so many words before and after a match count as standing near it.
+#: Terms so many words before and after a match count as standing near it, if they stand within 40 characters a word of it.
 NEAR = 5
 BITS = 23
 

@@ -84,3 +84,31 @@ def test_run_equals_its_stages_and_empty_input(spark, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.columns == ["doc_id", "source", "lang", "n_tokens", "ids", "lossless"] and out.count() == 0
+
+
+def test_repeated_rows_clashing_columns_and_long_texts(spark, tmp_path):
+    """Every stage on rows that repeat, extra columns named like the operators' own, and a text far longer than the rest."""
+    rows = corpus()[:60]
+    long = " ".join(f"the river and stone{i} that have {i % 97}" for i in range(30_000))
+    rows += [rows[3]] * 5 + [rows[4]] * 2 + [(500, long, "en", "src0", len(long)), (501, None, "en", None, 0)]
+    extra = [(*r, f"label{r[0]}", 7, "k", 1.5) for r in rows]
+    docs = spark.createDataFrame(extra, "doc_id long, text string, lang string, source string, n_chars long, label string, n int, digest string, copies double")
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        out = str(tmp_path / name.replace(" ", "_"))
+        before = {tuple(r) for r in docs.collect()} if name != "byte-level BPE" else None
+        stage(spark, docs, str(tmp_path)).write.parquet(out)
+        docs = spark.read.parquet(out)
+        got = docs.collect()
+        if before is not None:
+            assert docs.columns == columns and {tuple(r) for r in got} <= before  # rows go along unchanged
+        count = sum(r["doc_id"] == 3 for r in got)
+        assert count == 6 if name == "language ID" else count >= 1 if name == "exact dedup" else True
+        if name in ("exact dedup", "n-gram Jaccard join"):
+            assert len({r["doc_id"] for r in got}) == len(got)
+        if name != "mixing" and name != "byte-level BPE":
+            assert any(r["doc_id"] == 500 and r["text"] == long for r in got)
+    assert all(r["lossless"] for r in got) and all(r["n_tokens"] > 100_000 for r in got if r["doc_id"] == 500)
+    for _, stage in corpus_pipeline.STAGES:
+        empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+        assert stage(spark, empty, str(tmp_path)).collect() == []
