@@ -633,6 +633,16 @@ def engine15(spark, sf_dir):
     return filters.inertial_engine(rows)
 
 
+@query()
+def fault_detector(spark, sf_dir):
+    """The residual statistic of tracks under injected faults; random draws and a recursion, tested on known tracks."""
+    s = paths(spark, sf_dir).select("key", "i", (F.col("te") / 100).alias("te"), (F.col("tn") / 100).alias("tn"))
+    attacks = spark.createDataFrame([(f, p, k) for k, (f, p) in enumerate([("step", 40.0), ("drag", 1.0), ("jam", 2.0), ("multipath", 0.5)])], "family string, param double, seed long")
+    tracks = filters.inject_attacks(s, attacks)
+    fixes = tracks.where("valid").select(F.col("instance").alias("key"), "family", "param", "attacked", (F.col("i") / 10).alias("t"), "east_m", "north_m")
+    return filters.fault_statistic(fixes)
+
+
 #: The events' tracks have 99 rows (9.9 s at 10 Hz) at most, so their faults begin after 3 s and their clocks run four times as slowly: a fix every 0.4 s of track.
 ONSET_S, SLOWER = 3.0, 4
 ATTACKS = [("step", 40.0), ("step", 400.0), ("drag", 1.0), ("drag", 40.0), ("jam", 2.0), ("multipath", 0.5)]
@@ -646,17 +656,11 @@ def attacked_fixes(spark, sf_dir) -> DataFrame:
     rows = s.withColumns({"_e": after[0], "_n": after[1]}).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SLOWER - 1))))
     share = F.col("part") / SLOWER
     finer = rows.select("key", (F.col("i") * SLOWER + F.col("part")).alias("i"), (F.col("te") + share * (F.col("_e") - F.col("te"))).alias("te"), (F.col("tn") + share * (F.col("_n") - F.col("tn"))).alias("tn"))
-    attacks = spark.createDataFrame([(f, p, k) for k, (f, p) in enumerate(ATTACKS)], "family string, param double, seed long")
-    tracks = filters.inject_attacks(finer, attacks, ONSET_S * SLOWER)
+    few = spark.createDataFrame([(f, p, k) for k, (f, p) in enumerate(ATTACKS)], "family string, param double, seed long")
+    tracks = filters.inject_attacks(finer, few, ONSET_S * SLOWER)
     return tracks.where("valid").select(F.col("instance").alias("key"), "family", "param", "attacked", (F.col("i") / 10).alias("t"), "east_m", "north_m")
 
 
-@query()
-def fault_detector(spark, sf_dir):
-    """The residual statistic of tracks under injected faults; random draws and a recursion, tested on known tracks."""
-    return filters.fault_statistic(attacked_fixes(spark, sf_dir))
-
-
 @query()
 def detection_rates(spark, sf_dir):
     """Rates of detection and false rejection by threshold, family and strength; the statistics before the onset are the clean ones."""
