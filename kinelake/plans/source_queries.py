@@ -83,8 +83,8 @@ def written_recordings(spark, sf_dir) -> str:
     """The folder of the files ``drive-N/S-driveN.csv`` and ``V-driveN.csv``; one more has a phone file of a wrong width."""
     rows = drive_rows(spark, sf_dir)
     yaw = F.col("yaw") * F.when(F.col("drive") == 7, 57.3).otherwise(1.0)
-    phone = {"gps_speed_mps": F.col("v"), "gps_sats": F.concat(F.col("event_id") % 9 + 4, F.lit(" / 18")), "time_since_start_ms": F.col("row") * 100, "date_local_raw": F.lit("2024-01-01"), "accel_x_mps2": F.col("v") / 10, "gravity_z_mps2": F.lit(9.81), "gyro_yaw_radps": yaw, "gyro_pitch_radps": F.when(F.col("event_id") % 5 > 0, yaw / 2)}
-    vehicle = {"speed_mps": F.col("v") + 1, "long_accel_mps2": F.col("v") / 500, "yaw_rate_radps": F.col("yaw") * 57.3, **{c: F.col("v") for c in recordings.WHEELS}}
+    phone = {"gps_speed_mps": F.col("v"), "gps_sats": F.concat(F.col("event_id") % 9 + 4, F.lit(" / 18")), "time_since_start_ms": F.col("row") * 100, "date_local_raw": F.lit("2024-01-01"), "accel_x_mps2": F.col("v") / 100, "gravity_z_mps2": F.lit(9.81), "gyro_yaw_radps": yaw, "gyro_pitch_radps": F.when(F.col("event_id") % 5 > 0, yaw / 2)}
+    vehicle = {"speed_mps": F.col("v") + 1, "long_accel_mps2": F.col("v") / 500, "yaw_rate_radps": F.col("yaw") * 57.3, **{c: F.col("v") / 10 for c in recordings.WHEELS}}
     lines = []
     for kind, columns, known, kept in (("S", schema.PHONE_COLUMNS, phone, F.lit(True)), ("V", schema.VEHICLE_COLUMNS, vehicle, F.col("row") < F.col("n") - SHORT)):
         cells = [F.coalesce(known[c].cast("string"), F.lit("")) if c in known else F.lit("0.5") for c in columns]
@@ -114,7 +114,7 @@ DRIVEN = f"""{SAMPLES}, dr AS (SELECT *, seq_id % {DRIVES} AS drive, row_number(
 
 @query(
     f"""WITH {DRIVEN} SELECT 'drive' || drive AS seq_id, count(*) AS n_rows, round(sum(v / 3.6), 3) AS phone_speed, round(sum((v + 1) / 3.6), 3) AS veh_speed, round(sum(v / 500 * 9.80665), 4) AS veh_accel, round(sum(0.5 / 3.6), 4) AS veh_climb, round(sum(radians(yaw * 57.3)), 4) AS veh_yaw, sum(event_id % 9 + 4)::DOUBLE AS sats, count(*) FILTER (event_id % 5 > 0) AS pitches, max(r * 100) AS t_ms
-FROM dr WHERE r < n - {SHORT} AND drive <> 7 GROUP BY drive"""
+FROM dr WHERE r < n - {SHORT} AND drive IN (SELECT drive FROM dr GROUP BY drive HAVING quantile_cont(abs(yaw * CASE WHEN drive = 7 THEN 57.3 ELSE 1 END), 0.995) < 10 AND max(v) / 100 < 100 AND max(v) FILTER (r < n - {SHORT}) / 10 < 400) GROUP BY drive"""
 )
 def recording_pairs(spark, sf_dir):
     """Files of phones and vehicles found, parsed, bound, converted and checked; row i of one with row i of the other. A drive in wrong units and a file of a wrong width are left out."""
@@ -137,7 +137,7 @@ def recording_pairs(spark, sf_dir):
 @query(
     f"""WITH {DRIVEN}, g AS (SELECT drive, abs(yaw * CASE WHEN drive = 7 THEN 57.3 ELSE 1 END) AS y, event_id, v, r, n FROM dr),
 c AS (SELECT drive, 'gyro_yaw_radps' AS "column", y AS x, 10 AS most, true AS soft FROM g UNION ALL SELECT drive, 'gyro_pitch_radps', y / 2, 10, true FROM g WHERE event_id % 5 > 0 UNION ALL SELECT drive, 'gyro_roll_radps', 0.5, 10, true FROM g
- UNION ALL SELECT drive, 'accel_x_mps2', v / 10, 100, false FROM g UNION ALL SELECT drive, a, 0.5, 100, false FROM g, (VALUES ('accel_y_mps2'), ('accel_z_mps2')) AS t(a) UNION ALL SELECT drive, w, v, 400, false FROM g, (VALUES {', '.join(f"('{w}')" for w in recordings.WHEELS)}) AS t(w) WHERE r < n - {SHORT})
+ UNION ALL SELECT drive, 'accel_x_mps2', v / 100, 100, false FROM g UNION ALL SELECT drive, a, 0.5, 100, false FROM g, (VALUES ('accel_y_mps2'), ('accel_z_mps2')) AS t(a) UNION ALL SELECT drive, w, v / 10, 400, false FROM g, (VALUES {', '.join(f"('{w}')" for w in recordings.WHEELS)}) AS t(w) WHERE r < n - {SHORT})
 SELECT 'drive' || drive AS seq_id, "column", round(max(x), 4) AS largest, CASE WHEN any_value(soft) THEN count(*) FILTER (x >= 10) END AS spikes, CASE WHEN any_value(soft) THEN quantile_cont(x, 0.995) ELSE max(x) END < any_value(most) AS sane FROM c GROUP BY ALL"""
 )
 def recording_sanity(spark, sf_dir):

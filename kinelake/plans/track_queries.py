@@ -243,13 +243,13 @@ def decimated(spark, sf_dir):
 
 
 @query(
-    f"""WITH {PATHS}, c AS (SELECT DISTINCT key AS seq, floor(te / 250) || ':' || floor(tn / 50) AS cell FROM p), n AS (SELECT seq, count(*) AS n FROM c GROUP BY seq HAVING count(*) >= 3),
+    f"""WITH {PATHS}, c AS (SELECT DISTINCT key AS seq, floor(round(te, 4) / 250)::BIGINT || ':' || floor(round(tn, 4) / 50)::BIGINT AS cell FROM p), n AS (SELECT seq, count(*) AS n FROM c GROUP BY seq HAVING count(*) >= 3),
 pr AS (SELECT a.seq AS seq_a, b.seq AS seq_b, count(*) AS common FROM c a JOIN c b ON b.cell = a.cell AND a.seq < b.seq GROUP BY ALL)
 SELECT seq_a, seq_b, common, round(common / least(x.n, y.n), 6) AS share FROM pr JOIN n x ON x.seq = seq_a JOIN n y ON y.seq = seq_b WHERE common >= ceil(round(0.5 * least(x.n, y.n), 9))"""
 )
 def repeat_routes(spark, sf_dir):
     """Pairs of users whose tracks go over the same cells."""
-    cells = paths(spark, sf_dir).select(F.col("key").alias("seq_id"), F.concat_ws(":", F.floor(F.col("te") / 250), F.floor(F.col("tn") / 50)).alias("cell"))
+    cells = paths(spark, sf_dir).select(F.col("key").alias("seq_id"), F.concat_ws(":", F.floor(F.round("te", 4) / 250), F.floor(F.round("tn", 4) / 50)).alias("cell"))
     return routes.repeat_routes(cells, 0.5).withColumn("share", F.round("share", 6))
 
 
