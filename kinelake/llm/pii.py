@@ -13,14 +13,17 @@ entity, or near entities of a kind, in at least ``support`` distinct texts; thos
 ratio reaches ``generalise_at`` for some entity or kind are generalised, and from
 ``remove_at`` on removed, wherever they occur. Matches themselves are always generalised to
 their kind. An entity that stands in fewer texts than ``support`` has too little evidence
-for terms of its own; its kind has.
+for terms of its own; its kind has. The words of a match, and the name that a secret is
+assigned to, are never candidates through that match.
 
 The work is three passes over the texts. The first finds matches and the terms around
 them; pairs of entity and term are counted by key. The second looks for candidate
 terms only, by a bitmap of fixed size that lets few others through, and gives the terms of
 every text. Pairs that can't reach the ratio even if every text with the entity held the
-term are left out before texts are joined. The third pass finds where the revealing terms
-stand. Terms and entities meet in joins by hash, never on the driver.
+term are left out; those left are counted within each text that holds entities, so the
+work grows with the texts and not with the pairs of texts that share an entity. The third
+pass finds where the revealing terms stand. Terms and entities meet by hash, never on the
+driver.
 
 Cases: a null text counts as empty and has no spans; repeated rows are one text for
 the statistics and one row each in the result; rows whose id is null are kept; texts
@@ -32,7 +35,6 @@ whatever their names.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -47,9 +49,11 @@ BASE, SECRET, TERM, REMOVED = 4, 4, 5, 6  # the first four kinds are the base
 SUPPORT, GENERALISE_AT, REMOVE_AT = 3, 0.9, 0.97
 #: Names to which secrets are assigned.
 SECRET_NAMES = frozenset(("api_key", "apikey", "api-key", "access_key", "access_token", "auth_token", "client_secret", "passwd", "password", "private_key", "pwd", "secret", "secret_key", "token"))
-#: Terms so many words before and after a match count as standing near it, if they stand within 40 characters a word of it.
+#: Terms so many words before and after a match count as standing near it.
 NEAR = 5
 BITS = 23
+#: Pairs of an entity and a term that are looked up at once.
+PAIRS = 1 << 20
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -130,18 +134,22 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found, key=lambda s: (s[1], s[0], s[2]))
 
 
-def secret_spans(text: str) -> list[Span]:
-    """Values of 12 or more characters that are assigned (= or :) to one of SECRET_NAMES."""
+def secret_matches(text: str) -> list[tuple[int, int, int]]:
+    """(start of the name, start, end) of values of 12 or more characters that are assigned (= or :) to one of SECRET_NAMES."""
     if "=" not in text and ":" not in text:
         return []
     out = []
     for m in _ASSIGNED.finditer(text):
         name = _NAME.search(text, max(0, m.start() - 24), m.start())
         if name and name[1].lower() in SECRET_NAMES:
-            out.append((SECRET, *m.span(1)))
+            out.append((name.start(1), *m.span(1)))
     return out
 
 
+def secret_spans(text: str) -> list[Span]:
+    return [(SECRET, a, b) for _, a, b in secret_matches(text)]
+
+
 def joined(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans)
 
@@ -157,29 +165,25 @@ def entity(kind: int, match: str) -> int:
 
 
 def near_terms(text: str, spans: list[Span], near: int = NEAR) -> set[tuple[int, int]]:
-    """(entity, term) and (kind, term) for the terms within ``near`` words of each match, other matches' letters left out."""
+    """(entity, term) and (kind, term) for the ``near`` words before and after each match.
+
+    Words that begin in a match, or in the name a secret is assigned to, are passed over: a
+    pattern's own words aren't evidence. A neighbourhood is counted in words, however far apart.
+    """
     if not spans:
         return set()
+    covers = sorted([(a, b) for _, a, b in spans] + [(name, a) for name, a, _ in secret_matches(text)])
+    lows = np.array([a for a, _ in covers])
+    highs = np.maximum.accumulate([b for _, b in covers])
+    starts = np.fromiter((m.start() for m in _WORD.finditer(text)), dtype=np.int64)
+    last = np.searchsorted(lows, starts, side="right") - 1
+    free = starts[(last < 0) | (starts >= highs[last])]
     out = set()
-    ends = sorted((a, b) for _, a, b in spans)
-    starts = [a for a, _ in ends]
-
-    def inside(at: int) -> bool:
-        i = bisect_left(starts, at + 1) - 1
-        return i >= 0 and at < ends[i][1]
-
     for kind, a, b in spans:
         me = entity(kind, text[a:b])
-        left = max(0, a - 40 * near)
-        before = [m for m in _WORD.finditer(text, left, a) if not inside(m.start()) and (m.start() > left or left == 0)][-near:]
-        after = []
-        for m in _WORD.finditer(text, b, min(len(text), b + 40 * near)):
-            if not inside(m.start()):
-                after.append(m)
-                if len(after) == near:
-                    break
-        for m in before + after:
-            term = hashed(m.group().lower())
+        i, j = np.searchsorted(free, (a, b))
+        for at in (*free[max(0, i - near) : i].tolist(), *free[j : j + near].tolist()):
+            term = hashed(_WORD.match(text, at).group().lower())
             out.update(((me, term), (kind, term)))
     return out
 
@@ -275,13 +279,38 @@ def candidate_pairs(base: DataFrame, support: int = SUPPORT) -> DataFrame:
     return text_pairs(base).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support).select("entity", "term")
 
 
-def disclosing_terms(base: DataFrame, candidates: DataFrame, terms: DataFrame, generalise_at: float = GENERALISE_AT) -> DataFrame:
+def pairs_of_texts(held: DataFrame, terms: DataFrame, possible: DataFrame, bits: int = BITS) -> DataFrame:
+    """(entity, term), a row for each text that holds both; of pairs that aren't ``possible`` only the few that the bitmaps let through.
+
+    The work is that of the texts with entities, by their own entities and terms, at most PAIRS at once.
+    """
+    mask, context = (1 << bits) - 1, held.sparkSession.sparkContext
+    of_entity = context.broadcast(key_bitmap(possible, F.col("entity").bitwiseAND(F.lit(mask)), bits).tobytes())
+    of_pair = context.broadcast(key_bitmap(possible, F.col("entity").bitwiseXOR(F.col("term")).bitwiseAND(F.lit(mask)), bits).tobytes())
+
+    def passing(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        keys = keys & mask
+        return (bitmap[keys >> 3] >> (keys & 7).astype(np.uint8) & 1).astype(bool)
+
+    def run(batches):
+        entities, pairs = (np.frombuffer(x.value, dtype=np.uint8) for x in (of_entity, of_pair))
+        for batch in batches:
+            for mine, words in zip(batch.column(0), batch.column(1), strict=True):
+                c, t = (x.values.to_numpy() for x in (mine, words))
+                c = c[passing(entities, c)]
+                for part in range(0, len(c), step := max(1, PAIRS // len(t))):
+                    i, j = np.nonzero(passing(pairs, c[part : part + step, None] ^ t[None, :]))
+                    yield pa.RecordBatch.from_arrays([pa.array(c[part + i]), pa.array(t[j])], ["entity", "term"])
+
+    return map_batches(held.join(terms, "text_hash").select("held", "terms"), run, "entity long, term long")
+
+
+def disclosing_terms(base: DataFrame, candidates: DataFrame, terms: DataFrame, generalise_at: float = GENERALISE_AT, bits: int = BITS) -> DataFrame:
     """(term, disclosure): terms whose largest PMI / IC over the entities and kinds reaches ``generalise_at``; ``terms`` has (text_hash, terms), one row a text."""
     texts = base.agg(F.count_distinct("text_hash")).first()[0]
-    holders = base.where(F.size("held") > 0).select("text_hash", F.explode("held").alias("entity")).distinct()
-    with_entity = holders.groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity"))
-    rows = terms.select("text_hash", F.explode("terms").alias("term"))
-    with_term = rows.groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
+    held = base.where(F.size("held") > 0).groupBy("text_hash").agg(F.first("held").alias("held"))
+    with_entity = held.select(F.explode("held").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity"))
+    with_term = terms.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
     content = -F.log2(F.col("with_entity") / F.lit(texts))
 
     def ratio(both: Column) -> Column:
@@ -289,10 +318,7 @@ def disclosing_terms(base: DataFrame, candidates: DataFrame, terms: DataFrame, g
 
     possible = candidates.join(with_entity, "entity").join(with_term, "term").where((F.col("with_entity") < texts) & (ratio(F.least("with_entity", "with_term")) >= generalise_at))
     possible = materialise(possible, "pii-pairs")
-    by_term = possible.groupBy("term").agg(F.first("with_term").alias("with_term"), F.collect_list("entity").alias("of"))
-    total = terms.agg(F.sum(F.size("terms"))).first()[0] or 0
-    met = join_hot_split(rows, by_term, ["term"], "with_term", total).select("text_hash", "term", F.explode("of").alias("entity"))
-    both = met.join(holders, ["text_hash", "entity"], "left_semi").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("with_both"))
+    both = pairs_of_texts(held, terms, possible, bits).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("with_both"))
     scored = both.join(possible, ["entity", "term"]).groupBy("term").agg(F.max(ratio(F.col("with_both"))).alias("disclosure"))
     return scored.where(F.col("disclosure") >= generalise_at)
 
@@ -304,7 +330,7 @@ def analyse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sup
     bit = F.col("term").bitwiseAND(F.lit((1 << bits) - 1))
     held = terms_of_texts(docs, key_bitmap(candidates, bit, bits), bits, text_col)
     held = materialise(held.groupBy("text_hash").agg(F.first("terms").alias("terms")), "pii-held")
-    terms = materialise(disclosing_terms(base, candidates, held, generalise_at), "pii-disclosing")
+    terms = materialise(disclosing_terms(base, candidates, held, generalise_at, bits), "pii-disclosing")
     found = materialise(find_terms(docs, key_bitmap(terms, bit, bits), bits, id_col, text_col), "pii-terms")
     sizes = found.groupBy("term").agg(F.count(F.lit(1)).alias("rows")).join(terms, "term")
     hits = join_hot_split(found, sizes, ["term"], "rows", found.count())
