@@ -280,9 +280,9 @@ def candidate_pairs(base: DataFrame, support: int = SUPPORT) -> DataFrame:
 
 
 def pairs_of_texts(held: DataFrame, terms: DataFrame, possible: DataFrame, bits: int = BITS) -> DataFrame:
-    """(entity, term), a row for each text that holds both; of pairs that aren't ``possible`` only the few that the bitmaps let through.
+    """(entity, term, n): in n texts both are held, summed within tasks; of pairs that aren't ``possible`` only the few that the bitmaps let through.
 
-    The work is that of the texts with entities, by their own entities and terms, at most PAIRS at once.
+    The work is that of the texts with entities, by their own entities and terms. A task looks up at most PAIRS at once and gives its sums on when they are more.
     """
     mask, context = (1 << bits) - 1, held.sparkSession.sparkContext
     of_entity = context.broadcast(key_bitmap(possible, F.col("entity").bitwiseAND(F.lit(mask)), bits).tobytes())
@@ -292,17 +292,32 @@ def pairs_of_texts(held: DataFrame, terms: DataFrame, possible: DataFrame, bits:
         keys = keys & mask
         return (bitmap[keys >> 3] >> (keys & 7).astype(np.uint8) & 1).astype(bool)
 
+    names = ["entity", "term", "n"]
+    none = pa.table([pa.array([], pa.int64())] * 3, names)
+
+    def summed(sums: pa.Table | None, fresh: list[pa.Table]) -> pa.Table:
+        rows = pa.concat_tables([none if sums is None else sums, *fresh])
+        return rows.group_by(names[:2]).aggregate([("n", "sum")]).select([*names[:2], "n_sum"]).rename_columns(names)
+
     def run(batches):
         entities, pairs = (np.frombuffer(x.value, dtype=np.uint8) for x in (of_entity, of_pair))
+        sums, fresh, waiting = None, [], 0
         for batch in batches:
             for mine, words in zip(batch.column(0), batch.column(1), strict=True):
                 c, t = (x.values.to_numpy() for x in (mine, words))
                 c = c[passing(entities, c)]
                 for part in range(0, len(c), step := max(1, PAIRS // len(t))):
                     i, j = np.nonzero(passing(pairs, c[part : part + step, None] ^ t[None, :]))
-                    yield pa.RecordBatch.from_arrays([pa.array(c[part + i]), pa.array(t[j])], ["entity", "term"])
+                    fresh.append(pa.table([c[part + i], t[j], np.ones(len(i), dtype=np.int64)], names))
+                    waiting += len(i)
+                    if waiting > PAIRS:
+                        sums, fresh, waiting = summed(sums, fresh), [], 0
+                        if len(sums) > PAIRS:
+                            yield from sums.to_batches()
+                            sums = None
+        yield from summed(sums, fresh).to_batches()
 
-    return map_batches(held.join(terms, "text_hash").select("held", "terms"), run, "entity long, term long")
+    return map_batches(held.join(terms, "text_hash").select("held", "terms"), run, "entity long, term long, n long")
 
 
 def disclosing_terms(base: DataFrame, candidates: DataFrame, terms: DataFrame, generalise_at: float = GENERALISE_AT, bits: int = BITS) -> DataFrame:
@@ -318,7 +333,7 @@ def disclosing_terms(base: DataFrame, candidates: DataFrame, terms: DataFrame, g
 
     possible = candidates.join(with_entity, "entity").join(with_term, "term").where((F.col("with_entity") < texts) & (ratio(F.least("with_entity", "with_term")) >= generalise_at))
     possible = materialise(possible, "pii-pairs")
-    both = pairs_of_texts(held, terms, possible, bits).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("with_both"))
+    both = pairs_of_texts(held, terms, possible, bits).groupBy("entity", "term").agg(F.sum("n").alias("with_both"))
     scored = both.join(possible, ["entity", "term"]).groupBy("term").agg(F.max(ratio(F.col("with_both"))).alias("disclosure"))
     return scored.where(F.col("disclosure") >= generalise_at)
 
