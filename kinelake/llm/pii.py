@@ -18,9 +18,11 @@ assigned to, are never candidates through that match.
 
 The work is three passes over the texts. The first finds matches and the terms around
 them; pairs of entity and term are counted by key. The second looks for candidate
-terms only, by a bitmap of fixed size that lets few others through, and gives the terms of
-every text. Pairs that can't reach the ratio even if every text with the entity held the
-term are left out; those left are counted within each text that holds entities, so the
+terms only, by a bitmap of fixed size that lets few others through; it counts them within
+its tasks, and moves the terms only of texts that hold entities or stand more than once
+(again by a bitmap; as that fills, more texts are moved). Pairs that can't reach the ratio
+even if every text with the entity held the term are left out; those left are counted within
+each text that holds entities, so the
 work grows with the texts and not with the pairs of texts that share an entity. The third
 pass finds where the revealing terms stand. Terms and entities meet by hash, never on the
 driver.
@@ -35,6 +37,7 @@ whatever their names.
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +57,8 @@ NEAR = 5
 BITS = 23
 #: Pairs of an entity and a term that are looked up at once.
 PAIRS = 1 << 20
+#: Terms whose counts a task keeps before it gives them on.
+COUNTED = 1 << 18
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -231,17 +236,43 @@ class _Filter:
         return out
 
 
-def terms_of_texts(docs: DataFrame, bitmap: np.ndarray, bits: int = BITS, text_col: str = "text") -> DataFrame:
-    """(text_hash, terms): the terms of each text that the bitmap lets through."""
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap.tobytes())
+def terms_of_texts(docs: DataFrame, bitmap: np.ndarray, moved: np.ndarray, bits: int = BITS, text_col: str = "text") -> DataFrame:
+    """The terms of texts that the bitmap lets through, as (text_hash, terms, n).
+
+    Texts that ``moved``, a bitmap by text hash of the same size, lets through have a row each, without n. All others, each standing
+    once, are only counted: rows without text_hash give, for parts of a task's rows, in how many texts (n) each term stands.
+    """
+    context, mask = docs.sparkSession.sparkContext, (1 << bits) - 1
+    shared, whole = context.broadcast(bitmap.tobytes()), context.broadcast(moved.tobytes())
+    longs = pa.list_(pa.int64())
+
+    def table(rows) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), longs, longs))], ["text_hash", "terms", "n"])
+
+    def sums(counts: Counter) -> pa.RecordBatch:
+        terms = list(counts)
+        parts = (terms[i : i + 4096] for i in range(0, len(terms), 4096))
+        return table([(None, part, [counts[t] for t in part]) for part in parts])
 
     def run(batches):
-        passing = _Filter(shared.value, bits)
+        passing, counts = _Filter(shared.value, bits), Counter()
         for batch in batches:
-            rows = [(hashed(t), sorted(set(passing.terms(t).values()))) for t in (x.as_py() or "" for x in batch.column(0))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))], ["text_hash", "terms"])
+            rows = []
+            for text in batch.column(0):
+                text = text.as_py() or ""
+                if terms := set(passing.terms(text).values()):
+                    own = hashed(text)
+                    if whole.value[(own & mask) >> 3] >> (own & 7) & 1:
+                        rows.append((own, sorted(terms), None))
+                    else:
+                        counts.update(terms)
+            yield table(rows)
+            if len(counts) > COUNTED:
+                yield sums(counts)
+                counts.clear()
+        yield sums(counts)
 
-    return map_batches(docs.select(F.col(f"`{text_col}`")), run, "text_hash long, terms array<long>").where(F.size("terms") > 0)
+    return map_batches(docs.select(F.col(f"`{text_col}`")), run, "text_hash long, terms array<long>, n array<long>")
 
 
 def find_terms(docs: DataFrame, bitmap: np.ndarray, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -279,12 +310,12 @@ def candidate_pairs(base: DataFrame, support: int = SUPPORT) -> DataFrame:
     return text_pairs(base).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support).select("entity", "term")
 
 
-def pairs_of_texts(held: DataFrame, terms: DataFrame, possible: DataFrame, bits: int = BITS) -> DataFrame:
-    """(entity, term, n): in n texts both are held, summed within tasks; of pairs that aren't ``possible`` only the few that the bitmaps let through.
+def pairs_of_texts(rows: DataFrame, possible: DataFrame, bits: int = BITS) -> DataFrame:
+    """(entity, term, n): n of the texts in ``rows`` (held, terms) hold both, summed within tasks; of pairs that aren't ``possible`` only the few that the bitmaps let through.
 
     The work is that of the texts with entities, by their own entities and terms. A task looks up at most PAIRS at once and gives its sums on when they are more.
     """
-    mask, context = (1 << bits) - 1, held.sparkSession.sparkContext
+    mask, context = (1 << bits) - 1, rows.sparkSession.sparkContext
     of_entity = context.broadcast(key_bitmap(possible, F.col("entity").bitwiseAND(F.lit(mask)), bits).tobytes())
     of_pair = context.broadcast(key_bitmap(possible, F.col("entity").bitwiseXOR(F.col("term")).bitwiseAND(F.lit(mask)), bits).tobytes())
 
@@ -296,8 +327,8 @@ def pairs_of_texts(held: DataFrame, terms: DataFrame, possible: DataFrame, bits:
     none = pa.table([pa.array([], pa.int64())] * 3, names)
 
     def summed(sums: pa.Table | None, fresh: list[pa.Table]) -> pa.Table:
-        rows = pa.concat_tables([none if sums is None else sums, *fresh])
-        return rows.group_by(names[:2]).aggregate([("n", "sum")]).select([*names[:2], "n_sum"]).rename_columns(names)
+        both = pa.concat_tables([none if sums is None else sums, *fresh])
+        return both.group_by(names[:2]).aggregate([("n", "sum")]).select([*names[:2], "n_sum"]).rename_columns(names)
 
     def run(batches):
         entities, pairs = (np.frombuffer(x.value, dtype=np.uint8) for x in (of_entity, of_pair))
@@ -317,15 +348,25 @@ def pairs_of_texts(held: DataFrame, terms: DataFrame, possible: DataFrame, bits:
                             sums = None
         yield from summed(sums, fresh).to_batches()
 
-    return map_batches(held.join(terms, "text_hash").select("held", "terms"), run, "entity long, term long, n long")
+    return map_batches(rows.select("held", "terms"), run, "entity long, term long, n long")
+
+
+def moved_texts(base: DataFrame, bits: int = BITS) -> np.ndarray:
+    """A bitmap of the hashes of texts that hold entities or stand more than once."""
+    texts = base.groupBy("text_hash").agg(F.count(F.lit(1)).alias("copies"), F.max(F.size("held")).alias("held"))
+    return key_bitmap(texts.where("copies > 1 or held > 0"), F.col("text_hash").bitwiseAND(F.lit((1 << bits) - 1)), bits)
 
 
 def disclosing_terms(base: DataFrame, candidates: DataFrame, terms: DataFrame, generalise_at: float = GENERALISE_AT, bits: int = BITS) -> DataFrame:
-    """(term, disclosure): terms whose largest PMI / IC over the entities and kinds reaches ``generalise_at``; ``terms`` has (text_hash, terms), one row a text."""
+    """(term, disclosure): terms whose largest PMI / IC over the entities and kinds reaches ``generalise_at``; ``terms`` as terms_of_texts gives them."""
     texts = base.agg(F.count_distinct("text_hash")).first()[0]
     held = base.where(F.size("held") > 0).groupBy("text_hash").agg(F.first("held").alias("held"))
     with_entity = held.select(F.explode("held").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity"))
-    with_term = terms.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
+    moved = terms.where("text_hash is not null").groupBy("text_hash").agg(F.first("terms").alias("terms"))
+    moved = materialise(moved.join(held, "text_hash", "left"), "pii-moved")
+    counted = terms.where("text_hash is null").select(F.explode(F.arrays_zip("terms", "n")).alias("p")).select(F.col("p.terms").alias("term"), F.col("p.n").alias("n"))
+    every = counted.unionByName(moved.select(F.explode("terms").alias("term"), F.lit(1).cast("long").alias("n")))
+    with_term = every.groupBy("term").agg(F.sum("n").alias("with_term"))
     content = -F.log2(F.col("with_entity") / F.lit(texts))
 
     def ratio(both: Column) -> Column:
@@ -333,7 +374,7 @@ def disclosing_terms(base: DataFrame, candidates: DataFrame, terms: DataFrame, g
 
     possible = candidates.join(with_entity, "entity").join(with_term, "term").where((F.col("with_entity") < texts) & (ratio(F.least("with_entity", "with_term")) >= generalise_at))
     possible = materialise(possible, "pii-pairs")
-    both = pairs_of_texts(held, terms, possible, bits).groupBy("entity", "term").agg(F.sum("n").alias("with_both"))
+    both = pairs_of_texts(moved.where("held is not null"), possible, bits).groupBy("entity", "term").agg(F.sum("n").alias("with_both"))
     scored = both.join(possible, ["entity", "term"]).groupBy("term").agg(F.max(ratio(F.col("with_both"))).alias("disclosure"))
     return scored.where(F.col("disclosure") >= generalise_at)
 
@@ -343,8 +384,7 @@ def analyse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sup
     base = materialise(find_base(docs, id_col, text_col), "pii-base")
     candidates = materialise(candidate_pairs(base, support), "pii-candidates")
     bit = F.col("term").bitwiseAND(F.lit((1 << bits) - 1))
-    held = terms_of_texts(docs, key_bitmap(candidates, bit, bits), bits, text_col)
-    held = materialise(held.groupBy("text_hash").agg(F.first("terms").alias("terms")), "pii-held")
+    held = materialise(terms_of_texts(docs, key_bitmap(candidates, bit, bits), moved_texts(base, bits), bits, text_col), "pii-held")
     terms = materialise(disclosing_terms(base, candidates, held, generalise_at, bits), "pii-disclosing")
     found = materialise(find_terms(docs, key_bitmap(terms, bit, bits), bits, id_col, text_col), "pii-terms")
     sizes = found.groupBy("term").agg(F.count(F.lit(1)).alias("rows")).join(terms, "term")

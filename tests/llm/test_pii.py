@@ -97,7 +97,7 @@ def recount(texts, support=3, at=0.9):
     return out
 
 
-def test_disclosure_equals_a_recount_over_whole_texts(spark):
+def test_disclosure_equals_a_recount_over_whole_texts(spark, monkeypatch):
     """Entities by value and by kind; terms also count where they stand far from the entity."""
     rng = random.Random(4)
     vocabulary = [f"{a}{b}{c}" for a in "bdkm" for b in "aeiou" for c in "lnrst"]
@@ -119,7 +119,9 @@ def test_disclosure_equals_a_recount_over_whole_texts(spark):
     base = pii.find_base(docs).cache()
     candidates = pii.candidate_pairs(base)
     bit = candidates.select("term", F.col("term").bitwiseAND(F.lit((1 << 10) - 1)).alias("b"))
-    held = pii.terms_of_texts(docs, pii.key_bitmap(bit, F.col("b"), 10), 10).groupBy("text_hash").agg(F.first("terms").alias("terms"))
+    monkeypatch.setattr(pii, "COUNTED", 20)
+    held = pii.terms_of_texts(docs, pii.key_bitmap(bit, F.col("b"), 10), pii.moved_texts(base, 10), 10).cache()
+    assert held.where("text_hash is null").count() > 0 and held.where("text_hash is not null").count() > 50
     got = {r["term"]: r["disclosure"] for r in pii.disclosing_terms(base, candidates, held).collect()}
     want = recount(texts)
     assert got == pytest.approx(want) and len(want) > 2
@@ -136,7 +138,7 @@ def test_pairs_are_counted_in_parts_and_whole(spark, monkeypatch):
     possible = spark.createDataFrame(sorted(wanted), "entity long, term long")
     want = sorted((c, t) for i, h in held.collect() for k, ts in terms.collect() if i == k for c in h for t in ts if (c, t) in wanted)
     for bits in (6, 20):
-        got = [(c, t) for c, t, n in pii.pairs_of_texts(held, terms, possible, bits).collect() for _ in range(n)]
+        got = [(c, t) for c, t, n in pii.pairs_of_texts(held.join(terms, "text_hash"), possible, bits).collect() for _ in range(n)]
         assert sorted(p for p in got if p in wanted) == want
         assert bits == 6 or len(got) < len(want) + 5
 
