@@ -1,6 +1,6 @@
 """Exact deduplication against a persistent digest index.
 
-The index is a warehouse table bucketed and sorted by digest, with one row a
+The index is a table bucketed and sorted by digest, with one row a
 distinct text: (digest, first_id, batch). A batch of new documents is hashed, reduced to
 one row a digest, and compared with the index by a sort-merge anti-join that
 needs no exchange of the index; the digests that remain are appended, tagged with the
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinelake.llm.scratch import join_hot_split, materialise
+from kinelake.llm.scratch import join_hot_split, materialise, new_path
 from kinelake.session import is_local
 
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -42,17 +42,20 @@ def refuse_local_warehouse(master: str, folder: str) -> None:
 
 
 class DigestIndex:
-    """The persistent index. ``buckets`` should keep a bucket within an executor's sort memory."""
+    """The persistent index. ``buckets`` should keep a bucket within an executor's sort memory. Its files stand in the warehouse, or in ``folder``, which ``drop`` then deletes as well."""
 
-    def __init__(self, spark: SparkSession, table: str, id_type: T.DataType | None = None, buckets: int = 64):
-        self.spark, self.table, self.buckets = spark, table, buckets
-        refuse_local_warehouse(spark.sparkContext.master, spark.conf.get("spark.sql.warehouse.dir"))
+    def __init__(self, spark: SparkSession, table: str, id_type: T.DataType | None = None, buckets: int = 64, folder: str | None = None):
+        self.spark, self.table, self.buckets, self.folder = spark, table, buckets, folder
+        if not folder:
+            refuse_local_warehouse(spark.sparkContext.master, spark.conf.get("spark.sql.warehouse.dir"))
         if not spark.catalog.tableExists(table):
             schema = T.StructType([T.StructField("digest", T.StringType()), T.StructField("first_id", id_type or T.LongType()), T.StructField("batch", T.StringType())])
             self._append(spark.createDataFrame([], schema))
 
     def _append(self, rows: DataFrame) -> None:
         writer = rows.write.format("parquet").mode("append")
+        if self.folder:
+            writer = writer.option("path", self.folder)
         writer.bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.table)
 
     def read(self) -> DataFrame:
@@ -60,6 +63,9 @@ class DigestIndex:
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        if self.folder:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def add(self, groups: DataFrame, batch: str) -> DataFrame:
         """Append the digests of ``groups`` (digest, first_id) that the index lacks; returns those, and those that ``batch`` appended in an earlier run."""
@@ -112,5 +118,6 @@ def keep_first(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text
 
 
 def scratch_index(spark: SparkSession, id_type: T.DataType | None = None, buckets: int | None = None) -> DigestIndex:
-    """An empty index of its own name, for a run that starts from nothing."""
-    return DigestIndex(spark, f"digest_index_{uuid.uuid4().hex[:12]}", id_type, buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    """An empty index of its own name, for a run that starts from nothing; its files stand with the scratch tables, so no warehouse is needed."""
+    name = f"digest_index_{uuid.uuid4().hex[:12]}"
+    return DigestIndex(spark, name, id_type, buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), new_path(spark, name))

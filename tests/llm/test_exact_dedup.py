@@ -87,3 +87,17 @@ def test_the_index_is_met_in_a_sort_merge_anti_join_without_moving_it(spark):
         assert index.read().count() == 7
     finally:
         index.drop()
+
+
+def test_scratch_index_needs_no_warehouse(spark, monkeypatch):
+    def refuse(*_):
+        raise ValueError("no warehouse")
+
+    monkeypatch.setattr(exact_dedup, "refuse_local_warehouse", refuse)  # a cluster whose warehouse is the default
+    index = exact_dedup.scratch_index(spark)
+    docs = spark.createDataFrame([(2, "a  b"), (1, "a b"), (3, "c")], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in exact_dedup.keep_first(docs, index).collect()) == [1, 3]
+    location = spark.sql(f"DESCRIBE TABLE EXTENDED {index.table}").where("col_name = 'Location'").first()["data_type"]
+    assert location.removeprefix("file:").lstrip("/") == index.folder.removeprefix("file:").lstrip("/")
+    index.drop()
+    assert not spark.catalog.tableExists(index.table)
