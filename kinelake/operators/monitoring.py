@@ -16,6 +16,8 @@ from kinelake.operators.alignment import levelled, yaw_search
 from kinelake.operators.filters import by_key_in_order, key_bounds, whole_keys
 
 FIX = ["key", "t_ms", "east_m", "north_m", "accuracy_m", "sats"]
+#: Of a key's fixes at one time the first in this order counts (missing values last).
+ORDER = FIX[1:]
 SAID = ["t_ms", "stat", "quality", "mode", "trigger"]
 
 
@@ -34,7 +36,7 @@ def monitor_fixes(fixes: DataFrame, policy: Policy = Policy(), until_ms: int | N
     """(key, t_ms, stat, quality, mode, trigger, dropped): a row for each fix (key, t_ms, east_m, north_m, accuracy_m, sats), and one for each mode that ends for want of fixes.
 
     ``trigger`` says why the mode changed, and is null where it didn't; ``dropped`` counts the key's fixes so far that came
-    at no later time than the one before. A gap after a key's last fix is reported if it was due before ``until_ms``.
+    at no later time than the one before (of equal times the first by place, accuracy and satellites counts). A gap after a key's last fix is reported if it was due before ``until_ms``.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -48,7 +50,7 @@ def monitor_fixes(fixes: DataFrame, policy: Policy = Policy(), until_ms: int | N
             yield pd.DataFrame(rows, columns=["key", *SAID, "dropped"])
 
     kind = fixes.schema["key"].dataType.simpleString()
-    return by_key_in_order(fixes.select(*FIX), "t_ms").mapInPandas(run, monitored_schema(kind))
+    return by_key_in_order(fixes.select(*FIX), *[F.asc_nulls_last(c) for c in ORDER]).mapInPandas(run, monitored_schema(kind))
 
 
 def calibrations(samples: DataFrame, accel: list[str], gravity: list[str], reference: str, by: str = "key", order: str = "ns", least: int = 200, least_std: float = 1e-3) -> DataFrame:

@@ -594,3 +594,39 @@ def test_outage_benchmark_on_known_drives(spark):
     assert scores["strapdown", "circle"]["final_error_m"] < 20 and scores["strapdown", "turned"]["final_error_m"] < 20
     by = {(r["baseline"], r["duration_s"], r["scenario"]): r for r in benchmark.summary(benchmark.run(outages, samples, {"hold": benchmark.BASELINES["hold"]}), outages).collect()}
     assert set(by) == {("hold", 30, None), ("hold", None, "urban")} and by["hold", 30, None]["n"] == 3
+
+
+def test_what_stands_on_a_limit_is_judged_in_the_order_of_rows(spark):
+    import duckdb
+
+    from kinelake.functions.nanops import in_order, mean_of
+    from kinelake.operators import labels
+
+    yaw = [0.39, 0.09, 0.12, 0.06, 0.09]  # its deviation is 0.135, but for the last bits
+    rows = spark.createDataFrame([("a", 0, 5, i, 50.0, y) for i, y in enumerate(yaw)], "seq_id string, start int, stop int, row_idx int, speed double, yaw double")
+    got = labels.context_labels(rows, "speed", "yaw").first()
+    steps = [b - a for a, b in itertools.pairwise(yaw)]
+    want = duckdb.connect().execute("SELECT stddev_pop(x) FROM (VALUES " + ", ".join(f"({s!r}::DOUBLE)" for s in steps) + ") t(x)").fetchone()[0]
+    assert got["jitter"] == want and got["context"] == (2 if want > 0.135 else 1)
+    values = [194.54, 37.51, 105.65, 97.79, 64.51]
+    total = 0.0
+    for v in values:
+        total += v
+    moved = [spark.createDataFrame([(i, values[i]) for i in order], "i int, v double").coalesce(1).agg(mean_of(in_order("i", "v"))).first()[0] for order in ((0, 1, 2, 3, 4), (4, 0, 1, 2, 3), (3, 1, 4, 2, 0))]
+    assert moved == [total / 5] * 3
+    nothing = spark.createDataFrame([(1, None)], "i int, v double").agg(mean_of(in_order("i", "v"))).first()[0]
+    assert nothing is None
+
+
+def test_of_fixes_at_one_time_the_first_by_place_counts(spark, tmp_path):
+    from kinelake.streaming import stateful
+
+    policy = modes.Policy(accuracy_m=40.0, sats=5, gate=None)
+    later = [("k", 1000, 9.0, 0.0, 10.0, 9.0), ("k", 1000, 5.0, 0.0, 90.0, 9.0), ("k", 1000, 5.0, -1.0, 10.0, 2.0), ("k", 1000, None, 0.0, 10.0, 9.0)]
+    for order in itertools.permutations(later):
+        rows = spark.createDataFrame(list(order), FIXES).coalesce(1)
+        out = monitoring.monitor_fixes(rows, policy).collect()
+        assert [(r["t_ms"], r["quality"]) for r in out] == [(1000, "degraded")], order
+    make = lambda s: stateful.monitor(s.withColumn("ts", F.timestamp_millis("t_ms")), policy, late="1 second")
+    got = stream_of(spark, tmp_path, later, FIXES, [[0, 1, 2, 3]], make, "ties")
+    assert [(r["t_ms"], r["quality"]) for r in got if r["quality"] != "absent"] == [(1000, "degraded")]
