@@ -32,6 +32,28 @@ def known(c: Column | str) -> Column:
     return F.when(~F.isnan(c), c)
 
 
+def in_order(order: Column | str, value: Column | str) -> Column:
+    """Aggregate: the values in the given order without nulls, for sums whose last bits may decide and must not depend on how rows were moved."""
+    pairs = F.array_sort(F.collect_list(F.when(col(value).isNotNull(), F.struct(col(order).alias("at"), col(value).cast("double").alias("x")))))
+    return F.transform(pairs, lambda p: p["x"])
+
+
+def mean_of(values: Column) -> Column:
+    """The mean of an array, summed from its first value on; null if it is empty."""
+    return F.when(F.size(values) > 0, F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.size(values))
+
+
+def std_pop_of(values: Column) -> Column:
+    """The population deviation of an array by Welford's recurrence from its first value on; null if it is empty."""
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("m"), F.lit(0.0).alias("s"))
+
+    def step(a, x):
+        m = a["m"] + (x - a["m"]) / (a["n"] + 1.0)
+        return F.struct((a["n"] + 1.0).alias("n"), m.alias("m"), (a["s"] + (x - m) * (x - a["m"])).alias("s"))
+
+    return F.when(F.size(values) > 0, F.aggregate(values, start, step, lambda a: F.sqrt(a["s"] / a["n"])))
+
+
 def divide(a: Column, b: Column) -> Column:
     """Null where b is 0."""
     return F.try_divide(a, b)

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinelake import schema
-from kinelake.functions.nanops import col, divide, finite, gt, known, lt, moment_corr, rounded
+from kinelake.functions.nanops import col, divide, finite, gt, in_order, known, lt, mean_of, moment_corr, rounded, std_pop_of
 from kinelake.operators.sequences import centred_std
 
 #: Factors on a label's sigma by a sequence's usability; others count as UNKNOWN_FACTOR.
@@ -137,9 +137,13 @@ def gnss_labels(window_rows: DataFrame, speed: str, accuracy: str, by: tuple[str
 
 
 def context_labels(window_rows: DataFrame, speed: str, wheel: str, by: tuple[str, ...] = ("seq_id", "start", "stop")) -> DataFrame:
-    """0 stopped, 1 smooth, 2 rough: by mean speed and the deviation of the wheel rate's demeaned first difference."""
+    """0 stopped, 1 smooth, 2 rough: by mean speed and the deviation of the wheel rate's demeaned first difference.
+
+    Both are summed in the order of rows, so what stands on a limit is judged alike however the rows came.
+    """
     step = F.col(wheel) - F.lag(wheel).over(W.partitionBy(*by).orderBy("row_idx"))
-    m = window_rows.withColumn("_step", step).groupBy(*by).agg(F.avg(known(speed)).alias("mean_speed_mps"), F.stddev_pop("_step").alias("jitter"))
+    m = window_rows.withColumn("_step", step).groupBy(*by).agg(in_order("row_idx", known(speed)).alias("_speeds"), in_order("row_idx", "_step").alias("_steps"))
+    m = m.withColumns({"mean_speed_mps": mean_of(F.col("_speeds")), "jitter": std_pop_of(F.col("_steps"))}).drop("_speeds", "_steps")
     return m.withColumn("context", F.when(F.col("mean_speed_mps") < 1.0, 0).when(F.col("jitter") > 0.135, 2).otherwise(1))
 
 
