@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinelake.functions.nanops import in_order, mean_of
 from kinelake.operators import evaluation, features, reports, sequences
 from kinelake.plans.queries import OUTAGES, PREDICTIONS, event_outages, predictions, query
 from kinelake.plans.samples import SAMPLES, SEGMENTS, WINDOW, WINDOWS, event_samples, event_segments, event_windows, table
@@ -108,7 +109,8 @@ def outage_inputs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     samples, outages = event_outages(spark, sf_dir)
     last = outages.join(samples.select("seq_id", (F.col("row_idx") + 1).alias("start"), (F.col("v") / 10).alias("v0"), F.col("yaw").alias("h0")), ["seq_id", "start"]).select("key", "v0", "h0")
     rows = sequences.interval_rows(outages, samples).join(last, "key").withColumn("row", F.col("row_idx") - F.col("start"))
-    windows = rows.withColumn("i", F.floor(F.col("row") / WINDOW)).groupBy("key", "i", "v0").agg(F.avg("v").alias("z"), F.avg("yaw").alias("logvar"), F.count(F.lit(1)).alias("n"))
+    windows = rows.withColumn("i", F.floor(F.col("row") / WINDOW)).groupBy("key", "i", "v0").agg(in_order("row", "v").alias("z"), in_order("row", "yaw").alias("logvar"), F.count(F.lit(1)).alias("n"))
+    windows = windows.withColumns({"z": mean_of(F.col("z")), "logvar": mean_of(F.col("logvar"))})
     return windows, rows.select("key", "row", F.col("yaw").alias("yaw_rate"), "h0")
 
 
