@@ -630,3 +630,15 @@ def test_of_fixes_at_one_time_the_first_by_place_counts(spark, tmp_path):
     make = lambda s: stateful.monitor(s.withColumn("ts", F.timestamp_millis("t_ms")), policy, late="1 second")
     got = stream_of(spark, tmp_path, later, FIXES, [[0, 1, 2, 3]], make, "ties")
     assert [(r["t_ms"], r["quality"]) for r in got if r["quality"] != "absent"] == [(1000, "degraded")]
+
+
+def test_traces_of_a_way_meet_its_cells_together(spark, monkeypatch):
+    monkeypatch.setattr(routes, "BLOCK", 64)
+    field = np.random.default_rng(8).normal(size=400)
+    stored = spark.createDataFrame([("w", 10, field.tolist())], "way_id string, start long, field array<double>")
+    traces = spark.createDataFrame([(i, "w", field[7 * i : 7 * i + 32].tolist()) for i in range(40)], "trip_id long, way_id string, field array<double>")
+    got = {r["trip_id"]: (r["at"], r["verdict"]) for r in routes.locate_on_route(traces, stored).collect()}
+    assert got == {i: (10 + 7 * i, "MATCHED") for i in range(40)}
+    # Forty traces and seven cells: seven rows meet, not a row a trace and block.
+    kept = routes._best(np.stack([field[:32], field[350:382]]), [(10, 300, field[:331])], None, 20)
+    assert kept[0] == (1.0, 10) and kept[1][0] < 0.9 and routes._best(field[None, :32], [(10, 300, field[:331])], [10], 20)[0][1] >= 30
