@@ -15,9 +15,12 @@ words, the earlier it stands. Any order gives the same links; a good one gives f
 candidates.
 
 Equal sets are one set from the start. Signatures shared by up to ``SMALL`` sets give
-pairs, which count what they share; those shared by more only tie their sets together. A
-similar pair has half of its s signatures of one kind or of the other, so pairs with
-fewer are no candidates, nor are sets tied that have fewer. Sets tied in any way form a
+pairs, which count what they share. Those shared by more are cut into bands of like size,
+as similar sets have like sizes; bands of up to ``SMALL`` sets give pairs too, larger ones only
+tie their sets together. A similar pair has half of its s signatures of one kind, or more than half of
+the other in one band, so pairs with fewer are no candidates, nor are sets tied that have fewer; and of a set's
+ties in a band the commonest, which together are too few for a link, are left out. Otherwise chance ties, of which there are
+more in larger tables, would chain most sets into one component. Sets tied in any way form a
 candidate component, which is cut into cells of bounded size (by hash, within classes of
 like size, since similar sets have like sizes). A signature that very many sets may hold, by
 the counter of its shingles, is counted in parts and its parts added up. A task compares the sets of one cell, or
@@ -53,9 +56,11 @@ from kinelake.llm.scratch import join_hot_split, key_bitmap, map_batches, materi
 #: Signatures that candidates share: SHARED, and one more for each SHARED_STEP shingles that may be missing.
 SHARED, SHARED_STEP = 3, 8
 #: Counters for the order of shingles; the bound of what is broadcast.
-COUNTER_BITS = 20
+COUNTER_BITS = 22
 #: Sets per signature up to which pairs are listed.
 SMALL = 16
+#: The band of signatures that aren't cut by size.
+NO_BAND = -1
 #: Most sets, and about most shingles, of a cell.
 CELL_SETS, CELL_SHINGLES = 256, 1 << 18
 #: Sets of a signature, by its shingles' counter, that one task takes, or this many times the counters' mean; more are counted in parts.
@@ -175,6 +180,11 @@ class Threshold:
         return (self.den + self.num) * overlap >= self.num * (a + b)
 
 
+def counter_of(hashes: np.ndarray) -> np.ndarray:
+    """The counter of each shingle or word."""
+    return (hashes >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
+
+
 def sets_and_counts(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
     """One row a document (doc_id, text_hash, n, set_id), and for each task the counters' parts (what, block, counts)."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -182,7 +192,6 @@ def sets_and_counts(docs: DataFrame, k: int, id_col: str, text_col: str) -> Data
 
     def run(batches):
         counters = np.zeros((2, 1 << COUNTER_BITS), dtype=np.uint32)
-        shift = np.uint64(64 - COUNTER_BITS)
         id_type = None
         for batch in batches:
             id_type = batch.column(0).type
@@ -190,8 +199,8 @@ def sets_and_counts(docs: DataFrame, k: int, id_col: str, text_col: str) -> Data
             for text in batch.column(2):
                 words = word_hashes(text.as_py() or "")
                 shingles = np.unique(shingle_hashes(words, k))
-                np.add.at(counters[0], (shingles >> shift).astype(np.int64), 1)
-                np.add.at(counters[1], (words >> shift).astype(np.int64), 1)
+                np.add.at(counters[0], counter_of(shingles), 1)
+                np.add.at(counters[1], counter_of(words), 1)
                 sizes.append(len(shingles))
                 ids.append(set_id(shingles))
             m = len(sizes)
@@ -233,7 +242,7 @@ def order_tables(counted: DataFrame) -> Tables:
     for row in map_batches(once.repartition(_BLOCKS, "what", "block"), _added, schema).collect():
         total[row["what"], row["block"] * width : (row["block"] + 1) * width] = np.frombuffer(row["counts"], dtype=np.uint32)
     mean = float(total[0].mean())
-    frequent = total[0] > mean + 6 * math.sqrt(mean) + 8
+    frequent = total[0] > mean + 4 * math.sqrt(mean) + 8
     rarity = np.minimum(255, 8 * np.log2(1 + total[1])).astype(np.uint8)
     parts = np.clip(np.ceil(total[0] / max(PART_SETS, PART_MEANS * mean)), 1, np.iinfo(np.uint16).max).astype(np.uint16)
     return frequent, rarity, parts
@@ -247,16 +256,15 @@ def signatures(words: np.ndarray, k: int, t: Threshold, tables: Tables) -> tuple
     n = len(shingles)
     if not t.possible(n):
         return shingles, shingles[:0], np.zeros(0, dtype=np.int32)
-    shift = np.uint64(64 - COUNTER_BITS)
-    commonness = rarity[(words >> shift).astype(np.int64)].astype(np.uint64)
+    commonness = rarity[counter_of(words)].astype(np.uint64)
     m = len(windows)
     score = sum(commonness[i : i + m] for i in range(min(k, len(words))))[first]
-    often = frequent[(shingles >> shift).astype(np.int64)]
+    often = frequent[counter_of(shingles)]
     need = n - t.least_overlap(n) + t.shared(n)
     rare = shingles[~often]
     rare = rare[np.argsort(score[~often], kind="stable")[:need]]
     need -= len(rare)
-    found, cut = [mixed(rare)], [parts[(rare >> shift).astype(np.int64)]]
+    found, cut = [mixed(rare)], [parts[counter_of(rare)]]
     if need > 0:
         common = shingles[often]
         common = common[np.argsort(score[often], kind="stable")]
@@ -264,7 +272,7 @@ def signatures(words: np.ndarray, k: int, t: Threshold, tables: Tables) -> tuple
         for scheme in (level, level - 1) if t.least_overlap(n) < 1 << level else (level,):
             a, b, pairs = _pairs(common, need, scheme)
             found.append(pairs)
-            cut.append(np.minimum(parts[(a >> shift).astype(np.int64)], parts[(b >> shift).astype(np.int64)]))
+            cut.append(np.minimum(parts[counter_of(a)], parts[counter_of(b)]))
     return shingles, np.concatenate(found), np.concatenate(cut).astype(np.int32)
 
 
@@ -319,6 +327,11 @@ def signature_rows(docs: DataFrame, k: int, t: Threshold, tables: Tables, text_c
     return map_batches(docs.select(F.col(f"`{text_col}`")), run, "sig long, parts int, set_id long, n int, least int")
 
 
+def size_class(t: Threshold) -> Column:
+    """A class for each size ratio of 1 / t; similar sets are in the same class or in neighbouring ones."""
+    return F.floor(F.log(F.col("n")) / F.lit(math.log(t.den / t.num) * 1.0001)).cast("int")
+
+
 def candidate_edges(rows: DataFrame, t: Threshold) -> DataFrame:
     """(u, v): pairs of sets to verify, or ties between the sets of a signature that many share."""
     part = F.pmod(F.xxhash64("set_id"), F.col("parts")).cast("int")
@@ -333,17 +346,32 @@ def candidate_edges(rows: DataFrame, t: Threshold) -> DataFrame:
     added = join_hot_split(cut.select("sig", "set_id", "n", "least"), sums.where("cnt > 1"), ["sig"], "cnt", cut.count())
     # Signatures with the same sets count together.
     same = materialise(whole.unionByName(added.select(*columns)).groupBy(*columns).agg(F.count(F.lit(1)).alias("w")), "signature-groups")
-    of_set = W.partitionBy("set_id")
-    same = same.withColumn("tied", F.sum(F.when(F.col("cnt") > SMALL, F.col("w")).otherwise(0)).over(of_set))
-    small = same.where(F.col("cnt") <= SMALL)
-    other = small.select("members", "cnt", F.col("set_id").alias("v"), F.col("n").alias("m"), F.col("least").alias("v_least"), F.col("tied").alias("v_tied"))
-    sizes = (F.least("n", "m") * t.den >= F.greatest("n", "m") * t.num) & (F.col("set_id") < F.col("v"))
+    # Of signatures that many share, a set stands in the bands of its size class and of the next; two sets meet in the larger class's.
+    band = ["members", "cnt", "band"]
+    spread = same.where(F.col("cnt") > SMALL).withColumn("band", F.explode(F.array(size_class(t), size_class(t) + 1)))
+    spread = materialise(spread.select(*band, "set_id", "n", "least", "w"), "signature-bands")
+    sets = spread.groupBy(*band).agg(F.count(F.lit(1)).alias("sets"))
+    spread = materialise(join_hot_split(spread, sets.where("sets > 1"), band, "sets", spread.count()), "counted-bands")
+    large = spread.where(F.col("sets") > SMALL)
+    tied = [F.sum(F.when(F.col("band") == size_class(t) + i, F.col("w")).otherwise(0)).alias(f"tied_{i}") for i in (0, 1)]
+    listed = same.where(F.col("cnt") <= SMALL).select("members", "cnt", F.lit(NO_BAND).alias("band"), "set_id", "n", "least", "w")
+    listed = listed.unionByName(spread.where(F.col("sets") <= SMALL).select(*listed.columns)).withColumn("class", size_class(t))
+    listed = listed.join(large.groupBy("set_id").agg(*tied), "set_id", "left").fillna(0, ["tied_0", "tied_1"])
+    mine = ["set_id", "n", "least", "class", "tied_0", "tied_1"]
+    other = listed.select(*band, *[F.col(c).alias(f"v_{c}") for c in mine])
+    meet = F.greatest("class", "v_class")
+    sizes = (F.least("n", "v_n") * t.den >= F.greatest("n", "v_n") * t.num) & (F.col("set_id") < F.col("v_set_id")) & F.col("band").isin(NO_BAND, meet)
     needed = F.greatest("least", "v_least")
-    pairs = small.join(other, ["members", "cnt"]).where(sizes).groupBy(F.col("set_id").alias("u"), "v", needed.alias("needed"), F.least("tied", "v_tied").alias("tied")).agg(F.sum("w").alias("w"))
+    both = F.least(*[F.when(F.col(f"{p}class") == meet, F.col(f"{p}tied_0")).otherwise(F.col(f"{p}tied_1")) for p in ("", "v_")])
+    pairs = listed.join(other, band).where(sizes).groupBy(F.col("set_id").alias("u"), F.col("v_set_id").alias("v"), needed.alias("needed"), both.alias("tied")).agg(F.sum("w").alias("w"))
     pairs = pairs.where((2 * F.col("w") >= F.col("needed")) & (F.col("w") + F.col("tied") >= F.col("needed"))).select("u", "v")
-    held = same.where((F.col("cnt") > SMALL) & (2 * F.col("tied") >= F.col("least")))
-    ties = held.select(F.col("set_id").alias("u"), F.col("lo").alias("v")).where("u <> v").distinct()
-    return pairs.unionByName(ties)
+    # Other similar sets share ``ties`` or more in one band, so each keeps one of those though its commonest are left out.
+    ties = F.floor(F.col("least") / 2) + 1
+    rest = W.partitionBy("set_id", "band").orderBy(F.desc("sets"), "members", "cnt").rowsBetween(W.unboundedPreceding, W.currentRow)
+    kept = materialise(large.withColumn("so_far", F.sum("w").over(rest)).where(F.col("so_far") >= ties).select(*band, "set_id"), "ties")
+    first = kept.groupBy(*band).agg(F.min("set_id").alias("lo"), F.count(F.lit(1)).alias("sets")).where("sets > 1")
+    tie = join_hot_split(kept, first, band, "sets", kept.count()).select(F.col("set_id").alias("u"), F.col("lo").alias("v")).where("u <> v").distinct()
+    return pairs.unionByName(tie)
 
 
 def stored_sets(docs: DataFrame, wanted: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
@@ -390,8 +418,7 @@ def cells(light: DataFrame, t: Threshold) -> DataFrame:
     whole = materialise(whole.withColumn("fits", fits), "candidate-components")
     volume = whole.where("fits").agg(F.sum("shingles")).first()[0] or 0
     bins = max(1, math.ceil(volume / (4 * CELL_SHINGLES)), light.sparkSession.sparkContext.defaultParallelism)
-    step = math.log(t.den / t.num) * 1.0001
-    placed = light.join(whole.select("label", "fits"), "label").withColumn("class", F.floor(F.log(F.col("n")) / F.lit(step)).cast("int"))
+    placed = light.join(whole.select("label", "fits"), "label").withColumn("class", size_class(t))
     parts_of = F.greatest(F.ceil(F.count(F.lit(1)) / CELL_SETS), F.ceil(F.sum("n") / CELL_SHINGLES)).cast("int")
     classes = materialise(placed.where("not fits").groupBy("label", "class").agg(parts_of.alias("parts")), "cell-classes")
 

@@ -126,3 +126,17 @@ def test_similar_sets_share_signatures(seed):
     assert len(x) == len(p) and all(known.get(s, c) == c for s, c in zip(y.tolist(), q.tolist(), strict=True))
     if t.links(np.array(len(np.intersect1d(a, b))), np.array(len(a)), np.array(len(b))):
         assert len(np.intersect1d(x, y)) >= max(t.shared(t.least_overlap(len(s))) for s in (a, b))
+
+
+def test_sets_of_unlike_size_are_not_tied(spark):
+    """Signatures that many sets share chain no sets whose sizes, or too few of whose signatures, fit."""
+    t = Threshold(85)
+    sizes = [10 * 2**i for i in range(3 * ngram_join.SMALL)]
+    alike = [(sig, 1, 1000 + i, 400, 4) for i in range(3 * ngram_join.SMALL) for sig in (7, 8, 9, *([10 + i // 20] if i else []))]
+    few = [(sig, 1, 2000 + 100 * g + i, 60, 4) for g in (0, 1) for i in range(40) for sig in (20 + g, 30 + g, 40 + g, *([50] if i < 30 else []))]
+    unlike = [(sig, 1, i, n, 4) for i, n in enumerate(sizes) for sig in (1, 2, 3, 4)]
+    rows = spark.createDataFrame(unlike + alike + few, "sig long, parts int, set_id long, n long, least int")
+    nodes = {}
+    for r in ngram_join.components(ngram_join.candidate_edges(rows, t)).collect():
+        nodes.setdefault(r["label"], set()).add(r["node"])
+    assert sorted(map(len, nodes.values())) == [40, 40, 3 * ngram_join.SMALL] and not any(v < 1000 for one in nodes.values() for v in one)
