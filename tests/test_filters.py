@@ -270,3 +270,34 @@ def test_fault_detector_covers_every_user(spark):
         got = sorted(got, key=lambda r: r["t"])
         assert [r["t"] for r in got] == pytest.approx((want["i"] / 10).tolist())
         assert [np.nan if r["stat"] is None else r["stat"] for r in got] == pytest.approx(stat.tolist(), nan_ok=True)
+
+
+def test_statistics_of_many_keys_side_by_side():
+    """As the test for one key, fix by fix, over keys of unlike length with gaps, still keys and single fixes."""
+    rng = np.random.default_rng(5)
+    sizes = [1, 2, 5, 40, 0, 300, 9, 1]
+    t = [np.cumsum(rng.choice([0.4, 1.0, 6.0], n, p=[0.5, 0.45, 0.05])) for n in sizes]
+    at = [rng.normal(0, 4, (n, 2)) + np.outer(np.arange(n), [1.0, k]) * (k != 3) + 60 * (np.arange(n) > 20)[:, None] for k, n in enumerate(sizes)]
+    want = []
+    for times, places in zip(t, at, strict=True):
+        test = None
+        for k in range(len(times)):
+            if not k or times[k] - times[k - 1] > filters.GAP_RESET_S:
+                test, stat = filters.DriftTest(5 if k else 3), np.nan
+            else:
+                stat = test.fix(places[k] - places[k - 1], times[k] - times[k - 1])
+            want.append(stat)
+    codes = np.repeat(np.arange(len(sizes)), sizes)
+    got = filters.residual_statistics(codes, np.concatenate(t), *np.concatenate(at).T)
+    assert got == pytest.approx(np.array(want), nan_ok=True, rel=1e-12)
+
+
+def test_attacks_meet_tracks_in_their_tasks(spark):
+    """No track is shuffled once an attack; null keys are a track, rows that aren't fixes can stay behind."""
+    tracks = spark.createDataFrame([(k, i, 1.0 * i, 2.0 * i) for k in ("a", None) for i in range(250)], "key string, i long, te double, tn double")
+    attacks = spark.createDataFrame([("step", 80.0, 1), ("jam", 5.0, 3)], "family string, param double, seed long")
+    rows = filters.inject_attacks(tracks, attacks)
+    assert "Join" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert {r[0]: r[1] for r in rows.groupBy("instance").count().collect()} == dict.fromkeys(["a:step:80.0:1", "a:jam:5.0:3", "step:80.0:1", "jam:5.0:3"], 250)
+    fixes = filters.inject_attacks(tracks, attacks, fixes_only=True)
+    assert sorted(map(str, fixes.collect())) == sorted(map(str, rows.where("valid").collect()))
