@@ -17,6 +17,7 @@ from kinelake.functions.nanops import finite
 from kinelake.functions.scalar import wrapped_rad
 from kinelake.operators import evaluation, features, filters, labels, navigation, network, sequences
 from kinelake.schema import DT_S, RATE_HZ, WINDOW_ROWS
+from kinelake.session import shared_path
 
 Baseline = Callable[[DataFrame, DataFrame], DataFrame]
 Detector = Callable[[DataFrame], DataFrame]
@@ -98,10 +99,10 @@ def learned(model: network.Model, remove_bias: bool = True) -> Baseline:
         return network.infer(features.feature_windows(placed, [key, "w"], size=size), model, [key, "w"])
 
     def predict(outages: DataFrame, samples: DataFrame) -> DataFrame:
-        steps = outage_steps(outages, samples)
+        steps = stored(outage_steps(outages, samples), "outage-steps")
         said = windows_of(steps, "key").select("key", F.col("w").alias("i"), F.col("velocity_mean_mps").alias("z"), F.log("velocity_variance").alias("logvar"))
         if remove_bias:
-            before = sequences.lookback_rows(outages.select("key", "seq_id", "start"), samples, LOOKBACK_ROWS)
+            before = stored(sequences.lookback_rows(outages.select("key", "seq_id", "start"), samples, LOOKBACK_ROWS), "outage-lookback")
             # Whole windows only, and not the one that would end at the outage itself.
             whole = before.where(F.col("i") < F.floor((F.least(F.col("at"), F.lit(LOOKBACK_ROWS)) - 1) / size) * size)
             truth = whole.groupBy("key", F.floor(F.col("i") / size).alias("w")).agg(F.avg("speed_mps").alias("truth"))
@@ -124,12 +125,23 @@ def truths(outages: DataFrame, samples: DataFrame, lat: str = "lat_deg", lon: st
     return navigation.local_enu(rows, lat, lon).select("key", "i", F.col("east_m").alias("te"), F.col("north_m").alias("tn"), F.radians("heading_deg").alias("true_heading_rad"))
 
 
+def stored(rows: DataFrame, name: str) -> DataFrame:
+    """``rows``, written to the shared folder once and read from there."""
+    path = shared_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def run(outages: DataFrame, samples: DataFrame, baselines: dict[str, Baseline] | None = None) -> DataFrame:
-    """(baseline, key, scores...) of every outage under every baseline; points without a counterpart on the other side are left out."""
-    truth = truths(outages, samples)
+    """(baseline, key, scores...) of every outage under every baseline; points without a counterpart on the other side are left out.
+
+    Outages, samples, the truth and each baseline's track are worked out once and stored in the shared folder, as each is read many times.
+    """
+    outages, samples = stored(outages, "outages"), stored(samples, "outage-samples")
+    truth = stored(truths(outages, samples), "outage-truth")
     out = None
     for name, predict in (baselines or BASELINES).items():
-        pairs = predict(outages, samples).join(truth, ["key", "i"])
+        pairs = stored(predict(outages, samples).join(truth, ["key", "i"]), "outage-pairs")
         headings = pairs.groupBy("key").agg(F.max_by("heading_rad", "i").alias("pred_heading_rad"), F.max_by("true_heading_rad", "i").alias("true_heading_rad"))
         scores = evaluation.score_outages(pairs.select("key", "i", "pe", "pn", "te", "tn"), headings).select(F.lit(name).alias("baseline"), "*")
         out = scores if out is None else out.unionByName(scores)

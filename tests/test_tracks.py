@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from kinelake.kernels import calibration, modes
 from kinelake.kernels import network as layers
-from kinelake.operators import augment, constraints, features, filters, monitoring, network, remount, routes, sampling, smoothing
+from kinelake.operators import augment, benchmark, constraints, features, filters, monitoring, network, remount, routes, sampling, smoothing
 
 ALL_HEADS = ("mean", "logvar", "context", "yaw")
 
@@ -642,3 +642,18 @@ def test_traces_of_a_way_meet_its_cells_together(spark, monkeypatch):
     # Forty traces and seven cells: seven rows meet, not a row a trace and block.
     kept = routes._best(np.stack([field[:32], field[350:382]]), [(10, 300, field[:331])], None, 20)
     assert kept[0] == (1.0, 10) and kept[1][0] < 0.9 and routes._best(field[None, :32], [(10, 300, field[:331])], [10], 20)[0][1] >= 30
+
+
+def test_the_outage_benchmark_works_its_inputs_out_once(spark):
+    """Outages and samples are read from stored tables by every baseline, however often it asks for them."""
+    from kinelake.plans import queries, track_queries
+
+    sf = "/root/testdata/sf0.001"
+    outages, seen = queries.event_outages(spark, sf)[1], []
+
+    def spy(o, s):
+        seen.extend("FileScan parquet" in d._jdf.queryExecution().executedPlan().toString() and "Window" not in d._jdf.queryExecution().executedPlan().toString() for d in (o, s))
+        return benchmark.hold(o, s)
+
+    scores = benchmark.run(outages, track_queries.drives(spark, sf), {"spy": spy})
+    assert seen == [True, True] and scores.count() == outages.count() > 0
