@@ -301,3 +301,12 @@ def test_attacks_meet_tracks_in_their_tasks(spark):
     assert {r[0]: r[1] for r in rows.groupBy("instance").count().collect()} == dict.fromkeys(["a:step:80.0:1", "a:jam:5.0:3", "step:80.0:1", "jam:5.0:3"], 250)
     fixes = filters.inject_attacks(tracks, attacks, fixes_only=True)
     assert sorted(map(str, fixes.collect())) == sorted(map(str, rows.where("valid").collect()))
+
+
+def test_keys_stay_whole_after_a_join_by_key(spark):
+    """The shuffle by key is left in place though the rows come from a join by key."""
+    from pyspark.sql import functions as F
+
+    rows, more = (spark.range(50).select((F.col("id") % 5).alias("key"), F.col("id").alias(c)).hint("merge") for c in ("i", "v"))
+    plan = filters.by_key_in_order(rows.join(more, "key"), "i")._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_COL" in plan
