@@ -226,25 +226,59 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in sums], pa.int32()), pa.array([b for _, b in sums], pa.int32()), pa.array([v.astype(np.uint32).tobytes() for v in sums.values()], pa.binary())], ["what", "block", "counts"])
 
 
+#: Which shingle counters are frequent, each word counter's log count (0 to 255), and in how many parts a signature of a shingle is counted.
 Tables = tuple[np.ndarray, np.ndarray, np.ndarray]
+#: The same as blocks of bytes: for shingles bits, the counters of several parts and those parts; for words the log counts.
+Packed = list[tuple[int, int, bytes, bytes, bytes]]
 
 
-def order_tables(counted: DataFrame) -> Tables:
-    """From the tasks' counters: which shingle counters are frequent, each word counter's log count (0 to 255), and in how many parts a signature of a shingle is counted.
+def order_tables(counted: DataFrame) -> Packed:
+    """The tables of the order, from the tasks' counters.
 
-    Sums go through a tree: tasks' parts meet in groups by their block and a hash, then by block.
+    Sums go through a tree: tasks' parts meet in groups by their block and a hash, then by block. Tasks make the tables too, block by block, so
+    the driver gets a third of the counters' size at most, and no counters.
     """
     schema = "what int, block int, counts binary"
     spread = counted.select("what", "block", "counts").repartition(8 * _BLOCKS, "what", "block", (F.rand(1) * 8).cast("int"))
     once = map_batches(spread, _added, schema)
-    total = np.zeros((2, 1 << COUNTER_BITS), dtype=np.uint64)
-    width = (1 << COUNTER_BITS) // _BLOCKS
-    for row in map_batches(once.repartition(_BLOCKS, "what", "block"), _added, schema).collect():
-        total[row["what"], row["block"] * width : (row["block"] + 1) * width] = np.frombuffer(row["counts"], dtype=np.uint32)
-    mean = float(total[0].mean())
-    frequent = total[0] > mean + 4 * math.sqrt(mean) + 8
-    rarity = np.minimum(255, 8 * np.log2(1 + total[1])).astype(np.uint8)
-    parts = np.clip(np.ceil(total[0] / max(PART_SETS, PART_MEANS * mean)), 1, np.iinfo(np.uint16).max).astype(np.uint16)
+
+    def totals(batches):
+        for batch in batches:
+            sums = [int(np.frombuffer(c.as_buffer(), dtype=np.uint32).sum(dtype=np.uint64)) for c in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums, pa.int64())], ["what", "block", "counts", "total"])
+
+    added = map_batches(map_batches(once.repartition(_BLOCKS, "what", "block"), _added, schema), totals, f"{schema}, total long")
+    added = materialise(added, "counters")
+    mean = (added.where("what = 0").agg(F.sum("total")).first()[0] or 0) / (1 << COUNTER_BITS)
+
+    def packed(batches):
+        for batch in batches:
+            for what, block, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                n = np.frombuffer(counts, dtype=np.uint32).astype(np.uint64)
+                if what:
+                    own = np.minimum(255, 8 * np.log2(1 + n)).astype(np.uint8).tobytes(), b"", b""
+                else:
+                    parts = np.clip(np.ceil(n / max(PART_SETS, PART_MEANS * mean)), 1, np.iinfo(np.uint16).max).astype(np.uint16)
+                    several = np.flatnonzero(parts > 1)
+                    own = np.packbits(n > mean + 4 * math.sqrt(mean) + 8).tobytes(), several.astype(np.uint32).tobytes(), parts[several].tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((what, block, *own), (pa.int32(), pa.int32(), *[pa.binary()] * 3), strict=True)], ["what", "block", "body", "several", "parts"])
+
+    rows = map_batches(added.select("what", "block", "counts"), packed, "what int, block int, body binary, several binary, parts binary").collect()
+    return [(r["what"], r["block"], bytes(r["body"]), bytes(r["several"]), bytes(r["parts"])) for r in rows]
+
+
+def unpacked(blocks: Packed) -> Tables:
+    """The tables from their blocks; counters of blocks that aren't there are 0."""
+    size = 1 << COUNTER_BITS
+    width = size // _BLOCKS
+    frequent, rarity, parts = np.zeros(size, dtype=bool), np.zeros(size, dtype=np.uint8), np.ones(size, dtype=np.uint16)
+    for what, block, body, several, cut in blocks:
+        at = slice(block * width, (block + 1) * width)
+        if what:
+            rarity[at] = np.frombuffer(body, dtype=np.uint8)
+        else:
+            frequent[at] = np.unpackbits(np.frombuffer(body, dtype=np.uint8)).astype(bool)
+            parts[at][np.frombuffer(several, dtype=np.uint32)] = np.frombuffer(cut, dtype=np.uint16)
     return frequent, rarity, parts
 
 
@@ -301,16 +335,17 @@ def _pairs(common: np.ndarray, need: int, scheme: int) -> tuple[np.ndarray, np.n
     return np.concatenate(lower), np.concatenate(upper), np.concatenate(out)
 
 
-def signature_rows(docs: DataFrame, k: int, t: Threshold, tables: Tables, text_col: str) -> DataFrame:
+def signature_rows(docs: DataFrame, k: int, t: Threshold, packed: Packed, text_col: str) -> DataFrame:
     """(sig, parts, set_id, n, least) for the signatures of each set, once for each task that has it; a similar set shares ``least`` or more."""
-    shared = docs.sparkSession.sparkContext.broadcast(tables)
+    shared = docs.sparkSession.sparkContext.broadcast(packed)
 
     def run(batches):
+        tables = unpacked(shared.value)
         seen: set[int] = set()
         for batch in batches:
             sigs, parts, ids, sizes, least = [], [], [], [], []
             for text in batch.column(0):
-                shingles, own, cut = signatures(word_hashes(text.as_py() or ""), k, t, shared.value)
+                shingles, own, cut = signatures(word_hashes(text.as_py() or ""), k, t, tables)
                 name = set_id(shingles)
                 if len(own) and name not in seen:
                     if len(seen) > 1_000_000:

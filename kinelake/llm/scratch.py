@@ -77,8 +77,8 @@ def key_bitmap(keys: DataFrame, column: Column, bits: int = 23) -> np.ndarray:
         keys.select(column.alias("bit"))
         .groupBy(F.expr("bit div 64").alias("word"))
         .agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("mask"))
-        .toPandas()
+        .toArrow()  # as columns, whatever the session's settings: up to 131072 rows by default, which as Row objects fill the driver
     )
     out = np.zeros(1 << (bits - 6), dtype=np.uint64)
-    out[words["word"].to_numpy(dtype=np.int64)] = words["mask"].to_numpy(dtype=np.int64).view(np.uint64)
+    out[words["word"].to_numpy()] = words["mask"].to_numpy().view(np.uint64)
     return out

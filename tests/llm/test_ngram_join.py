@@ -140,3 +140,25 @@ def test_sets_of_unlike_size_are_not_tied(spark):
     for r in ngram_join.components(ngram_join.candidate_edges(rows, t)).collect():
         nodes.setdefault(r["label"], set()).add(r["node"])
     assert sorted(map(len, nodes.values())) == [40, 40, 3 * ngram_join.SMALL] and not any(v < 1000 for one in nodes.values() for v in one)
+
+
+def test_order_tables_are_made_in_tasks(spark):
+    """The driver gets the packed tables only, a third of the counters' size at most, and they are those of the counters' sums."""
+    size, blocks = 1 << ngram_join.COUNTER_BITS, ngram_join._BLOCKS
+    rng = np.random.default_rng(5)
+    counters = rng.poisson(3, (2, 2, size)).astype(np.uint32)
+    counters[:, 0, rng.integers(size, size=500)] += np.uint32(9000)
+    rows = [(what, block, bytearray(part.tobytes())) for task in counters for what in (0, 1) for block, part in enumerate(np.split(task[what], blocks))]
+    packed = ngram_join.order_tables(spark.createDataFrame(rows, "what int, block int, counts binary"))
+    assert sum(len(x) for row in packed for x in row[2:]) < 5_000_000
+    total = counters.sum(axis=0, dtype=np.uint64)
+    mean = total[0].mean()
+    frequent, rarity, parts = ngram_join.unpacked(packed)
+    assert (frequent == (total[0] > mean + 4 * np.sqrt(mean) + 8)).all() and 400 < frequent.sum() < size // 2
+    assert (rarity == np.minimum(255, 8 * np.log2(1 + total[1])).astype(np.uint8)).all()
+    assert (parts == np.clip(np.ceil(total[0] / max(ngram_join.PART_SETS, ngram_join.PART_MEANS * mean)), 1, 65535)).all() and parts.max() > 1
+
+
+def test_order_tables_without_counters(spark):
+    frequent, rarity, parts = ngram_join.unpacked(ngram_join.order_tables(spark.createDataFrame([], "what int, block int, counts binary")))
+    assert not frequent.any() and not rarity.any() and (parts == 1).all()
