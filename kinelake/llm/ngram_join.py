@@ -185,6 +185,15 @@ def counter_of(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
 
 
+def _pressed(counts: np.ndarray) -> bytes:
+    """Counters of a block, compressed: a task's 32 MB of them, mostly zeros, would fill the JVM that writes and shuffles them."""
+    return pa.compress(counts.astype(np.uint32).tobytes(), codec="zstd", asbytes=True)
+
+
+def _counts(pressed: bytes) -> np.ndarray:
+    return np.frombuffer(pa.decompress(pressed, ((1 << COUNTER_BITS) // _BLOCKS) * 4, codec="zstd", asbytes=True), dtype=np.uint32)
+
+
 def sets_and_counts(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
     """One row a document (doc_id, text_hash, n, set_id), and for each task the counters' parts (what, block, counts)."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -208,7 +217,7 @@ def sets_and_counts(docs: DataFrame, k: int, id_col: str, text_col: str) -> Data
         if id_type is not None:
             for what in (0, 1):
                 for block, part in enumerate(np.split(counters[what], _BLOCKS)):
-                    yield pa.RecordBatch.from_arrays([pa.nulls(1, id_type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([what], pa.int32()), pa.array([block], pa.int32()), pa.array([part.tobytes()], pa.binary())], names)
+                    yield pa.RecordBatch.from_arrays([pa.nulls(1, id_type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([what], pa.int32()), pa.array([block], pa.int32()), pa.array([_pressed(part)], pa.binary())], names)
 
     schema = f"doc_id {kind}, text_hash long, n long, set_id long, what int, block int, counts binary"
     text = F.col(f"`{text_col}`")
@@ -219,11 +228,10 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[tuple[int, int], np.ndarray] = {}
     for batch in batches:
         for what, block, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            row = np.frombuffer(counts, dtype=np.uint32).astype(np.uint64)
             at = (what, block)
-            sums[at] = np.minimum(sums.get(at, 0) + row, np.iinfo(np.uint32).max)
+            sums[at] = np.minimum(sums.get(at, 0) + _counts(counts).astype(np.uint64), np.iinfo(np.uint32).max)
     if sums:
-        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in sums], pa.int32()), pa.array([b for _, b in sums], pa.int32()), pa.array([v.astype(np.uint32).tobytes() for v in sums.values()], pa.binary())], ["what", "block", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in sums], pa.int32()), pa.array([b for _, b in sums], pa.int32()), pa.array([_pressed(v) for v in sums.values()], pa.binary())], ["what", "block", "counts"])
 
 
 #: Which shingle counters are frequent, each word counter's log count (0 to 255), and in how many parts a signature of a shingle is counted.
@@ -244,7 +252,7 @@ def order_tables(counted: DataFrame) -> Packed:
 
     def totals(batches):
         for batch in batches:
-            sums = [int(np.frombuffer(c.as_buffer(), dtype=np.uint32).sum(dtype=np.uint64)) for c in batch.column(2)]
+            sums = [int(_counts(c.as_buffer()).sum(dtype=np.uint64)) for c in batch.column(2)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums, pa.int64())], ["what", "block", "counts", "total"])
 
     added = map_batches(map_batches(once.repartition(_BLOCKS, "what", "block"), _added, schema), totals, f"{schema}, total long")
@@ -254,7 +262,7 @@ def order_tables(counted: DataFrame) -> Packed:
     def packed(batches):
         for batch in batches:
             for what, block, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                n = np.frombuffer(counts, dtype=np.uint32).astype(np.uint64)
+                n = _counts(counts).astype(np.uint64)
                 if what:
                     own = np.minimum(255, 8 * np.log2(1 + n)).astype(np.uint8).tobytes(), b"", b""
                 else:

@@ -148,7 +148,7 @@ def test_order_tables_are_made_in_tasks(spark):
     rng = np.random.default_rng(5)
     counters = rng.poisson(3, (2, 2, size)).astype(np.uint32)
     counters[:, 0, rng.integers(size, size=500)] += np.uint32(9000)
-    rows = [(what, block, bytearray(part.tobytes())) for task in counters for what in (0, 1) for block, part in enumerate(np.split(task[what], blocks))]
+    rows = [(what, block, bytearray(ngram_join._pressed(part))) for task in counters for what in (0, 1) for block, part in enumerate(np.split(task[what], blocks))]
     packed = ngram_join.order_tables(spark.createDataFrame(rows, "what int, block int, counts binary"))
     assert sum(len(x) for row in packed for x in row[2:]) < 5_000_000
     total = counters.sum(axis=0, dtype=np.uint64)
@@ -159,6 +159,13 @@ def test_order_tables_are_made_in_tasks(spark):
     assert (parts == np.clip(np.ceil(total[0] / max(ngram_join.PART_SETS, ngram_join.PART_MEANS * mean)), 1, 65535)).all() and parts.max() > 1
 
 
+def test_counters_leave_a_task_compressed(spark):
+    """A task of few texts sends little, though its counters have a fixed size."""
+    found = ngram_join.sets_and_counts(spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string").coalesce(1), 4, "doc_id", "text").where("what is not null").collect()
+    assert len(found) == 2 * ngram_join._BLOCKS and sum(len(r["counts"]) for r in found) < 100_000
+    assert [sum(int(ngram_join._counts(bytes(r["counts"])).sum()) for r in found if r["what"] == w) for w in (0, 1)] == [3, 6]
+
+
 def test_order_tables_without_counters(spark):
     frequent, rarity, parts = ngram_join.unpacked(ngram_join.order_tables(spark.createDataFrame([], "what int, block int, counts binary")))
     assert not frequent.any() and not rarity.any() and (parts == 1).all()
