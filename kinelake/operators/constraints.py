@@ -35,6 +35,8 @@ class Reference:
 
 
 Constraint = Check | Key | Reference
+#: Rows whose keys one task counts, about.
+KEY_ROWS = 500_000
 #: Modes of navigation and how labels come about.
 MODES = ("GNSS", "GNSS_DEGRADED", "DR", "REACQUIRING", "CALIBRATING")
 #: The relational schema of trips: what each table's rows must be.
@@ -56,6 +58,12 @@ TRIP_SCHEMA: dict[str, tuple[Constraint, ...]] = {
 }
 
 
+def _dealt(keys: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """Keys in as many parts as their number asks for, before they are counted: nearly all are distinct, so a task holds a count for each of its rows."""
+    parts = max(keys.sparkSession.sparkContext.defaultParallelism, -(-keys.count() // KEY_ROWS))
+    return keys.repartition(parts, *columns)
+
+
 def violations(tables: dict[str, DataFrame], constraints: dict[str, tuple[Constraint, ...]], id_cols: dict[str, list[str]]) -> DataFrame:
     """(table_name, constraint, id): one row for each row and constraint that it breaks; id is the row's id columns joined by commas, nulls as empty.
 
@@ -77,7 +85,7 @@ def violations(tables: dict[str, DataFrame], constraints: dict[str, tuple[Constr
             found.append(rows.select(row_id.alias("id"), F.explode(broken).alias("constraint")).select(F.lit(name).alias("table_name"), "constraint", "id"))
         for r in rules:
             if isinstance(r, Key):
-                twice = rows.dropna(subset=list(r.columns)).groupBy(*r.columns).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*r.columns)
+                twice = _dealt(rows.dropna(subset=list(r.columns)).select(*r.columns), r.columns).groupBy(*r.columns).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*r.columns)
                 found.append(rows.join(twice, list(r.columns), "left_semi").select(F.lit(name).alias("table_name"), F.lit(r.name).alias("constraint"), row_id.alias("id")))
             elif isinstance(r, Reference):
                 targets = tables[r.table].select(*[F.col(t).alias(c) for t, c in zip(r.target, r.columns, strict=True)]).distinct()

@@ -657,3 +657,12 @@ def test_the_outage_benchmark_works_its_inputs_out_once(spark):
 
     scores = benchmark.run(outages, track_queries.drives(spark, sf), {"spy": spy})
     assert seen == [True, True] and scores.count() == outages.count() > 0
+
+
+def test_keys_are_counted_in_parts_of_bounded_size(spark, monkeypatch):
+    """However few parts shuffles have, a task counts about KEY_ROWS keys."""
+    monkeypatch.setattr(constraints, "KEY_ROWS", 50)
+    rows = spark.range(2000).selectExpr("id % 1990 AS a", "id").repartition(1)
+    assert constraints._dealt(rows.select("a"), ("a",)).rdd.getNumPartitions() == 40
+    got = constraints.violations({"t": rows}, {"t": (constraints.Key("k", ("a",)),)}, {"t": ["id"]}).collect()
+    assert sorted(int(r["id"]) for r in got) == [*range(10), *range(1990, 2000)]
