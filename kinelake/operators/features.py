@@ -25,22 +25,22 @@ def speed_gradient(samples: DataFrame, speed: str, by: str = "seq_id", rate: flo
     return F.coalesce(inner, after - F.col(speed), F.col(speed) - before) * rate
 
 
-def aligned_features(samples: DataFrame, accel: list[str], gravity: list[str], gyro: list[str], reference: str, by: str = "seq_id", least: int = 200, least_std: float = 1e-3) -> DataFrame:
-    """(by, row_idx, FEATURES, yaw_deg): acceleration without gravity and turn rates in the vehicle's frame.
+def aligned_features(samples: DataFrame, accel: list[str], gravity: list[str], gyro: list[str], reference: str, by: str = "seq_id", least: int = 200, least_std: float = 1e-3, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(by, row_idx, FEATURES, yaw_deg, keep): acceleration without gravity and turn rates in the vehicle's frame.
 
     ``gyro`` names the rates about x, y and z (roll, pitch, yaw). The frame is levelled by each
-    sequence's mean gravity and turned so that its first axis follows the reference best.
+    sequence's mean gravity and turned so that its first axis follows the reference best. Rows stay where their sequence is.
     """
-    both = levelled(samples, accel, gravity, by)
-    yaw = yaw_search(both, "level_x", "level_y", reference, by, least=least, least_std=least_std)
     # Turn rates are levelled by the same rotation, with nothing to take off.
-    zeros = samples.withColumns({f"_turn_{n}": F.col(g) + F.col(a) for n, g, a in zip("xyz", gyro, gravity, strict=True)})
-    turns = levelled(zeros, [f"_turn_{n}" for n in "xyz"], gravity, by).select(by, "row_idx", *[F.col(f"level_{n}").alias(f"turn_{n}") for n in "xyz"])
-    rows = both.join(turns, [by, "row_idx"]).join(yaw.select(by, "yaw_deg"), by)
+    turns = samples.withColumns({f"_turn_{n}": F.col(g) + F.col(a) for n, g, a in zip("xyz", gyro, gravity, strict=True)})
+    once = levelled(turns, accel, gravity, by)
+    yaw = yaw_search(once, "level_x", "level_y", reference, by, least=least, least_std=least_std)
+    both = levelled(once.withColumnsRenamed({f"level_{n}": f"_acc_{n}" for n in "xyz"}), [f"_turn_{n}" for n in "xyz"], gravity, by)
+    rows = both.join(yaw.select(by, "yaw_deg"), by)
     c, s = F.cos(F.radians("yaw_deg")), F.sin(F.radians("yaw_deg"))
     matrix = [[c, s, F.lit(0.0)], [-s, c, F.lit(0.0)], [F.lit(0.0), F.lit(0.0), F.lit(1.0)]]
-    out = [*rotate(matrix, [F.col(f"level_{n}") for n in "xyz"]), *rotate(matrix, [F.col(f"turn_{n}") for n in "xyz"])]
-    return rows.select(by, "row_idx", *[x.alias(n) for x, n in zip(out, FEATURES, strict=True)], "yaw_deg")
+    out = [*rotate(matrix, [F.col(f"_acc_{n}") for n in "xyz"]), *rotate(matrix, [F.col(f"level_{n}") for n in "xyz"])]
+    return rows.select(by, "row_idx", *[x.alias(n) for x, n in zip(out, FEATURES, strict=True)], "yaw_deg", *keep)
 
 
 def fit_report(samples: DataFrame, accel: list[str], gravity: list[str], reference: str, by: str = "seq_id", least: int = 200, least_std: float = 1e-3) -> DataFrame:
@@ -50,8 +50,13 @@ def fit_report(samples: DataFrame, accel: list[str], gravity: list[str], referen
 
 def feature_windows(rows: DataFrame, keys: list[str], means: list[float] | None = None, stds: list[float] | None = None, size: int = WINDOW_ROWS) -> DataFrame:
     """(keys, n_rows, x): each window's rows (i from 0, FEATURES) in order, normalised, as an array of ``size`` rows; short windows end in zeros before they are normalised."""
-    means, stds = means or [0.0] * len(FEATURES), stds or [1.0] * len(FEATURES)
     listed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", F.array(*FEATURES).alias("f"))))["f"].alias("rows"))
+    return model_inputs(listed, keys, means, stds, size)
+
+
+def model_inputs(listed: DataFrame, keys: list[str], means: list[float] | None = None, stds: list[float] | None = None, size: int = WINDOW_ROWS) -> DataFrame:
+    """(keys, n_rows, x) as of ``feature_windows``, from windows whose ``rows`` (arrays of FEATURES) are listed in order."""
+    means, stds = means or [0.0] * len(FEATURES), stds or [1.0] * len(FEATURES)
     zeros = F.array_repeat(F.array_repeat(F.lit(0.0), len(FEATURES)), size)
     padded = F.slice(F.concat(F.col("rows"), zeros), 1, size)
     scaled = F.transform(padded, lambda r: F.array(*[(r[i] - m) / s for i, (m, s) in enumerate(zip(means, stds, strict=True))]))

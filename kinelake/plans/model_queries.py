@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kinelake.functions.nanops import in_order, mean_of
 from kinelake.operators import evaluation, features, reports, sequences
 from kinelake.plans.queries import OUTAGES, PREDICTIONS, event_outages, predictions, query
-from kinelake.plans.samples import SAMPLES, SEGMENTS, WINDOW, WINDOWS, event_samples, event_segments, event_windows, table
+from kinelake.plans.samples import GUARD, SAMPLES, SEGMENTS, STRIDE, WINDOW, WINDOWS, event_samples, event_segments, table
 
 SIZE = 7
 WEIGHTS = features.stub_weights(SIZE)
@@ -40,8 +40,15 @@ fe AS (SELECT seq_id, row_idx, yaw_deg, cos(radians(yaw_deg)) * lx + sin(radians
 
 
 def event_features(spark, sf_dir) -> DataFrame:
-    phone = phone_samples(spark, sf_dir).withColumn("ref", features.speed_gradient(event_samples(spark, sf_dir), "v"))
-    return features.aligned_features(phone, [f"acc_{n}" for n in "xyz"], [f"grav_{n}" for n in "xyz"], ["gyro_roll", "gyro_pitch", "gyro_yaw"], "ref", least=3)
+    phone = phone_samples(spark, sf_dir)
+    phone = phone.withColumn("ref", features.speed_gradient(phone, "v"))
+    return features.aligned_features(phone, [f"acc_{n}" for n in "xyz"], [f"grav_{n}" for n in "xyz"], ["gyro_roll", "gyro_pitch", "gyro_yaw"], "ref", least=3, keep=("v",))
+
+
+def listed_windows(spark, sf_dir) -> DataFrame:
+    """(seq_id, start, rows, label): the features of each window's rows, and its mean speed."""
+    gathered = {"rows": F.collect_list(F.array(*features.FEATURES)), "label": F.avg("v")}
+    return sequences.gathered_windows(event_features(spark, sf_dir), gathered, WINDOW, STRIDE, GUARD)
 
 
 @query(f"WITH {ALIGNED} SELECT seq_id, row_idx, yaw_deg, " + ", ".join(f"round({f}, 4) AS {f}" for f in features.FEATURES) + " FROM fe")
@@ -61,20 +68,17 @@ lb AS (SELECT seq_id, start, avg(v) AS label FROM wr GROUP BY ALL)"""
 @query(f"WITH {MODEL} SELECT seq_id, start, {WINDOW} AS n_rows, round(mu, 4) AS mu, round(logvar, 4) AS logvar, round(label, 4) AS label FROM model JOIN lb USING (seq_id, start)")
 def model_windows(spark, sf_dir):
     """Windows of features, padded and normalised, a linear model's output, and their labels."""
-    windows = event_windows(event_samples(spark, sf_dir)).select("seq_id", "start", "stop")
-    rows = sequences.interval_rows(windows, event_features(spark, sf_dir)).withColumn("i", F.col("row_idx") - F.col("start"))
-    inputs = features.feature_windows(rows, ["seq_id", "start"], MEANS, STDS, SIZE)
-    labels = sequences.interval_rows(windows, event_samples(spark, sf_dir)).groupBy("seq_id", "start").agg(F.avg("v").alias("label"))
-    out = features.labelled_windows(features.linear_model(inputs, WEIGHTS), labels, ["seq_id", "start"])
+    listed = listed_windows(spark, sf_dir)
+    inputs = features.model_inputs(listed, ["seq_id", "start", "label"], MEANS, STDS, SIZE)
+    out = features.linear_model(inputs, WEIGHTS)
     return out.select("seq_id", "start", "n_rows", *[F.round(c, 4).alias(c) for c in ("mu", "logvar", "label")])
 
 
 @query(f"WITH {ALIGNED}, {WINDOWS}, r AS (SELECT w.seq_id, w.start, count(*) AS n, bool_and(isfinite(accel_x) AND accel_x > -1) AS ok FROM w JOIN fe ON fe.seq_id = w.seq_id AND fe.row_idx >= w.start AND fe.row_idx < w.stop GROUP BY ALL) SELECT seq_id, start FROM r WHERE n = {WINDOW} AND ok")
 def usable_model_windows(spark, sf_dir):
     """Full, finite windows whose label is good, here those that never brake hard."""
-    windows = event_windows(event_samples(spark, sf_dir)).select("seq_id", "start", "stop")
-    rows = sequences.interval_rows(windows, event_features(spark, sf_dir)).withColumn("i", F.col("row_idx") - F.col("start"))
-    marked = features.feature_windows(rows, ["seq_id", "start"], size=WINDOW).withColumn("ok", ~F.exists("x", lambda r: r[0] <= -1))
+    inputs = features.model_inputs(listed_windows(spark, sf_dir), ["seq_id", "start"], size=WINDOW)
+    marked = inputs.withColumn("ok", ~F.exists("x", lambda r: r[0] <= -1))
     return features.usable_windows(marked, WINDOW, "ok").select("seq_id", "start")
 
 
