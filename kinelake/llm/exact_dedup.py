@@ -49,8 +49,9 @@ class DigestIndex:
         if not folder:
             refuse_local_warehouse(spark.sparkContext.master, spark.conf.get("spark.sql.warehouse.dir"))
         if not spark.catalog.tableExists(table):
-            schema = T.StructType([T.StructField("digest", T.StringType()), T.StructField("first_id", id_type or T.LongType()), T.StructField("batch", T.StringType())])
-            self._append(spark.createDataFrame([], schema))
+            # Not by createDataFrame, whose rows come through RDD workers in Python, which executors keep for a minute beside those of Arrow steps.
+            kinds = {"digest": T.StringType(), "first_id": id_type or T.LongType(), "batch": T.StringType()}
+            self._append(spark.range(0).select(*[F.lit(None).cast(kind).alias(name) for name, kind in kinds.items()]))
 
     def _append(self, rows: DataFrame) -> None:
         writer = rows.write.format("parquet").mode("append")

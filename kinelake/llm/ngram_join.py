@@ -250,12 +250,13 @@ def order_tables(counted: DataFrame) -> Packed:
     spread = counted.select("what", "block", "counts").repartition(8 * _BLOCKS, "what", "block", (F.rand(1) * 8).cast("int"))
     once = map_batches(spread, _added, schema)
 
+    # In one Python worker with the sums: a step of its own would start, and keep, a second worker for each of an executor's cores.
     def totals(batches):
-        for batch in batches:
+        for batch in _added(batches):
             sums = [int(_counts(c.as_buffer()).sum(dtype=np.uint64)) for c in batch.column(2)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums, pa.int64())], ["what", "block", "counts", "total"])
 
-    added = map_batches(map_batches(once.repartition(_BLOCKS, "what", "block"), _added, schema), totals, f"{schema}, total long")
+    added = map_batches(once.repartition(_BLOCKS, "what", "block"), totals, f"{schema}, total long")
     added = materialise(added, "counters")
     mean = (added.where("what = 0").agg(F.sum("total")).first()[0] or 0) / (1 << COUNTER_BITS)
 

@@ -12,6 +12,13 @@ def frame(spark, rows):
     return spark.createDataFrame([(i, t, "k", 1) for i, t in rows], "doc_id long, text string, digest string, keep_id int")
 
 
+def test_an_index_is_made_without_python_workers(spark, monkeypatch):
+    monkeypatch.setattr(type(spark), "createDataFrame", None)
+    index = exact_dedup.scratch_index(spark, buckets=4)
+    assert index.read().count() == 0 and dict(index.read().dtypes) == {"digest": "string", "first_id": "bigint", "batch": "string"}
+    index.drop()
+
+
 def test_decisions_equal_brute_force(spark):
     index = exact_dedup.scratch_index(spark, buckets=4)
     got = exact_dedup.deduplicate(frame(spark, ROWS), index).collect()

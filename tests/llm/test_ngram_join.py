@@ -159,6 +159,15 @@ def test_order_tables_are_made_in_tasks(spark):
     assert (parts == np.clip(np.ceil(total[0] / max(ngram_join.PART_SETS, ngram_join.PART_MEANS * mean)), 1, 65535)).all() and parts.max() > 1
 
 
+def test_counters_are_added_in_one_python_worker_a_task(spark, monkeypatch):
+    plans = []
+    real = ngram_join.materialise
+    monkeypatch.setattr(ngram_join, "materialise", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df, name))
+    ngram_join.order_tables(spark.createDataFrame([], "what int, block int, counts binary"))
+    names = [line.strip(" +-:").split(" ")[0] for line in plans[0].splitlines()]
+    assert names.count("MapInArrow") == 2 and ("MapInArrow", "MapInArrow") not in list(zip(names, names[1:]))
+
+
 def test_counters_leave_a_task_compressed(spark):
     """A task of few texts sends little, though its counters have a fixed size."""
     found = ngram_join.sets_and_counts(spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string").coalesce(1), 4, "doc_id", "text").where("what is not null").collect()
