@@ -26,7 +26,8 @@ def outage_candidates(segs: DataFrame, samples: DataFrame, speed: str, seconds:
     fits = segs.crossJoin(F.broadcast(spans)).where(F.col("start") + margin <= F.col("stop") - F.col("need") - margin - 1)
     grid = fits.select("seq_id", "seg_index", "duration_s", "need", F.explode(F.sequence(F.col("start") + margin, F.col("stop") - F.col("need") - margin - 1, F.lit(every).cast("long"))).alias("start"))
     moving = samples.where(~F.isnan(speed) & (F.col(speed) >= least_speed)).select("seq_id", F.col("row_idx").alias("start"))
-    return grid.join(moving, ["seq_id", "start"])
+    # Spark takes the exploded grid for as many rows as the segments, so it would broadcast it.
+    return grid.join(moving.hint("merge"), ["seq_id", "start"])
 
 
 def pick_outages(candidates: DataFrame, each: int = 2, seed: str = "0") -> DataFrame:

@@ -708,3 +708,16 @@ def test_keys_are_counted_in_parts_of_bounded_size(spark, monkeypatch):
     assert constraints._dealt(rows.select("a"), ("a",)).rdd.getNumPartitions() == 40
     got = constraints.violations({"t": rows}, {"t": (constraints.Key("k", ("a",)),)}, {"t": ["id"]}).collect()
     assert sorted(int(r["id"]) for r in got) == [*range(10), *range(1990, 2000)]
+
+
+def test_exploded_intervals_are_not_broadcast(spark):
+    """Spark takes an interval's rows for one row, so a table of them that is large is no small one to it."""
+    from kinelake.operators import evaluation
+
+    samples = spark.range(200).selectExpr("id % 2 AS seq_id", "id div 2 AS row_idx", "3.0D AS v")
+    whole = spark.createDataFrame([(0, 0, 0, 100), (1, 0, 0, 100)], "seq_id long, seg_index int, start long, stop long")
+    grid = evaluation.outage_candidates(whole, samples, "v", (10, 20), 1, 3, 2, 2.0)
+    points = spark.createDataFrame([(0, 50, 60), (1, 0, 10)], "seq_id long, start long, stop long")
+    made = [grid, sequences.interval_rows(points, samples), sequences.lookback_rows(points, samples, 5), sequences.row_before(points, samples)]
+    assert all("BroadcastHashJoin" not in d._jdf.queryExecution().executedPlan().toString() for d in made)
+    assert [d.count() for d in made] == [2 * (29 + 26), 20, 5, 2]
