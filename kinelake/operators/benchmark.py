@@ -150,6 +150,6 @@ def run(outages: DataFrame, samples: DataFrame, baselines: dict[str, Baseline] |
 
 def summary(scores: DataFrame, outages: DataFrame) -> DataFrame:
     """(baseline, duration_s, scenario, median, p95, n) of the drift, by duration and by scenario."""
-    keyed = scores.join(outages.select("key", "duration_s", "scenario"), "key").where(finite("drift_pct"))
+    keyed = scores.join(outages.select("key", "duration_s", "scenario").hint("merge"), "key").where(finite("drift_pct"))
     sets = keyed.groupingSets([["baseline", "duration_s"], ["baseline", "scenario"]], "baseline", "duration_s", "scenario")
     return sets.agg(F.percentile("drift_pct", 0.5).alias("median"), F.percentile("drift_pct", 0.95).alias("p95"), F.count(F.lit(1)).alias("n"))

@@ -721,3 +721,12 @@ def test_exploded_intervals_are_not_broadcast(spark):
     made = [grid, sequences.interval_rows(points, samples), sequences.lookback_rows(points, samples, 5), sequences.row_before(points, samples)]
     assert all("BroadcastHashJoin" not in d._jdf.queryExecution().executedPlan().toString() for d in made)
     assert [d.count() for d in made] == [2 * (29 + 26), 20, 5, 2]
+
+
+def test_outages_meet_their_scores_without_broadcast(spark):
+    """Stored outages are small files of many rows."""
+    outages = spark.range(9).selectExpr("'k' || id AS key", "30 AS duration_s", "'urban' AS scenario")
+    scores = outages.select(F.lit("hold").alias("baseline"), "key", F.lit(2.0).alias("drift_pct"))
+    out = benchmark.summary(scores, outages)
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {(r["duration_s"], r["scenario"], r["n"]) for r in out.collect()} == {(30, None, 9), (None, "urban", 9)}
