@@ -310,3 +310,26 @@ def test_keys_stay_whole_after_a_join_by_key(spark):
     rows, more = (spark.range(50).select((F.col("id") % 5).alias("key"), F.col("id").alias(c)).hint("merge") for c in ("i", "v"))
     plan = filters.by_key_in_order(rows.join(more, "key"), "i")._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_COL" in plan
+
+
+def test_faults_reach_short_tracks(spark):
+    """Every user's track is attacked though it ends before 20 s: fixes move or go, and so do their statistics."""
+    from kinelake.plans import queries
+
+    assert [filters.onset_row(n) for n in (1, 99, 200, 201, 900)] == [1, 50, 100, 200, 200]
+    assert [filters.onset_row(n, 12.0) for n in (99, 900)] == [120, 120]
+    sf = "/root/testdata/sf0.001"
+    sizes = {r["key"]: r["count"] for r in queries.paths(spark, sf).groupBy("key").count().collect()}
+    assert max(sizes.values()) < 200
+    fixes_of = {}
+    for r in queries.fault_detector(spark, sf).collect():
+        fixes_of.setdefault(r["key"], []).append(r)
+    for instance, got in fixes_of.items():
+        user, family, _, _ = instance.split(":")
+        onset = (sizes[int(user)] + 1) // 2 / 10
+        late = {r["t"] for r in got if r["t"] >= onset}
+        assert {r["t"] for r in got if r["attacked"]} == late if family in ("step", "drag") else {r["t"] for r in got if r["attacked"]} <= late
+        assert family != "jam" or not any(onset <= t < onset + 2 for t in late)
+    step, drag = ([r["stat"] for k in fixes_of if f":{family}:" in k for r in fixes_of[k] if r["attacked"] and r["stat"] is not None and not np.isnan(r["stat"])] for family in ("step", "drag"))
+    assert len(step) > 10 and np.quantile(step, 0.9) > 1.5 * np.quantile(drag, 0.9)
+    assert any(r["attacked"] for k in fixes_of if ":multipath:" in k for r in fixes_of[k])
