@@ -730,3 +730,31 @@ def test_outages_meet_their_scores_without_broadcast(spark):
     out = benchmark.summary(scores, outages)
     assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
     assert {(r["duration_s"], r["scenario"], r["n"]) for r in out.collect()} == {(30, None, 9), (None, "urban", 9)}
+
+
+def test_traces_are_multiplied_with_stretches_like_by_transforms(monkeypatch):
+    """The first of equals, constant stretches and traces, gaps between pieces and tables of a few stretches at a time."""
+    rng = np.random.default_rng(6)
+    pieces = [(40 * i, 40, rng.normal(size=40)) for i in range(12)]
+    pieces[3], pieces[5], pieces[8] = (120, 40, np.ones(40)), (200, 40, pieces[4][2] * 3 + 1), (320, 7, pieces[8][2][:7])
+    traces = np.stack([p[2][5:17] + 0.1 * rng.normal(size=12) for p in pieces if len(p[2]) == 40] + [pieces[4][2][9:21] * 2, np.full(12, 7.0), pieces[4][2][9:21]])
+    want = routes._best_by_fft(traces, pieces, None, 20)
+    away = [b[1] if b else 0 for b in want]
+    other = routes._best_by_fft(traces, pieces, away, 20)
+    for values, places, many in ((1 << 20, 2048, 64), (60, 3, 2), (1, 1, 1)):
+        monkeypatch.setattr(routes, "STRETCH_VALUES", values)
+        monkeypatch.setattr(routes, "SCORE_PLACES", places)
+        monkeypatch.setattr(routes, "SCORE_TRACES", many)
+        assert routes._best(traces, pieces, None, 20) == want and routes._best(traces, pieces, away, 20) == other
+    assert want[-1] == want[-3] == (1.0, 169) and other[-1] == (1.0, 209) and want[-2] is None
+    monkeypatch.setattr(routes, "DIRECT", 11)
+    assert routes._best(traces, pieces, away, 20) == other
+
+
+def test_peaks_are_worked_once_and_near_cells_meet_many_traces(spark):
+    """All places are compared once, however often their bests are read; a cell near the best places of many traces is sent to them together."""
+    field = np.random.default_rng(8).normal(size=400)
+    stored = spark.createDataFrame([("w", 0, field.tolist())], "way_id string, start long, field array<double>")
+    traces = spark.createDataFrame([(i, "w", field[7 * i : 7 * i + 32].tolist()) for i in range(40)], "trip_id long, way_id string, field array<double>")
+    plan = routes.locate_on_route(traces, stored)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "collect_list(struct(trip_id" in plan
