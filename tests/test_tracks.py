@@ -758,3 +758,15 @@ def test_peaks_are_worked_once_and_near_cells_meet_many_traces(spark):
     traces = spark.createDataFrame([(i, "w", field[7 * i : 7 * i + 32].tolist()) for i in range(40)], "trip_id long, way_id string, field array<double>")
     plan = routes.locate_on_route(traces, stored)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "collect_list(struct(trip_id" in plan
+
+
+def test_shares_are_rounded_like_decimal_numbers(spark):
+    """To so many digits, halves up, as F.round does; and each product of blocks has a part of its own, about, however few bytes are sent."""
+    cells = [(0, c) for c in range(128)] + [(s, c) for s in range(1, 129) for c in [*range(s), *range(1000 * s, 1000 * s + 150)]]
+    visits = spark.createDataFrame([(s, str(c)) for s, c in cells], "seq_id long, cell string")
+    for by_blocks in (False, True):
+        plain = routes.repeat_routes(visits, 0.001, by_blocks=by_blocks).withColumn("share", F.round("share", 6))
+        out = routes.repeat_routes(visits, 0.001, by_blocks=by_blocks, digits=6)
+        rows = {tuple(r) for r in out.collect()}
+        assert rows == {tuple(r) for r in plain.collect()} and (0, 1, 1, 0.007813) in rows and len(rows) == 129 * 128 // 2
+    assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
